@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from starling.llm.common import filled, ragged
+from starling.llm.common import ragged, raw
 
 #: Chunks that a worker remembers; a full cache is emptied.
 CACHE_WORDS = 300_000
@@ -26,6 +26,13 @@ _PLAIN = r"^[a-z\x{DF}-\x{F6}\x{F8}-\x{FF}]+$"
 _ENCODERS: dict[str, "WordEncoder"] = {}
 
 
+def ascii_lower(texts: pa.Array) -> pa.Array:
+    """A to Z become a to z; all other bytes stay."""
+    data, offsets = raw(texts)
+    data = np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
+    return pa.Array.from_buffers(pa.large_string(), len(texts), [None, pa.py_buffer(np.ascontiguousarray(offsets)), pa.py_buffer(data)])
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -63,7 +70,7 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of all texts, and the number of ids of each text."""
-        texts = pc.replace_substring_regex(pc.ascii_lower(filled(texts)), _TRAIL, r"\1 \2\3")
+        texts = pc.replace_substring_regex(ascii_lower(texts), _TRAIL, r"\1 \2\3")
         chunks = pc.ascii_split_whitespace(texts)
         words = chunks.flatten().dictionary_encode()
         distinct = words.dictionary.to_pylist()
