@@ -7,8 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import bpe, exact_dedup, media, packing, tokenstore
-from starling.llm.common import table
+from starling.llm import bpe, exact_dedup, langid, media, packing, quality, tokenstore, toxicity
+from starling.llm.common import crc_bucket, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,12 +41,30 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM g
 """
 
 
+def _held_out(scored: DataFrame, modulus: int, remainder: int) -> DataFrame:
+    return scored.withColumn("held_out", F.coalesce(crc_bucket("doc_id", modulus) == remainder, F.lit(False)))
+
+
+@_query
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 3) != 1)
+    return _held_out(toxicity.flagged(toxicity.score(docs, model)), 3, 1).select("doc_id", "held_out", "score", "predicted")
+
+
 @_query
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     encoded = bpe.encode(table(spark, sf_dir, "documents"), BYTE_RANKS)
     return bpe.decode(encoded, BYTE_RANKS).select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@_query
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(docs, crc_bucket("doc_id", 4) != 2)
+    return _held_out(langid.predict(docs, model), 4, 2).select("doc_id", "held_out", "lang_pred", "score")
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
@@ -69,6 +87,13 @@ def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_read(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
 
 
+@_query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), crc_bucket("doc_id", 5) != 0)
+    return _held_out(quality.rated(quality.score(docs, model)), 5, 0).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
