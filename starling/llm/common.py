@@ -34,6 +34,7 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps now
     return df.sparkSession.read.schema(schema).parquet(path)
 
 

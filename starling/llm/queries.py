@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import bpe, exact_dedup, langid, media, packing, quality, tokenstore, toxicity
+from starling.llm import bpe, exact_dedup, langid, media, packing, quality, suffix_dedup, tokenstore, toxicity
 from starling.llm.common import crc_bucket, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -82,6 +82,12 @@ def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@_query
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"))
+    return done.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @_query
 def op9_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenstore.store_and_read(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
