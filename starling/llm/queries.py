@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import bpe, exact_dedup, langid, media, packing, quality, suffix_dedup, tokenstore, toxicity
+from starling.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, suffix_dedup, tokenstore, toxicity
 from starling.llm.common import crc_bucket, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -65,6 +65,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(langid.predict(docs, model), 4, 2).select("doc_id", "held_out", "lang_pred", "score")
 
 
+@_query
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
