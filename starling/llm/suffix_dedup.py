@@ -271,24 +271,33 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     return whole.unionByName(sorted_intervals(small)).unionByName(counted_intervals(texts.where(F.col("kinds") > MOST_SLICES)))
 
 
+def _marked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes of a batch's texts, their offsets, and which bytes its spans cover."""
+    data, offsets = raw(batch.column("text"))
+    change = np.zeros(len(data) + 1, np.int32)
+    spans = batch.column("spans")
+    per_row = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
+    flat = spans.flatten()
+    lo = np.repeat(offsets[:-1], per_row) + flat.field("lo").to_numpy(zero_copy_only=False).astype(np.int64)
+    np.add.at(change, lo, 1)
+    np.add.at(change, lo + flat.field("size").to_numpy(zero_copy_only=False), -1)
+    return data, offsets, np.cumsum(change)[:-1] > 0
+
+
+def _with_spans(docs: DataFrame) -> DataFrame:
+    """``docs`` with rid and the spans to remove."""
+    source = docs.withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
+    found = saved(removed_intervals(source.select("doc_id", "rid", F.coalesce("text", F.lit("")).alias("text"))), "removed")
+    return source.join(found.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans")), "rid", "left")  # of one text
+
+
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
-    source = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("rid", F.xxhash64("doc_id", "text"))
-    found = saved(removed_intervals(source), "removed")
-    spans = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans"))  # of one text
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def apply(batches):
         for batch in steps(batches):
-            data, offsets = raw(batch.column("text"))
-            change = np.zeros(len(data) + 1, np.int32)
-            spans = batch.column("spans")
-            per_row = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
-            flat = spans.flatten()
-            lo = np.repeat(offsets[:-1], per_row) + flat.field("lo").to_numpy(zero_copy_only=False).astype(np.int64)
-            np.add.at(change, lo, 1)
-            np.add.at(change, lo + flat.field("size").to_numpy(zero_copy_only=False), -1)
-            gone = np.cumsum(change)[:-1] > 0
+            data, offsets, gone = _marked(batch)
             begins = gone & ~np.r_[False, gone[:-1]]
             full = offsets[:-1][np.diff(offsets) > 0]
             begins[full] = gone[full]
@@ -299,4 +308,20 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
                 n_spans=pa.array(heads[offsets[1:]] - heads[offsets[:-1]], pa.int64()), kept=binaries(data[~gone], lens - removed).cast(pa.binary()),
             )
 
-    return source.join(spans, "rid", "left").select("doc_id", "text", "spans").mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans")
+    return rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+
+
+def remaining_text(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with all their columns and only the remaining text; characters that a cut splits go too."""
+    names = docs.columns
+
+    def apply(batches):
+        for batch in steps(batches):
+            data, offsets, gone = _marked(batch)
+            left = np.r_[0, np.cumsum(~gone)][offsets].tolist()
+            kept = data[~gone].tobytes()
+            texts = pa.array([kept[a:b].decode(errors="ignore") for a, b in zip(left[:-1], left[1:], strict=True)], pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
+
+    return _with_spans(docs).select(*names, "spans").mapInArrow(apply, docs.schema)
