@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from starling.plans import leakfree, relational, textual  # noqa: F401  registers
+from starling.plans import leakfree, modelling, relational, textual  # noqa: F401  registers
 from starling.plans.registry import ORACLES, QUERIES, Query
 
 

@@ -8,7 +8,7 @@ from starling.functions import scalar as fn
 from starling.operators import joins, stats
 from starling.plans.registry import query
 from starling.sources import io
-from starling.sources.views import order_reviews, reviews, table
+from starling.sources.views import is_scoring, order_reviews, reviews, table
 
 Q = fn.rounded
 
@@ -236,8 +236,6 @@ def align_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT split, CAST(count(*) AS BIGINT) AS n, CAST(sum(user_id) AS BIGINT) AS users FROM (SELECT user_id, CASE WHEN scoring THEN 'test' ELSE 'train' END AS split FROM folded) GROUP BY split""")
 def split_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from starling.sources.views import is_scoring
-
     rows = order_reviews(spark, sf_dir)
     test = is_scoring(F.col("id"))
     both = joins.union_splits(rows.where(~test), rows.where(test).drop("rating"), ["id", "user_id"])
