@@ -24,7 +24,7 @@ def canonical(frame):
     frame = frame[sorted(frame.columns)]
     for c in frame.columns:
         if str(frame[c].dtype).lower().startswith(("int", "uint", "float")):
-            frame = frame.assign(**{c: frame[c].astype(float).round(6)})
+            frame = frame.assign(**{c: frame[c].astype(float).round(5)})
     rows = frame.astype(object).where(frame.notna(), None).values.tolist()
     return sorted((tuple(r) for r in rows), key=lambda r: tuple((v is None, str(v)) for v in r))
 
