@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.functions.scalar import rounded as Q
 from starling.operators import assemble, ensemble as en, linear, oof, trees
+from starling.operators.tfidf import spread
 from starling.plans.leakfree import folded, split
 from starling.plans.registry import query
-from starling.sources.views import is_scoring, table
+from starling.sources.views import fold, is_scoring, table
 
 # Base "models" of the evaluation queries: out-of-fold encodings of users, of (user, year) and of months.
 _MODELS = ["m_user", "m_year", "m_month"]
@@ -193,6 +194,15 @@ def ridge_test_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(linear.ridge_scoring(linear.fold_grams(number(train), features), number(test), features).select("id", "pred"))
 
 
+@query()
+def embedding_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ridge on dense vectors: the label from all 64 dimensions, out of fold, for several penalties in one pass."""
+    rows = spread(table(spark, sf_dir, "embeddings").withColumn("fold", fold(F.col("vec_id"))), "embedding", 64)
+    features = [f"dim_{i}" for i in range(64)]
+    grid = linear.ridge_grid(linear.fold_grams(rows, features, target="label"), features, [0.1, 1.0, 10.0])
+    return Q(spark.createDataFrame(grid, "subset string, alpha double, rmse double"))
+
+
 @query()
 def elasticnet_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(linear.elastic_net_oof(base_models(spark, sf_dir), _MODELS, 0.01, 0.5).select("id", "fold", "pred"))

@@ -118,7 +118,10 @@ def tfidf_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH ws AS (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents), wc AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM ws GROUP BY ALL), g AS (SELECT doc_id, c, unnest(list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))) AS term FROM wc, range(3, 6) r(n)), tf AS (SELECT doc_id, term, CAST(sum(c) AS BIGINT) AS tf FROM g GROUP BY ALL)" + _WEIGH.format(size=1000))
 def tfidf_char_wb(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(_weights(tfidf.char_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), 1000))
+    docs = table(spark, sf_dir, "documents")
+    counts = tfidf.char_counts(docs, "doc_id", "text", top=1000)
+    worded = docs.where(F.size(tfidf.words(F.coalesce("text", F.lit("")))) > 0)
+    return Q(tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", 1000, worded), "doc_id"))
 
 
 @query("WITH " + _TF.format(terms=_WORDS) + """, n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tf) SELECT term, CAST(sum(tf) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df, round(ln((1 + any_value(n_docs)) / (1.0 + count(*))) + 1, 6) AS idf FROM tf, n GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 500""")
