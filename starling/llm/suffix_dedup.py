@@ -99,21 +99,29 @@ def _as_int(digest: bytes) -> int:
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, lo, n, anchor, content: the slices of all texts, content being a hash of each one's bytes."""
+    """doc_id, rid, los, n, anchor, content: the slices of all texts, content being a hash of each one's bytes.
+
+    Equal slices of one text (as of a line that repeats) share a row with all their places.
+    """
 
     def run(batches):
         for batch in steps(batches, STEP):
             data, offsets = raw(batch.column("text"))
             text, at, n, anchor = slices(data, offsets)
             whole = data.tobytes()
-            content = [_as_int(hashlib.blake2b(whole[a:b], digest_size=8).digest()) for a, b in zip(at.tolist(), (at + n + WINDOW - 1).tolist(), strict=True)]
-            rows = pa.array(text)
+            content = np.array([_as_int(hashlib.blake2b(whole[a:b], digest_size=8).digest()) for a, b in zip(at.tolist(), (at + n + WINDOW - 1).tolist(), strict=True)], np.int64)
+            order = np.lexsort((at, content, anchor, text))
+            text, at, n, anchor, content = text[order], at[order], n[order], anchor[order], content[order]
+            new = np.ones(len(order), bool)
+            new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+            head, rows = np.flatnonzero(new), pa.array(text[new])
+            places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - offsets[text]).astype(np.int32)))
             yield batch_of(
-                doc_id=batch.column("doc_id").take(rows), rid=batch.column("rid").take(rows), lo=pa.array(at - offsets[text], pa.int32()),
-                n=pa.array(n, pa.int32()), anchor=pa.array(anchor), content=pa.array(content, pa.int64()),
+                doc_id=batch.column("doc_id").take(rows), rid=batch.column("rid").take(rows), los=places,
+                n=pa.array(n[new], pa.int32()), anchor=pa.array(anchor[new], pa.int64()), content=pa.array(content[new]),
             )
 
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, lo int, n int, anchor long, content long")
+    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, los array<int>, n int, anchor long, content long")
 
 
 def repeated_starts(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -240,12 +248,12 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     """doc_id, rid, lo, size of byte runs to remove (they may overlap); docs needs doc_id, rid, text."""
     marks = saved(mark(docs), "slices")
     # Keys are hashed anew before each join, so that the join shuffles both sides and may split hot keys.
-    shared = marks.groupBy("anchor").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.xxhash64("anchor").alias("key"))
+    shared = marks.groupBy("anchor").agg(F.sum(F.size("los")).alias("times")).where("times > 1").select(F.xxhash64("anchor").alias("key"))
     rows = saved(marks.withColumn("key", F.xxhash64("anchor")).join(shared, "key", "left_semi").drop("key"), "shared-slices")
-    per_slice = rows.groupBy("anchor", "content").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("rid", "lo", "n", "doc_id")).alias("one"))
+    per_slice = rows.groupBy("anchor", "content").agg(F.sum(F.size("los")).alias("copies"), F.min(F.struct("rid", F.col("los")[0].alias("lo"), "n", "doc_id")).alias("one"))
     per_slice = saved(per_slice, "distinct-slices")
     copied = per_slice.where("copies > 1").select(F.xxhash64("anchor", "content").alias("key"))
-    whole = rows.withColumn("key", F.xxhash64("anchor", "content")).join(copied, "key", "left_semi").select("doc_id", "rid", "lo", (F.col("n") + (WINDOW - 1)).alias("size"))
+    whole = rows.withColumn("key", F.xxhash64("anchor", "content")).join(copied, "key", "left_semi").select("doc_id", "rid", F.explode("los").alias("lo"), (F.col("n") + (WINDOW - 1)).alias("size"))
 
     kinds = per_slice.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.xxhash64("anchor").alias("key"), "kinds")
     wanted = per_slice.withColumn("key", F.xxhash64("anchor")).join(kinds, "key").select("one.*", "anchor", "copies", "kinds")
