@@ -19,7 +19,7 @@ def components(edges: DataFrame) -> DataFrame:
     maps = []
     while not left.isEmpty():
         both = left.unionByName(left.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-        step = saved(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("to")), "step")
+        step = both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("low")).select("node", F.least("node", "low").alias("to"))
         maps.append(step)
         keyed = step.select(F.xxhash64("node").alias("key"), "node", "to")
         for end in ("src", "dst"):

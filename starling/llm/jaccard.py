@@ -208,16 +208,18 @@ class SignatureTree:
 
 
 def link(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int) -> list[tuple[int, int]]:
-    """Links (id, id) that connect all documents which similarity connects; documents of one label are connected already."""
+    """Pairs (label, smallest label) that connect all documents which similarity connects; documents of one label are connected already.
+
+    They form stars, one for each group of connected labels.
+    """
     order = sorted(range(len(ids)), key=lambda i: (sets[i][:2].tolist(), len(sets[i]), ids[i]))
     ids, sets, labels = [ids[i] for i in order], [sets[i] for i in order], [labels[i] for i in order]
-    forest, links = Forest(len(ids)), []
+    forest = Forest(len(ids))
 
     def join(i: int, j: int) -> bool:
         a, b = forest.root(i), forest.root(j)
         if a != b and similar(sets[i], sets[j], percent):
             forest.up[max(a, b)] = min(a, b)
-            links.append((ids[i], ids[j]))
             return True
         return False
 
@@ -229,7 +231,7 @@ def link(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int
         for j in range(1, len(ids)):
             for i in range(j):
                 join(i, j)
-        return links
+        return _stars(forest, labels)
     head = 0
     for i in range(1, len(ids)):  # neighbours and the head of each run connect most of what is alike
         if not join(i - 1, i) and not join(head, i):
@@ -238,7 +240,15 @@ def link(ids: list[int], sets: list[np.ndarray], labels: list[int], percent: int
     for a, b in tree.candidates(percent):
         for i, j in zip(a.tolist(), b.tolist(), strict=True):
             join(i, j)
-    return links
+    return _stars(forest, labels)
+
+
+def _stars(forest: Forest, labels: list[int]) -> list[tuple[int, int]]:
+    low: dict[int, int] = {}
+    for i, label in enumerate(labels):
+        root = forest.root(i)
+        low[root] = min(label, low.get(root, label))
+    return sorted({(label, low[forest.root(i)]) for i, label in enumerate(labels) if label != low[forest.root(i)]})
 
 
 def _linked(rows: DataFrame, words: int, percent: int) -> DataFrame:
