@@ -5,7 +5,9 @@ buckets; each bucket has an embedding. A document is the mean over its words (ea
 once for SPAN words of text at most) of the mean of their bags, and a linear softmax over it gives the probability. Embeddings and softmax are
 trained together by Adam on a bounded sample of labelled documents (SAMPLE).
 As the model is linear in the words, a trained word is one number; scoring a document is the
-same mean of its words' numbers over its whole text, however long.
+same mean of its words' numbers over its whole text, however long. A run without white space
+of more than LONGEST characters (unspaced scripts, joined words) is read as parts of PART
+characters that overlap, so that each n-gram stands in one, and each part counts as a word.
 
 Edge cases: null or empty texts score by the softmax's bias alone. With no usable labels of one
 class every score is 0. Repeated rows score equally; an empty table gives an empty result;
@@ -21,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starling.llm.common import batch_of, filled, mix, ragged, steps
+from starling.llm.common import batch_of, binaries, filled, mix, ragged, raw, steps
 from starling.llm.samples import labelled, trained
 
 #: Most documents of class 0 and of class 1 that the model is fitted on.
@@ -38,15 +40,20 @@ DAMPING = 1e-3
 EMPTY_WORDS = 50.0
 #: A word counts once for so many words of text at most, so that repetition alone decides nothing.
 SPAN = 400
+#: Longer runs without white space are read as parts; a part begins as often as words do in spaced text.
+LONGEST, PART = 48, 12
+PART_HOP = PART - max(GRAMS) + 1
 #: Documents that score at least so much are toxic.
 THRESHOLD = 0.7
 #: Words that a worker remembers; a full cache is emptied.
 CACHE_WORDS = 300_000
+#: The n-grams of so many words are held at once.
+GRAM_WORDS = 1 << 16
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(word, bucket) of all n-grams of "<word>" and of the words themselves."""
-    marked = [f"<{w[:200]}>" for w in words]
+    marked = [f"<{w}>" for w in words]
     lens = np.fromiter(map(len, marked), np.int64, len(marked))
     cp = np.frombuffer("".join(marked).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     owner = np.repeat(np.arange(len(words)), lens)
@@ -69,10 +76,36 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(word), np.concatenate(bucket).astype(np.int64)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray]:
-    """Lower-cased words of all texts, and the number of words of each text."""
-    parts = pc.utf8_split_whitespace(pc.utf8_lower(filled(texts)))
-    return parts.flatten().dictionary_encode(), parts.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
+    """Lower-cased words (parts of runs beyond LONGEST) of all texts, the number of words of each text, and which distinct words are no mere parts."""
+    split = pc.utf8_split_whitespace(pc.utf8_lower(filled(texts)))
+    words, per_doc = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    lens = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+    if not (long := lens > LONGEST).any():
+        words = words.dictionary_encode()
+        return words, per_doc, np.ones(len(words.dictionary), bool)
+    count = np.where(long, -(-(lens - PART) // PART_HOP) + 1, 1)
+    data = raw(words)[0]
+    char = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes before each character
+    end = np.repeat(np.cumsum(lens), count)
+    begin = np.repeat(np.cumsum(lens) - lens, count) + PART_HOP * ragged(np.zeros(len(count), np.int64), count)
+    part = np.repeat(long, count)
+    lo, hi = char[begin], char[np.where(part, np.minimum(begin + PART, end), end)]
+    total, stop = np.r_[0, np.cumsum(count)], np.cumsum(per_doc)
+    words = binaries(data[ragged(lo, hi - lo)], hi - lo).view(pa.large_string()).dictionary_encode()
+    whole = np.zeros(len(words.dictionary), bool)
+    whole[words.indices.to_numpy()[~part]] = True
+    return words, total[stop] - total[stop - per_doc], whole
+
+
+def values(words: list[str], bucket: np.ndarray) -> np.ndarray:
+    """Mean of the buckets' numbers over the bag of each word."""
+    out = np.zeros(len(words))
+    for lo in range(0, len(words), GRAM_WORDS):
+        some = words[lo : lo + GRAM_WORDS]
+        word, at = grams(some)
+        out[lo : lo + len(some)] = np.bincount(word, bucket[at], len(some)) / np.bincount(word, minlength=len(some))
+    return out
 
 
 def fit(texts: list[str], labels: list[int]) -> bytes:
@@ -81,7 +114,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     if len(set(labels)) < 2:
         np.savez(out, bucket=np.zeros(BUCKETS, np.float32), bias=np.float32(-99))
         return out.getvalue()
-    words, per_doc = split_words(pa.array([t[:SAMPLE_CHARS] for t in texts], pa.large_string()))
+    words, per_doc, _ = split_words(pa.array([t[:SAMPLE_CHARS] for t in texts], pa.large_string()))
     word, bucket = grams(words.dictionary.to_pylist())
     order = np.argsort(word, kind="stable")
     bucket = bucket[order]
@@ -144,15 +177,14 @@ class Scorer:
         return cls._KNOWN[hash(model)]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
-        words, per_doc = split_words(texts)
+        words, per_doc, whole = split_words(texts)
         distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
-        if new := [w for w in distinct if w not in self.cache]:
-            word, bucket = grams(new)
-            value = np.bincount(word, self.bucket[bucket], len(new)) / np.bincount(word, minlength=len(new))
-            self.cache.update(zip(new, value.tolist(), strict=True))
-        value = np.array([self.cache[w] for w in distinct] or [0.0])
+        value = np.array([self.cache.get(w, np.nan) for w in distinct] or [0.0])
+        if len(new := np.flatnonzero(np.isnan(value))):
+            value[new] = values([distinct[i] for i in new], self.bucket)
+            self.cache.update((distinct[i], value[i].item()) for i in new[whole[new]])
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
         pairs, count = np.unique(owner * max(len(distinct), 1) + words.indices.to_numpy(), return_counts=True)
         owner, word = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)

@@ -115,6 +115,24 @@ def test_classifiers_on_held_out_rows(spark, module, label, modulus):
     assert {r.score < 0.01 if module is toxicity else r.score == 0.5 for r in module.score(docs, unlearned).collect()} == {True}
 
 
+@pytest.mark.parametrize("joint", ["", ".", "\u200b"])
+def test_toxicity_reads_runs_without_spaces_to_their_end(joint):
+    rows = corpus()
+    model = toxicity.fit([t for _, t, *_ in rows], [r[4] for r in rows])
+    rng = random.Random(3)
+    clean = [rng.choice(["kato", "rimo", "senu", "nukari", "tomose"]) for _ in range(120)]
+    bad = [*clean, *["qidiotz", "wurmzig"] * 30]
+    scorer = toxicity.Scorer(model)
+    low, high, spaced = scorer(pa.array([joint.join(clean), joint.join(bad), " ".join(bad)])).tolist()
+    assert len(joint.join(clean)) > 400 and low < 0.5 < high and spaced > 0.5
+    assert scorer(pa.array([joint.join(bad)])).tolist() == [high] == toxicity.Scorer(model)(pa.array(["kato", joint.join(bad)])).tolist()[1:]
+    assert len(scorer.cache) < 10
+    words, per_doc, whole = toxicity.split_words(pa.array(["ab Cd", None, "xyz" + "é" * 97 + " ab", "a" * 48]))
+    flat = [words.dictionary.to_pylist()[i] for i in words.indices.to_pylist()]
+    assert per_doc.tolist() == [2, 1, 15, 1] and flat[:4] == ["ab", "cd", "", "xyz" + "é" * 9] and flat[-2:] == ["ab", "a" * 48]
+    assert [w for w, x in zip(words.dictionary.to_pylist(), whole, strict=True) if x] == ["ab", "cd", "", "a" * 48]
+
+
 def test_labels_are_learned_from_usable_rows_only(spark):
     rows, docs, labels = model_tables(spark)
     flipped = labels.withColumn("toxic", F.when(crc_bucket("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
