@@ -19,15 +19,45 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.without_toxic(docs, model)
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """``docs`` with two hashes of the whole row, r1 and r2 (never null), by which decisions return to rows: ids may be null, repeated or shared."""
+    cells = [c for name in docs.columns for c in (F.col(name), F.col(name).isNull())]  # hashing skips nulls
+    return docs.withColumns({"r1": F.xxhash64(*cells), "r2": F.xxhash64(F.lit(1), *cells)})
+
+
+def _without(keyed: DataFrame, decided: DataFrame) -> DataFrame:
+    """Rows but those that ``decided`` (r1, r2, stays) doesn't let stay; of the equal rows of a key that stays, one is left."""
+    columns = [c for c in keyed.columns if c not in ("r1", "r2")]
+    others = keyed.join(decided.select("r1", "r2"), ["r1", "r2"], "left_anti").select(columns)
+    again = decided.where("stays").select("r1", "r2")
+    if again.isEmpty():
+        return others
+    return others.unionByName(keyed.join(again, ["r1", "r2"], "left_semi").dropDuplicates(["r1", "r2"]).select(columns))
+
+
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, one stays."""
-    return docs.join(exact_dedup.exact_dedup(docs).where("NOT kept").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of texts that are equal but for white space, one stays: the longest, then the one with the smallest id (null last)."""
+    keyed = _keyed(docs)
+    row = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "r1", "r2")
+    found = exact_dedup.exact_dedup(keyed.select(row.alias("doc_id"), "text")).where("group_size > 1")
+    rows = found.groupBy("doc_id.r1", "doc_id.r2").agg(F.max("kept").alias("stays"), F.count(F.lit(1)).alias("times"))
+    return _without(keyed, saved(rows.where("NOT stays OR times > 1").select("r1", "r2", "stays"), "copies"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that chains of similar ones connect (five-word shingles, 0.8 or more), the one with the smallest id stays."""
-    found = jaccard.jaccard_components(docs, words=5, percent=80)
-    return docs.join(found.where("component_id <> doc_id").select("doc_id").distinct(), "doc_id", "left_anti").select(docs.columns)
+    """Of documents that chains of similar ones connect (five-word shingles, 0.8 or more), the one with the smallest id (null last) stays."""
+    keyed = _keyed(docs)
+    found = jaccard.jaccard_components(keyed.select(F.col("r1").alias("doc_id"), "text"), words=5, percent=80).where("n_shingles > 0")
+    found = found.groupBy("doc_id").agg(F.min("component_id").alias("component_id"), F.max("copies").alias("copies"))
+    # Rows alone in their component are settled; keys are hashed anew, so that joins may split a hot component.
+    linked = found.where("copies > 1 OR component_id <> doc_id").select("component_id").distinct()
+    members = saved(found.join(linked, "component_id").select(F.col("doc_id").alias("r1"), "component_id"), "near-members")
+    rows = keyed.groupBy("r1", "r2").agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("times"))
+    rows = saved(rows.join(members, "r1"), "near-rows")
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", "r1", "r2")
+    best = rows.groupBy("component_id").agg(F.min(order).alias("best")).select(F.xxhash64("component_id").alias("key"), "best.r1", "best.r2").withColumnsRenamed({"r1": "b1", "r2": "b2"})
+    decided = rows.withColumn("key", F.xxhash64("component_id")).join(best, "key").withColumn("stays", F.expr("r1 = b1 AND r2 = b2"))
+    return _without(keyed, saved(decided.where("NOT stays OR times > 1").select("r1", "r2", "stays"), "near-copies"))
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -84,3 +84,29 @@ def test_run(spark, folder):
     pieces = cp.run(spark, path).collect()
     assert 0 < len({r.doc_id for r in pieces}) < len(texts)
     assert all(len(np.frombuffer(bytes(r.ids), "<u4")) == r.length for r in pieces)
+
+
+def test_copies_with_null_repeated_and_shared_ids(spark):
+    rng = random.Random(9)
+    a, b, c, d, e = (" ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(60)) for _ in range(5))
+    near = " ".join(c.split()[:-1]) + " changed"
+    rows = [
+        (None, a, "x"), (7, a, "x"), (7, a, "x"),  # null and repeated ids
+        (3, b, "x"), (5, b, "x"), (5, c, "x"), (2, near, "x"),  # a shared id: b of 5 goes as a copy, c of 5 as a near copy
+        (8, d, "x"), (8, d, "y"), (8, d.replace(" ", "\t"), "x"),  # equal but for other columns or the kind of white space
+        (None, e, "x"), (None, e, "x"), (None, e + " more", "x"),
+        (10, "", "x"), (10, None, "x"), (None, "", "x"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    once = cp.saved(cp.drop_copies(spark, docs, ""), "once")
+    assert once.columns == docs.columns
+    left = sorted(((r.doc_id, (r.text or "").replace("\t", " ")) for r in once.collect()), key=str)
+    assert left == sorted([(7, a), (3, b), (5, c), (2, near), (8, d), (None, e), (None, e + " more"), (10, "")], key=str)
+
+    for before in (once, once.unionByName(once)):  # the second has equal rows only this stage meets
+        twice = cp.saved(cp.drop_near_copies(spark, before, ""), "twice")
+        left = sorted(((r.doc_id, (r.text or "").replace("\t", " ")) for r in twice.where("length(text) > 0").collect()), key=str)
+        last = [x for x in left if x[0] is None]
+        assert len(last) == 1 and [x for x in left if x[0] is not None] == sorted([(7, a), (3, b), (2, near), (8, d)], key=str)
+    kept = {r.text for r in cp.drop_passages(spark, twice, "").collect()}
+    assert {a, b, near} <= kept
