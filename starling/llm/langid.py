@@ -1,6 +1,7 @@
 """Language identification by cross-parsing entropy.
 
-For each language a suffix automaton is built over a bounded sample of its labelled texts. A
+For each language a suffix automaton is built over a bounded sample of its labelled texts:
+pieces that lie evenly over the whole of each text, and as evenly from all sampled texts. A
 text is parsed against each automaton into longest matches; fewer phrases mean a lower cross
 entropy, phrases * log2(sample length) / text length, and the language with the lowest wins.
 Automata are dense transition tables, and many stretches of text are parsed in step with numpy:
@@ -23,8 +24,10 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starling.llm.common import batch_of, ragged, raw, steps
 
-#: Bounds of the sample: documents of each language, characters of each of them, symbols of each automaton.
+#: Bounds of the sample: documents of each language, characters of each of them, characters of each automaton.
 DOCS_PER_LANG, CHARS_PER_DOC, SYMBOLS_PER_LANG = 96, 600, 24_000
+#: Of longer texts, the characters of a sample are pieces of so many.
+PIECE = 60
 STRETCH = 256
 UNKNOWN = "und"
 STEP = 2 << 20
@@ -77,7 +80,7 @@ class Model:
         used = 1
         for lang in self.langs:
             symbols = [self.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in samples[lang]]
-            text = np.concatenate([np.append(s, GAP) for s in symbols])[:SYMBOLS_PER_LANG]
+            text = np.concatenate([np.append(s, GAP) for s in symbols])
             automaton = suffix_automaton(text.tolist())
             table = np.zeros((len(automaton), self.width), np.int32)
             for state, moves in enumerate(automaton):
@@ -154,16 +157,41 @@ class Model:
         return out, lettered
 
 
+def pieces(text: Column) -> Column:
+    """The text if it has up to CHARS_PER_DOC characters, else as many in pieces, the first at its start and the last at its end."""
+    n, most = F.length(text).cast("long"), CHARS_PER_DOC // PIECE
+    spread = F.transform(F.sequence(F.lit(0), F.lit(most - 1)), lambda i: F.substring(text, (F.floor(i * (n - PIECE) / (most - 1)) + 1).cast("int"), F.lit(PIECE)))
+    return F.when(n > CHARS_PER_DOC, spread).otherwise(F.array(text))
+
+
+def shared(texts: list[list[str]], most: int = SYMBOLS_PER_LANG) -> list[str]:
+    """Pieces of all texts with about ``most`` characters together: short texts are whole, longer ones give equally much."""
+    level, left, rest = most, most, len(texts)
+    for n in sorted(sum(map(len, text)) for text in texts):
+        level = left // rest
+        if n > level:
+            break
+        left, rest = left - n, rest - 1
+    out = []
+    for text in texts:
+        if sum(map(len, text)) > level:
+            text = [t[at : at + PIECE] for t in text for at in range(0, len(t), PIECE)]
+            k = max(1, level // PIECE)
+            text = [text[i] for i in np.linspace(0, len(text) - 1, k).round().astype(int)] if k > 1 else [text[len(text) // 2]]
+        out += text
+    return out
+
+
 def train(docs: DataFrame, usable: Column, docs_per_lang: int = DOCS_PER_LANG) -> bytes:
     """Learns from at most ``docs_per_lang`` documents of each language among rows where ``usable`` holds."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable).select("lang", "doc_id", F.substring("text", 1, CHARS_PER_DOC).alias("text"))
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable).select("lang", "doc_id", pieces(F.col("text")).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    samples: dict[str, list[str]] = {}
+    samples: dict[str, list[list[str]]] = {}
     for row in rows.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).orderBy("lang", "rank").collect():
         known = samples.setdefault(row["lang"], [])
-        if row["text"] not in known and any(map(str.isalpha, row["text"])):
+        if row["text"] not in known and any(map(str.isalpha, "".join(row["text"]))):
             known.append(row["text"])
-    return pickle.dumps(Model({lang: texts for lang, texts in samples.items() if texts}))
+    return pickle.dumps(Model({lang: shared(texts) for lang, texts in samples.items() if texts}))
 
 
 def predict(docs: DataFrame, model: bytes) -> DataFrame:

@@ -4,7 +4,7 @@ Bytes are embedded; learned filters read overlapping chunks (CHUNK bytes, each b
 bytes after the last) that cover the whole document; each filter's response is rectified and
 max-pooled over the chunks, and a logistic unit combines the pooled responses into one
 probability. Embedding, filters and output are trained together by Adam on a bounded sample of
-labelled documents; through the maximum, gradients reach only the chunk that each filter chose.
+whole labelled documents (SAMPLE, and samples.SAMPLE_BYTES); through the maximum, gradients reach only the chunk that each filter chose.
 
 Edge cases: a null or empty text is one chunk of padding. With no usable labels of one class
 every score is 0.5. Repeated rows score equally; an empty table gives an empty result; columns
@@ -22,8 +22,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from starling.llm.common import batch_of, raw, steps
 from starling.llm.samples import labelled, trained
 
-#: Most documents of class 0 and of class 1 that the model is fitted on, and the bytes of each that fitting uses (scoring uses all).
-SAMPLE, SAMPLE_BYTES = (1500, 3000), 2048
+#: Most documents of class 0 and of class 1 that the model is fitted on.
+SAMPLE = (1500, 3000)
 HOP = 8
 CHUNK = 2 * HOP
 EMBED, FILTERS = 8, 16
@@ -86,6 +86,16 @@ class Net:
                 demb[:, k] += np.bincount(x.ravel(), back[:, k], 256)
         return grads | {"emb": demb}
 
+    def summed(self, texts: list[np.ndarray], target: np.ndarray) -> dict[str, np.ndarray]:
+        """Gradients of a batch, added up over runs of texts of about STEP bytes."""
+        offsets, out = np.r_[0, np.cumsum([len(t) for t in texts])], None
+        edges = np.flatnonzero(np.diff(offsets[:-1] // STEP)) + 1
+        for lo, hi in zip(np.r_[0, edges], np.r_[edges, len(texts)], strict=True):
+            part = self.gradients(*blocks(np.concatenate(texts[lo:hi]), offsets[lo : hi + 1] - offsets[lo]), target[lo:hi])
+            part = {k: g * np.float32((hi - lo) / len(texts)) if hi - lo < len(texts) else g for k, g in part.items()}
+            out = part if out is None else {k: g + part[k] for k, g in out.items()}
+        return out
+
 
 def fit(texts: list[str], labels: list[int]) -> bytes:
     net, out = Net.random(), io.BytesIO()
@@ -93,7 +103,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
         net.p = {k: np.zeros_like(x) for k, x in net.p.items()}
     else:
         rng, y = np.random.default_rng(SEED), np.array(labels, np.float32)
-        data = [np.frombuffer(t.encode()[:SAMPLE_BYTES], np.uint8) for t in texts]
+        data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
         moments = {k: (np.zeros_like(x), np.zeros_like(x)) for k, x in net.p.items()}
         each = -(-len(y) // BATCH)
         step, epochs = 0, max(EPOCHS, -(-LEAST_STEPS // each))
@@ -101,8 +111,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
             order = rng.permutation(len(y))
             for lo in range(0, len(y), BATCH):
                 some = order[lo : lo + BATCH]
-                offsets = np.r_[0, np.cumsum([len(data[i]) for i in some])]
-                grads = net.gradients(*blocks(np.concatenate([data[i] for i in some]), offsets), y[some])
+                grads = net.summed([data[i] for i in some], y[some])
                 step += 1
                 rate = RATE * (1 - step / (epochs * each + 1)) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
                 for k, g in grads.items():

@@ -5,14 +5,19 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from starling.llm.common import batch_of
 
+#: Whole texts of one class in a sample end with the one that reaches so many bytes: with long documents there are fewer, but none is cut.
+SAMPLE_BYTES = 24 << 20
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: tuple[int, int]) -> DataFrame:
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: tuple[int, int], size: int = SAMPLE_BYTES) -> DataFrame:
     """doc_id, text, label of at most most[c] documents of class c (0 and 1), chosen by the hash of their ids.
 
+    Texts are whole; a class ends early with the text that reaches ``size`` bytes.
+
     A document with several labels counts as 1 if any of them is; null ids and labels are left out.
     The chosen ids (at most sum(most) of them) are broadcast to the scan of the texts.
     """
@@ -20,7 +25,10 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, mos
     order = F.xxhash64("doc_id")
     picked = [one.where(F.col("label") == c).orderBy(order, "doc_id").limit(most[c]) for c in (0, 1)]
     ids = picked[0].unionByName(picked[1])
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
+    before = Window.partitionBy("label").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
+    texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(before), F.lit(0).cast("long")))
+    return texts.where(F.col("before") < size).drop("before")
 
 
 def trained(sample: DataFrame, fit: Callable[[list[str], list], bytes], label: str = "label") -> bytes:

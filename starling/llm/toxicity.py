@@ -3,7 +3,7 @@
 A word is the bag of its character n-grams (with marks for its ends) and itself, hashed into
 buckets; each bucket has an embedding. A document is the mean over its words (each counted
 once for SPAN words of text at most) of the mean of their bags, and a linear softmax over it gives the probability. Embeddings and softmax are
-trained together by Adam on a bounded sample of labelled documents (SAMPLE).
+trained together by Adam on a bounded sample of whole labelled documents (SAMPLE, and samples.SAMPLE_BYTES).
 As the model is linear in the words, a trained word is one number; scoring a document is the
 same mean of its words' numbers over its whole text, however long. A run without white space
 of more than LONGEST characters (unspaced scripts, joined words) is read as parts of PART
@@ -28,8 +28,6 @@ from starling.llm.samples import labelled, trained
 
 #: Most documents of class 0 and of class 1 that the model is fitted on.
 SAMPLE = (4200, 1400)
-#: Of a sampled document, so many characters are used for fitting (scoring uses all).
-SAMPLE_CHARS = 4000
 BUCKETS, DIM, GRAMS = 1 << 17, 4, (3, 4, 5, 6)
 EPOCHS, RATE, GAIN, SEED = 5, 0.3, 100.0, 7
 #: A small sample is gone through more often, for so many steps at least.
@@ -114,11 +112,13 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     if len(set(labels)) < 2:
         np.savez(out, bucket=np.zeros(BUCKETS, np.float32), bias=np.float32(-99))
         return out.getvalue()
-    words, per_doc, _ = split_words(pa.array([t[:SAMPLE_CHARS] for t in texts], pa.large_string()))
-    word, bucket = grams(words.dictionary.to_pylist())
-    order = np.argsort(word, kind="stable")
-    bucket = bucket[order]
-    size = np.bincount(word, minlength=len(words.dictionary))
+    words, per_doc, _ = split_words(pa.array(texts, pa.large_string()))
+    distinct, bags, sizes = words.dictionary.to_pylist(), [], []
+    for lo in range(0, len(distinct), GRAM_WORDS):
+        word, bucket = grams(distinct[lo : lo + GRAM_WORDS])
+        bags.append(bucket[np.argsort(word, kind="stable")].astype(np.int32))
+        sizes.append(np.bincount(word))
+    bucket, size = np.concatenate(bags), np.concatenate(sizes)
     first = np.cumsum(size) - size
     index, ends = words.indices.to_numpy(), np.cumsum(per_doc)
     rows = []

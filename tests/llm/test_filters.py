@@ -10,7 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from starling.llm import exact_dedup as ed, langid, media, quality, toxicity
+from starling.llm import exact_dedup as ed, langid, media, quality, samples, toxicity
 from starling.llm.common import crc_bucket, raw
 
 TEXTS = ["", None, " \t\n\x0b\x0c\r ", "a b", "ab", " a  b ", "a\xa0b", "AB", "x" * 100_000, "x" * 99_999 + " x", "é" * 70, "é" * 70 + " ", "prefix " * 20 + "one", "prefix " * 20 + "two", "prefix " * 20 + "eno"]
@@ -133,6 +133,57 @@ def test_toxicity_reads_runs_without_spaces_to_their_end(joint):
     assert [w for w, x in zip(words.dictionary.to_pylist(), whole, strict=True) if x] == ["ab", "cd", "", "a" * 48]
 
 
+@pytest.mark.parametrize("module", [toxicity, quality])
+def test_fitting_reads_whole_texts(module):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice(["ka", "to", "ri", "mo", "se", "nu"]) for _ in range(rng.randint(1, 4)))
+    late = [x + y + z for x in ("qidio", "wurmz", "zyxq") for y in "bdfg" for z in ("z", "tz", "ig")] if module is toxicity else ["ka###", "to$$$"]
+    texts, marked = [], [i % 2 == 0 for i in range(60)]
+    for is_marked in marked:
+        tail = [rng.choice(late) if is_marked and i % 3 == 0 else word() for i in range(90)]
+        texts.append(" ".join([word() for _ in range(900)] + tail))
+    assert min(map(len, texts)) > 4500
+    model = module.fit(texts, [int(x == (module is toxicity)) for x in marked])
+    short = [" ".join([word() for _ in range(60)] + more) for more in ([word() for _ in range(30)], (late * 15)[:36])]
+    clean, bad = toxicity.Scorer(model)(pa.array(short)) if module is toxicity else 1 - quality.load(model)(*quality.blocks(*raw(pa.array(short))))
+    assert clean < 0.5 < bad
+
+
+def test_gradients_of_parts_add_up(monkeypatch):
+    rng, net = np.random.default_rng(0), quality.Net.random()
+    texts, y = [rng.integers(0, 255, n).astype(np.uint8) for n in (0, 500, 90, 3000, 7)], np.array([0, 1, 1, 0, 1], np.float32)
+    whole = net.summed(texts, y)
+    monkeypatch.setattr(quality, "STEP", 400)
+    for k, g in net.summed(texts, y).items():
+        assert np.allclose(g, whole[k], atol=1e-5)
+
+
+def test_samples_hold_whole_texts_up_to_a_size(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(20)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, toxic int")
+    for size, n in ((1, 1), (2500, 3), (10**6, 8)):
+        got = samples.labelled(docs, labels, "toxic", F.lit(True), (8, 8), size).collect()
+        assert {len(r.text) for r in got} == {1000} and [sum(r.label == c for r in got) for c in (0, 1)] == [n, n]
+
+
+def test_language_sample_covers_whole_texts_of_all_documents(spark):
+    rng = random.Random(2)
+    boiler = " ".join(rng.choice(["lorem", "ipsum", "dolor"]) for _ in range(140))
+    def text(lang):
+        return boiler + " " + " ".join("".join(rng.choice({"xx": ["ka", "to", "ri"], "yy": ["schl", "ein", "gra"]}[lang]) for _ in range(3)) for _ in range(300))
+    rows = [(i, text(lang), lang) for i, lang in enumerate(["xx", "yy"] * 30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    probe = spark.createDataFrame([(i, text(lang)[len(boiler) + 1 :], lang) for i, lang in enumerate(["xx", "yy"] * 10)], "doc_id long, text string, lang string")
+    got = langid.predict(probe, langid.train(docs, F.lit(True))).collect()
+    assert all(r.lang_pred == ["xx", "yy"][r.doc_id % 2] and r.score > 0.6 for r in got)
+    parts = docs.select("text", langid.pieces(F.col("text")).alias("p")).first()
+    assert len(parts.p) == 10 and parts.p[0] == parts.text[:60] and parts.p[-1] == parts.text[-60:] and all(p in parts.text for p in parts.p)
+    texts = [[chr(0x4E00 + i) * 60] * 10 for i in range(94)] + [["abc"], ["d" * 590]]
+    drawn = langid.shared(texts)
+    assert {t[0] for t in drawn} == {t[0][0] for t in texts} and "abc" in drawn and 0.9 * 24_000 < sum(map(len, drawn)) <= 24_000
+    assert langid.shared(texts[:30]) == [p for t in texts[:30] for p in t]
+
+
 def test_labels_are_learned_from_usable_rows_only(spark):
     rows, docs, labels = model_tables(spark)
     flipped = labels.withColumn("toxic", F.when(crc_bucket("doc_id", 3) == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")))
