@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
@@ -18,14 +20,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_OWN_FOLDER: dict[str, str] = {}
+_SAVED: list[str] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session may leave the setting out; its one process gets a temporary folder then.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN_FOLDER:
+            _OWN_FOLDER[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        root = _OWN_FOLDER[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -34,10 +45,23 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = scratch(df.sparkSession, name)
     schema = df.schema
     df.write.option("compression", "zstd").parquet(path)
+    _SAVED.append(path)
     df.sparkSession.sparkContext._jvm.System.gc()  # lets Spark remove the shuffle files of finished steps now
     return df.sparkSession.read.schema(schema).parquet(path)
 
 
+def saved_so_far() -> int:
+    return len(_SAVED)
+
+
+def remove_saved(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Deletes the tables that ``saved`` wrote after ``since`` of them; DataFrames that read them end with it."""
+    for path in _SAVED[since:until]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _SAVED[since:until]
+
+
 def crc_bucket(doc_id: str, modulus: int) -> Column:
     """crc32 of the id's text, modulo; null for a null id."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
