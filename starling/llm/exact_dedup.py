@@ -3,7 +3,10 @@
 Texts are equal when they are identical without the characters space and U+0009 to U+000D.
 Rows are narrowed in steps: documents whose normalised length nobody shares are settled at
 once; of the others, those whose hash of a prefix nobody of that length shares; only what is
-left has its full content hashed and grouped. Texts never cross a shuffle.
+left has its full content hashed and grouped. The plan is one for all sizes: Spark joins the
+surviving (length, prefix hash) keys by shuffle, or sends them around if their table is below its
+own broadcast threshold. Where every digest is wanted they are taken at the scan, so that texts
+never cross a shuffle.
 
 Edge cases: a null text counts as empty, and all empty texts form one group. Of equal texts the
 row with the most code points stays, then the one with the smallest doc_id (a null doc_id comes
@@ -20,8 +23,6 @@ from starling.llm.common import saved
 
 #: Characters of the normalised text that the second step hashes.
 PREFIX_CHARS = 64
-#: Up to so many surviving (length, prefix) keys (16 bytes each) go to all executors; more are joined by shuffle.
-BROADCAST_KEYS = 200_000
 
 _SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
@@ -54,31 +55,24 @@ def exact_dedup(docs: DataFrame, digest_all: bool = False) -> DataFrame:
     """
     sig = signatures(docs)
     keys = saved(surviving_keys(sig.drop("norm")), "dedup-keys").withColumn("shared", F.lit(True))
-    small = keys.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    if small:
-        # Only documents with a surviving key have their whole content hashed.
-        hashed = sig.join(F.broadcast(keys), ["norm_len", "prefix_hash"], "left")
-        content = F.sha2(F.encode("norm", "UTF-8"), 256)
-        hashed = hashed.withColumn("text_hash", content if digest_all else F.when(F.col("shared"), content)).drop("norm")
+    content = F.unhex(F.sha2(F.encode("norm", "UTF-8"), 256))
+    if digest_all:
+        hashed = sig.withColumn("key", content).drop("norm").join(keys, ["norm_len", "prefix_hash"], "left")
     else:
-        # Too many keys to send around: hash at the scan, so that the join moves narrow rows only.
-        hashed = sig.withColumn("text_hash", F.sha2(F.encode("norm", "UTF-8"), 256)).drop("norm").join(keys, ["norm_len", "prefix_hash"], "left")
+        # Only documents with a surviving key have their whole content hashed.
+        hashed = sig.join(keys, ["norm_len", "prefix_hash"], "left").withColumn("key", F.when(F.col("shared"), content)).drop("norm")
+    hashed = saved(hashed.select("doc_id", "chars", "shared", "key"), "dedup-hashes")
     order = F.struct(-F.col("chars"), F.col("doc_id").isNull(), F.col("doc_id"))
-    groups = (
-        hashed.where("shared")
-        .groupBy("text_hash")
-        .agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size"))
-        .where("group_size > 1")
-        # The key is rebuilt, so that the join shuffles both sides itself and may split a hot group.
-        .select(F.unhex("text_hash").alias("key"), F.col("first.doc_id").alias("keep_id"), "group_size")
-    )
-    rows = hashed.withColumn("key", F.when(F.col("shared"), F.unhex("text_hash")))
-    out = rows.join(groups, "key", "left")
+    groups = hashed.where("shared").groupBy("key").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("group_size")).where("group_size > 1")
+    # Joined on a second column besides, so that both sides are shuffled for the join and Spark may split a hot group.
+    groups = groups.select("key", F.xxhash64("key").alias("salt"), F.col("first.doc_id").alias("keep_id"), "group_size")
+    rows = hashed.withColumn("salt", F.when(F.col("shared"), F.xxhash64("key")))
+    out = rows.join(groups, ["key", "salt"], "left")
     grouped = F.col("group_size").isNotNull()
     return out.select(
         "doc_id",
         F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id")).alias("keep_id"),
         F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
         F.when(grouped, F.col("keep_id").eqNullSafe(F.col("doc_id"))).otherwise(F.lit(True)).alias("kept"),
-        "text_hash",
+        F.lower(F.hex("key")).alias("text_hash"),
     )
