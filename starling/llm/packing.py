@@ -3,7 +3,9 @@
 Each document's ids (with the end id) are cut into pieces whose lengths are powers of two: as
 many of the full length as fit, then the binary digits of the rest. Pieces of equal length form
 a bucket, and each piece is one sequence of its own: no sequence crosses documents, and none
-needs padding. Work is one map over the documents, without a shuffle.
+needs padding. One map cuts the documents; a range shuffle then brings each bucket together, the
+longest first, in the order of doc_id and start, and numbers its sequences without gaps, so that
+the numbers don't depend on how the input is split into files.
 
 Edge cases: a null or empty text gives the end id alone. Repeated rows are packed each by
 itself. An empty table gives no pieces; columns other than doc_id and text are ignored. A null
@@ -14,9 +16,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
-from starling.llm.common import batch_of, binaries, steps
+from starling.llm.common import batch_of, binaries, saved, steps
 from starling.llm.words import WordEncoder
 
 
@@ -37,9 +39,10 @@ def pieces_of(lens: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, n
 
 
 def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1) -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian uint32), doc_tokens, bucket, sequence_id, offset.
 
-    ``longest`` must be a power of two. ``length`` is the bucket as well.
+    ``longest`` must be a power of two. ``bucket`` is the logarithm of ``length``; sequence ids of a
+    bucket follow each other.
     """
     if longest & (longest - 1) or longest < 1:
         raise ValueError("longest must be a power of two")
@@ -53,5 +56,12 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
-    return out.withColumn("sequence_id", F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast(T.LongType()))
+    cut = docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, start long, length long, ids binary, doc_tokens long")
+    cut = saved(cut.withColumn("bucket", F.log2("length").cast("int")), "pieces")
+    order = [F.desc("bucket"), "doc_id", "start", F.crc32("ids")]
+    rows = cut.repartitionByRange(*order).sortWithinPartitions(*order)
+    rows = saved(rows.withColumn("part", F.spark_partition_id()).withColumn("idx", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "buckets")
+    before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
+    parts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    out = rows.join(F.broadcast(parts), "part")
+    return out.select("doc_id", "start", "length", "ids", "doc_tokens", "bucket", (F.col("before") + F.col("idx")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
