@@ -2,15 +2,18 @@
 
 Layout of a store folder, all Parquet:
 
-* ``chunks``: hash (blake2b-128 of the ids), ids (little-endian, 2 bytes an id if the vocabulary
-  allows, else 4). A rolling hash over the last few ids decides where a stream is cut, so equal
-  passages give equal chunks wherever they stand; each distinct chunk is stored once.
+* ``chunks``: hash (blake2b-128 of the ids), ids (little-endian) and width, the bytes of an id: 2
+  if the vocabulary allows, else 4. A rolling hash over the last few ids decides where a stream is
+  cut, so equal passages give equal chunks wherever they stand; each distinct chunk is stored once.
 * ``recipes``: one row per document in ascending doc_id order: part, idx (row within the part),
   doc_id, start (ids of all documents before it), n_tokens, hashes and lens of its chunks, leaf.
-* ``manifest``: Merkle root, documents and ids of each part. A leaf is the sha-256 of the recipe.
+* ``manifest``: Merkle root, documents and tokens of each part. A leaf is the sha-256 of the
+  recipe: doc_id, start, n_tokens, lengths and hashes.
 
-Reading verifies every chunk against its address and rebuilds each document's crc32 from the
-digests of its chunks, so that chunk bytes never cross a shuffle. ``documents`` restores ids.
+Reading recomputes the Merkle roots from the recipes and fails if a part, its documents or its
+tokens differ from the manifest; it verifies every chunk against its address, and rebuilds each
+document's crc32 from the digests of its chunks, so that chunk bytes never cross a shuffle.
+``documents`` restores ids.
 
 Edge cases: a null or empty text is the end id alone. Rows that share a doc_id (or have none;
 null comes first) are documents of their own, ordered by their recipes. An empty table makes an
@@ -33,6 +36,8 @@ from starling.llm.words import WordEncoder
 WINDOW, MEAN, LEAST, MOST = 8, 512, 64, 4096
 #: Children of a node of the Merkle tree.
 FANOUT = 256
+#: Up to so many ids take two bytes each.
+NARROW = 1 << 16
 _CRC = 0xEDB88320
 
 
@@ -72,11 +77,11 @@ def cut_points(ids: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) -> None:
     """Encodes all documents and writes the store below ``path``."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind, narrow = docs.schema["doc_id"].dataType.simpleString(), NARROW
 
     def run(batches):
         encoder = WordEncoder.of(tokenizer)
-        wide = np.uint16 if len(encoder.ends) <= 1 << 16 else np.uint32
+        wide = np.uint16 if len(encoder.ends) <= narrow else np.uint32
         for batch in steps(batches):
             ids, lens = encoder.encode_closed(batch.column("text"), end_id)
             sizes, counts = cut_points(ids, lens)
@@ -85,35 +90,43 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
             chunks = [data[e - n * width : e] for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
             hashes = [hashlib.blake2b(c, digest_size=16).digest() for c in chunks]
             offsets = pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32))
-            leaf = []
-            at = 0
-            for n in counts.tolist():
-                leaf.append(hashlib.sha256(b"".join(hashes[at : at + n])).hexdigest())
-                at += n
             yield batch_of(
                 doc_id=batch.column("doc_id"), n_tokens=pa.array(lens), hashes=pa.ListArray.from_arrays(offsets, pa.array(hashes, pa.binary())),
-                lens=pa.ListArray.from_arrays(offsets, pa.array(sizes)), leaf=pa.array(leaf, pa.string()), hash=pa.nulls(len(lens), pa.binary()), ids=pa.nulls(len(lens), pa.binary()),
+                lens=pa.ListArray.from_arrays(offsets, pa.array(sizes)), hash=pa.nulls(len(lens), pa.binary()), ids=pa.nulls(len(lens), pa.binary()), width=pa.nulls(len(lens), pa.int32()),
             )
             own = dict(zip(hashes, chunks, strict=True))
             n = len(own)
             yield batch_of(
                 doc_id=pa.nulls(n, batch.column("doc_id").type), n_tokens=pa.nulls(n, pa.int64()), hashes=pa.nulls(n, pa.list_(pa.binary())),
-                lens=pa.nulls(n, pa.list_(pa.int64())), leaf=pa.nulls(n, pa.string()), hash=pa.array(list(own), pa.binary()), ids=pa.array(list(own.values()), pa.binary()),
+                lens=pa.nulls(n, pa.list_(pa.int64())), hash=pa.array(list(own), pa.binary()), ids=pa.array(list(own.values()), pa.binary()), width=pa.array([width] * n, pa.int32()),
             )
 
-    staged = saved(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, hashes array<binary>, lens array<long>, leaf string, hash binary, ids binary"), "token-stage")
-    staged.where("hash IS NOT NULL").select("hash", "ids").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
+    staged = saved(docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, hashes array<binary>, lens array<long>, hash binary, ids binary, width int"), "token-stage")
+    staged.where("hash IS NOT NULL").select("hash", "ids", "width").dropDuplicates(["hash"]).write.option("compression", "zstd").parquet(f"{path}/chunks")
 
-    rows = staged.where("hash IS NULL").select("doc_id", "n_tokens", "hashes", "lens", "leaf")
-    ordered = rows.repartitionByRange("doc_id", "leaf").sortWithinPartitions("doc_id", "leaf")
+    rows = staged.where("hash IS NULL").select("doc_id", "n_tokens", "hashes", "lens")
+    order = ["doc_id", F.xxhash64("hashes"), "n_tokens"]
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
     numbered = saved(ordered.withColumn("part", F.spark_partition_id()).withColumn("idx", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)), "token-order")
     within = Window.partitionBy("part").orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
     over_parts = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)  # a row per part
     parts = numbered.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
     offsets = parts.select("part", F.coalesce(F.sum("tokens").over(over_parts), F.lit(0)).alias("before"))
-    recipes = numbered.join(offsets, "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0)))
+    recipes = numbered.join(offsets, "part").withColumn("start", F.col("before") + F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).withColumn("leaf", recipe_leaf())
     recipes.select("part", "idx", "doc_id", "start", "n_tokens", "hashes", "lens", "leaf").sortWithinPartitions("part", "idx").write.parquet(f"{path}/recipes")
-    merkle_roots(numbered.select("part", "idx", "leaf")).join(parts, "part").write.parquet(f"{path}/manifest")
+    manifest_of(docs.sparkSession.read.parquet(f"{path}/recipes")).write.parquet(f"{path}/manifest")
+
+
+def recipe_leaf():
+    """sha-256 of what a recipe says."""
+    head = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("doc_id").isNull().cast("string"), "start", "n_tokens", F.concat_ws(",", F.col("lens").cast("array<string>")))
+    return F.sha2(F.concat(head.cast("binary"), F.expr("aggregate(hashes, cast('' as binary), (a, h) -> concat(a, h))")), 256)
+
+
+def manifest_of(recipes: DataFrame) -> DataFrame:
+    """part, root, documents, tokens of recipes with their leaves."""
+    parts = recipes.groupBy("part").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("documents"))
+    return merkle_roots(recipes.select("part", "idx", "leaf")).join(parts, "part")
 
 
 def merkle_roots(leaves: DataFrame) -> DataFrame:
@@ -146,6 +159,11 @@ def crc_shift(crc: np.ndarray, n_bytes: np.ndarray) -> np.ndarray:
     return out
 
 
+def _wide(ids: bytes, width: int) -> bytes:
+    """Stored ids as little-endian 4-byte ones."""
+    return ids if width == 4 else np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+
+
 def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
     """hash, crc and n of every stored chunk; fails on one that its address doesn't match."""
 
@@ -155,14 +173,15 @@ def chunk_digests(spark: SparkSession, path: str) -> DataFrame:
             for h, c in zip(hashes, data, strict=True):
                 if hashlib.blake2b(c, digest_size=16).digest() != h:
                     raise ValueError(f"chunk {h.hex()} is damaged")
-            ids = [np.frombuffer(c, np.uint16).astype("<u4").tobytes() for c in data]
+            ids = [_wide(c, w) for c, w in zip(data, batch.column("width").to_pylist(), strict=True)]
             yield batch_of(hash=batch.column("hash"), crc=pa.array(map(zlib.crc32, ids), pa.int64()), n=pa.array([len(c) >> 2 for c in ids], pa.int64()))
 
     return spark.read.parquet(f"{path}/chunks").mapInArrow(run, "hash binary, crc long, n long")
 
 
 def read_digests(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 of every document, from the stored files."""
+    """doc_id, start, n_tokens, ids_crc32 of every document, from the stored files; fails if they don't verify."""
+    ensure_intact(spark, path)
 
     def run(batches):
         for batch in batches:
@@ -171,31 +190,50 @@ def read_digests(spark: SparkSession, path: str) -> DataFrame:
                 raise ValueError("a chunk is missing from the store")
             after = batch.column("after").to_numpy(zero_copy_only=False) * 4
             term = crc_shift(crc.to_numpy(zero_copy_only=False), after).astype(np.int64)
-            yield batch_of(**{c: batch.column(c) for c in ("part", "idx", "doc_id", "start", "n")}, term=pa.array(term))
+            yield batch_of(**{c: batch.column(c) for c in ("part", "idx", "doc_id", "start", "said", "n")}, term=pa.array(term))
 
     recipes = spark.read.parquet(f"{path}/recipes")
     kind = recipes.schema["doc_id"].dataType.simpleString()
     uses = recipes.select("part", "idx", "doc_id", "start", "n_tokens", "lens", F.posexplode("hashes").alias("pos", "hash"))
     # Ids after this chunk in its document.
-    uses = uses.withColumn("after", F.col("n_tokens") - F.aggregate(F.slice("lens", 1, F.col("pos") + 1), F.lit(0).cast("long"), lambda a, x: a + x)).drop("lens", "n_tokens")
-    found = uses.join(chunk_digests(spark, path), "hash", "left").mapInArrow(run, f"part int, idx long, doc_id {kind}, start long, n long, term long")
-    out = found.groupBy("part", "idx", "doc_id", "start").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(term)").alias("ids_crc32"))
-    return out.select("doc_id", "start", "n_tokens", "ids_crc32")
+    uses = uses.withColumn("after", F.col("n_tokens") - F.aggregate(F.slice("lens", 1, F.col("pos") + 1), F.lit(0).cast("long"), lambda a, x: a + x)).drop("lens").withColumnRenamed("n_tokens", "said")
+    found = uses.join(chunk_digests(spark, path), "hash", "left").mapInArrow(run, f"part int, idx long, doc_id {kind}, start long, said long, n long, term long")
+    out = found.groupBy("part", "idx", "doc_id", "start", "said").agg(F.sum("n").alias("n_tokens"), F.expr("bit_xor(term)").alias("ids_crc32"))
+    whole = F.when(F.col("n_tokens") == F.col("said"), F.col("n_tokens")).otherwise(F.raise_error(F.lit("a recipe's chunks don't have its number of ids")).cast("long"))
+    return out.select("doc_id", "start", whole.alias("n_tokens"), "ids_crc32")
 
 
 def documents(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, ids (as stored) of every document, rebuilt from its recipe."""
+    """doc_id, start, ids (little-endian uint32) of every document, rebuilt from its verified recipe."""
+    ensure_intact(spark, path)
     uses = spark.read.parquet(f"{path}/recipes").select("part", "idx", "doc_id", "start", F.posexplode("hashes").alias("pos", "hash"))
+    kind = uses.schema["doc_id"].dataType.simpleString()
     rows = uses.join(spark.read.parquet(f"{path}/chunks"), "hash", "left")
-    rows = rows.groupBy("part", "idx", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "ids"))).alias("chunks"))
-    return rows.select("doc_id", "start", F.expr("aggregate(chunks, cast('' as binary), (a, c) -> concat(a, c.ids))").alias("ids"))
+    rows = rows.groupBy("part", "idx", "doc_id", "start").agg(F.array_sort(F.collect_list(F.struct("pos", "hash", "ids", "width"))).alias("chunks"))  # of one document
+
+    def run(batches):
+        for batch in batches:
+            found = []
+            for chunks in batch.column("chunks").to_pylist():
+                for c in chunks:
+                    if c["ids"] is None or hashlib.blake2b(c["ids"], digest_size=16).digest() != c["hash"]:
+                        raise ValueError(f"chunk {c['hash'].hex()} is damaged or missing")
+                found.append(b"".join(_wide(c["ids"], c["width"]) for c in chunks))
+            yield batch_of(doc_id=batch.column("doc_id"), start=batch.column("start"), ids=pa.array(found, pa.binary()))
+
+    return rows.select("doc_id", "start", "chunks").mapInArrow(run, f"doc_id {kind}, start long, ids binary")
 
 
 def verify(spark: SparkSession, path: str) -> DataFrame:
-    """part, intact: whether each part's recipes still have the Merkle root of the manifest."""
-    leaf = F.sha2(F.expr("aggregate(hashes, cast('' as binary), (a, h) -> concat(a, h))"), 256)
-    now = merkle_roots(spark.read.parquet(f"{path}/recipes").select("part", "idx", leaf.alias("leaf"))).withColumnRenamed("root", "found")
-    return spark.read.parquet(f"{path}/manifest").join(now, "part", "left").select("part", F.col("root").eqNullSafe(F.col("found")).alias("intact"))
+    """part, intact: whether each part's recipes still give the manifest's Merkle root, documents and tokens."""
+    now = manifest_of(spark.read.parquet(f"{path}/recipes").withColumn("leaf", recipe_leaf())).select("part", F.struct("root", "documents", "tokens").alias("found"))
+    said = spark.read.parquet(f"{path}/manifest").select("part", F.struct("root", "documents", "tokens").alias("said"))
+    return said.join(now, "part", "full").select("part", F.col("said").eqNullSafe(F.col("found")).alias("intact"))
+
+
+def ensure_intact(spark: SparkSession, path: str) -> None:
+    if bad := [r.part for r in verify(spark, path).where("NOT intact").limit(10).collect()]:
+        raise ValueError(f"parts {bad} of the store differ from its manifest")
 
 
 def store_and_read(docs: DataFrame, tokenizer: str, end_id: int = 1, path: str | None = None) -> DataFrame:
