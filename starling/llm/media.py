@@ -2,12 +2,15 @@
 
 A payload (UTF-8 bytes, zero-padded to a positive multiple of 64) is written as mono 8-bit
 samples with the wave module. The reader opens the stored bytes with the wave module again,
-takes short-time Fourier transforms, finds the spectral peaks of each frame and pairs each peak
-with those of the next frames; a pair (frequency, frequency, distance) with its time is one
-landmark. Landmarks are stored as two equally long arrays, times and codes.
+takes short-time Fourier transforms of frames that overlap by half, finds the spectral peaks of
+each frame and pairs the strongest with the frame's second peak and with the peaks of the frames
+one and two frame lengths later; a pair (frequency, frequency, distance) with its time is one
+landmark. Landmarks are stored as two equally long arrays, times (in hops) and codes. A passage
+that moves by a multiple of HOP samples keeps its landmarks.
 
 Edge cases: a null or empty text is 64 zero bytes; a silent or constant signal has no peaks and
-so empty arrays. Repeated rows and ties give equal files and arrays; equal magnitudes choose the
+so empty arrays. A clip of one frame has at most the pair within it. A long text is transformed
+FRAMES frames at a time. Repeated rows and ties give equal files and arrays; equal magnitudes choose the
 lower frequency. An empty table gives an empty result; other columns are ignored.
 """
 
@@ -26,9 +29,9 @@ from starling.llm.common import batch_of, steps
 
 BLOCK = 64
 RATE = 8000
-FRAME = 64
-#: Peaks per frame, and frames ahead that a peak is paired with.
-PEAKS, AHEAD = 2, 2
+FRAME, HOP = 64, 32
+#: Peaks per frame, and hops ahead at which the strongest peak is paired; frames of one numpy step.
+PEAKS, AHEAD, FRAMES = 2, (2, 4), 1 << 15
 
 
 def wav_bytes(payload: bytes) -> bytes:
@@ -46,22 +49,32 @@ def wav_payload(media: bytes) -> bytes:
         return r.readframes(r.getnframes())
 
 
+def peaks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """The PEAKS strongest frequencies of each frame (ties: the lower one), and which of them are loud enough to count."""
+    frames = np.lib.stride_tricks.sliding_window_view(np.frombuffer(payload, np.uint8), FRAME)[::HOP]
+    window = np.hanning(FRAME).astype(np.float32)
+    top, loud = np.zeros((len(frames), PEAKS), np.int32), np.zeros((len(frames), PEAKS), bool)
+    for lo in range(0, len(frames), FRAMES):
+        x = frames[lo : lo + FRAMES].astype(np.float32)
+        power = np.round(np.abs(np.fft.rfft((x - x.mean(axis=1, keepdims=True)) * window, axis=1))[:, 1:].astype(np.float32), 2)
+        rows = np.arange(len(power))
+        for k in range(PEAKS):
+            best = power.argmax(axis=1)
+            top[lo : lo + FRAMES, k], loud[lo : lo + FRAMES, k] = best, power[rows, best] > 1.0
+            power[rows, best] = -1
+    return top, loud
+
+
 def landmarks(payload: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Times (frame numbers) and codes of the peak pairs of a signal of 8-bit samples."""
-    frames = len(payload) // FRAME
-    x = np.frombuffer(payload, np.uint8, frames * FRAME).reshape(frames, FRAME).astype(np.float32)
-    x = (x - x.mean(axis=1, keepdims=True)) * np.hanning(FRAME).astype(np.float32)
-    power = np.abs(np.fft.rfft(x, axis=1))[:, 1:].astype(np.float32)
-    power = np.round(power, 2)
-    top = np.argsort(-power, axis=1, kind="stable")[:, :PEAKS]
-    loud = np.take_along_axis(power, top, axis=1) > 1.0
-    times, codes = [], []
-    for ahead in range(1, AHEAD + 1):
-        for a in range(PEAKS):
-            for b in range(PEAKS):
-                t = np.flatnonzero(loud[:-ahead, a] & loud[ahead:, b]) if frames > ahead else np.zeros(0, np.int64)
-                times.append(t)
-                codes.append(top[t, a] << 16 | top[t + ahead, b] << 8 | ahead)
+    """Times (in hops) and codes of the peak pairs of a signal of 8-bit samples."""
+    top, loud = peaks(payload)
+    times, codes = [np.flatnonzero(loud[:, 0] & loud[:, 1])], []
+    codes.append(top[times[0], 0] << 16 | top[times[0], 1] << 8)
+    for ahead in AHEAD:
+        for b in range(PEAKS):
+            t = np.flatnonzero(loud[:-ahead, 0] & loud[ahead:, b])
+            times.append(t)
+            codes.append(top[t, 0] << 16 | top[t + ahead, b] << 8 | ahead)
     times, codes = np.concatenate(times), np.concatenate(codes)
     order = np.lexsort((codes, times))
     return times[order].astype(np.int32), codes[order].astype(np.int32)

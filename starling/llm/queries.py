@@ -73,17 +73,16 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
 @_query
 def op7_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     read = media.fingerprint(media.store(table(spark, sf_dir, "documents")))
-    landmarks = F.concat_ws(",", F.transform(F.arrays_zip("times", "codes"), lambda m: F.concat_ws(":", m["times"], m["codes"])))
+    digest = F.concat_ws("-", F.size("times"), F.hex(F.xxhash64("times")), F.hex(F.xxhash64("codes")))
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32",
-        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws("-", F.size("times"), F.sha2(landmarks.cast("binary"), 256)).alias("feature"),
+        F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), digest.alias("feature"), "times", "codes",
     )
 
 
