@@ -4,9 +4,14 @@ For each language a suffix automaton is built over a bounded sample of its label
 pieces that lie evenly over the whole of each text, and as evenly from all sampled texts. A
 text is parsed against each automaton into longest matches; fewer phrases mean a lower cross
 entropy, phrases * log2(sample length) / text length, and the language with the lowest wins.
-Automata are dense transition tables, and many stretches of text are parsed in step with numpy:
-texts are cut into stretches of STRETCH symbols, each of which begins a phrase of its own, and
-all stretches of all texts are read to their ends.
+The transitions of all automata share one sparse table by row displacement (the moves of a state
+lie at its base plus their symbols, in slots that remember their owner), so that its size follows
+the sample and not the alphabet. Many stretches of text are parsed in step with numpy: texts are
+cut into stretches of STRETCH symbols, each of which begins a phrase of its own, and all
+stretches of all texts are read to their ends.
+
+What is broadcast is bounded by the sample's bounds, about 0.8 MB a language; training fails on
+more than MOST_LANGS languages.
 
 Edge cases: null, empty and letterless texts are ``und`` with score 0; so is every text if no
 language was learned. Ties go to the language that sorts first. Symbols that the sample doesn't
@@ -29,10 +34,11 @@ DOCS_PER_LANG, CHARS_PER_DOC, SYMBOLS_PER_LANG = 96, 600, 24_000
 #: Of longer texts, the characters of a sample are pieces of so many.
 PIECE = 60
 STRETCH = 256
+MOST_LANGS = 1000
 UNKNOWN = "und"
 STEP = 2 << 20
 # Symbols that are no letters of the sample.
-PAD, GAP, STRANGE, FIRST = 0, 1, 2, 3
+GAP, STRANGE, FIRST = 0, 1, 2
 
 
 def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
@@ -65,8 +71,37 @@ def suffix_automaton(text: list[int]) -> list[dict[int, int]]:
     return out
 
 
+def displaced(moves: list[dict[int, int]], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row displacement of transitions: base of each state, and owner and target of each slot.
+
+    State s moves by c to target[base[s] + c] if that slot's owner is s. State 0 has no moves.
+    """
+    size = 2 * width + 2 * sum(map(len, moves))
+    used, base = bytearray(size), np.zeros(len(moves), np.int32)
+    owner, target = np.zeros(size, np.int32), np.zeros(size, np.int32)
+    start: dict[int, int] = {}  # for each number of moves, a place below which search has become hopeless
+    for s in sorted((s for s, m in enumerate(moves) if m), key=lambda s: (-len(moves[s]), s)):
+        symbols = sorted(moves[s])
+        first, others = symbols[0], [c - symbols[0] for c in symbols[1:]]
+        at, tries = used.find(0, start.get(len(symbols), width)), 0
+        while at < 0 or at + (others[-1] if others else 0) >= len(used) or any(used[at + c] for c in others):
+            if at < 0 or at + width >= len(used):
+                used += bytearray(size)
+                owner, target = np.r_[owner, np.zeros(size, np.int32)], np.r_[target, np.zeros(size, np.int32)]
+                continue
+            at, tries = used.find(0, at + 1), tries + 1
+        if tries > 32 or not others:
+            start[len(symbols)] = at
+        base[s] = at - first
+        for c in symbols:
+            used[at - first + c] = 1
+            owner[at - first + c], target[at - first + c] = s, moves[s][c]
+    end = len(used.rstrip(b"\0")) + width
+    return base, np.resize(owner, end) if end > len(owner) else owner[:end], np.resize(target, end) if end > len(target) else target[:end]
+
+
 class Model:
-    """Automata of all languages in one table; state 0 means no match."""
+    """Automata of all languages in one table."""
 
     _KNOWN: dict[int, "Model"] = {}
 
@@ -76,26 +111,23 @@ class Model:
         self.letters = {c: FIRST + i for i, c in enumerate(letters)}
         self.width = FIRST + len(letters)
         self._tables()
-        rows, self.starts, self.sizes = [np.zeros((1, self.width), np.int32)], [], []
-        used = 1
+        self.starts, self.sizes, self.again = [], [], []
+        moves: list[dict[int, int]] = [{}]
         for lang in self.langs:
             symbols = [self.symbols(np.frombuffer(t.encode("utf-32-le"), np.uint32)) for t in samples[lang]]
             text = np.concatenate([np.append(s, GAP) for s in symbols])
-            automaton = suffix_automaton(text.tolist())
-            table = np.zeros((len(automaton), self.width), np.int32)
-            for state, moves in enumerate(automaton):
-                for c, to in moves.items():
-                    table[state, c] = used + to
-            table[:, PAD] = used + np.arange(len(automaton))
-            rows.append(table)
+            used = len(moves)
+            moves += [{c: used + to for c, to in m.items()} for m in suffix_automaton(text.tolist())]
+            again = np.full(self.width, used, np.int32)
+            again[list(moves[used])] = list(moves[used].values())
             self.starts.append(used)
             self.sizes.append(len(text))
-            used += len(automaton)
-        self.table = np.concatenate(rows)
+            self.again.append(again)
+        self.base, self.owner, self.target = displaced(moves, self.width)
 
     def _tables(self) -> None:
         """Symbol of every code point: a letter's own or STRANGE, and GAP for what is no letter."""
-        self.symbol = np.full(0x110000, GAP, np.uint16)
+        self.symbol = np.full(0x110000, GAP, np.int32)
         every = np.array([chr(c).isalpha() for c in range(0x110000)])
         self.symbol[every] = STRANGE
         for c, s in self.letters.items():
@@ -138,22 +170,27 @@ class Model:
         lens = np.diff(at)
         count = np.maximum(-(-lens // STRETCH), 1)
         first = np.cumsum(count) - count
-        grid = np.zeros(int(count.sum()) * STRETCH, np.uint16)
+        n = int(count.sum())
+        grid = np.zeros(n * STRETCH, np.int32)
         grid[ragged(first * STRETCH, lens)] = s
-        grid = np.ascontiguousarray(grid.reshape(-1, STRETCH).T)
-        moves, width = self.table.ravel(), self.width
+        # The longest stretches come first, so that those which go on at a column are a prefix.
+        size_of = np.full(n, STRETCH)
+        size_of[first + count - 1] = lens - (count - 1) * STRETCH
+        order = np.argsort(-size_of, kind="stable")
+        grid = np.ascontiguousarray(grid.reshape(-1, STRETCH)[order].T)
+        live = n - np.searchsorted(np.sort(size_of), np.arange(STRETCH), side="right")
         out = np.zeros((len(lens), len(self.langs)))
-        for k, (start, size) in enumerate(zip(self.starts, self.sizes, strict=True)):
-            state = np.full(grid.shape[1], start, np.int64)
-            phrases = np.ones(grid.shape[1], np.int32)
-            again = self.table[start].astype(np.int64)
-            again[again == 0] = start
-            for column in grid:
-                state = moves[state * width + column].astype(np.int64)
-                missed = state == 0
-                phrases += missed
-                state[missed] = again[column[missed]]
-            out[:, k] = np.add.reduceat(phrases, first) * np.log2(max(size, 2)) / np.maximum(lens, 1)
+        for k, (start, size, again) in enumerate(zip(self.starts, self.sizes, self.again, strict=True)):
+            state, phrases = np.full(n, start, np.int32), np.ones(n, np.int32)
+            for column, m in zip(grid, live.tolist(), strict=True):
+                column, now = column[:m], state[:m]
+                slot = self.base[now] + column
+                missed = self.owner[slot] != now
+                state[:m] = np.where(missed, again[column], self.target[slot])
+                phrases[:m] += missed
+            back = np.empty_like(phrases)
+            back[order] = phrases
+            out[:, k] = np.add.reduceat(back, first) * np.log2(max(size, 2)) / np.maximum(lens, 1)
         return out, lettered
 
 
@@ -189,6 +226,8 @@ def train(docs: DataFrame, usable: Column, docs_per_lang: int = DOCS_PER_LANG) -
     samples: dict[str, list[list[str]]] = {}
     for row in rows.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).orderBy("lang", "rank").collect():
         known = samples.setdefault(row["lang"], [])
+        if len(samples) > MOST_LANGS:
+            raise ValueError(f"more than {MOST_LANGS} languages")
         if row["text"] not in known and any(map(str.isalpha, "".join(row["text"]))):
             known.append(row["text"])
     return pickle.dumps(Model({lang: shared(texts) for lang, texts in samples.items() if texts}))
