@@ -10,7 +10,7 @@ of more than LONGEST characters (unspaced scripts, joined words) is read as part
 characters that overlap, so that each n-gram stands in one, and each part counts as a word.
 
 Edge cases: null or empty texts score by the softmax's bias alone. With no usable labels of one
-class every score is 0. Repeated rows score equally; an empty table gives an empty result;
+class every score is 0.5. Repeated rows score equally; an empty table gives an empty result;
 columns other than doc_id and text are ignored. A null doc_id is scored and counts as not held out.
 """
 
@@ -110,7 +110,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     """The model: a number per bucket (its embedding along the softmax's direction) and the bias, as .npz bytes."""
     out = io.BytesIO()
     if len(set(labels)) < 2:
-        np.savez(out, bucket=np.zeros(BUCKETS, np.float32), bias=np.float32(-99))
+        np.savez(out, bucket=np.zeros(BUCKETS, np.float32), bias=np.float32(0))
         return out.getvalue()
     words, per_doc, _ = split_words(pa.array(texts, pa.large_string()))
     distinct, bags, sizes = words.dictionary.to_pylist(), [], []

@@ -17,7 +17,7 @@ from starling.llm.words import WordEncoder
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-BITS = ["'", "s", "'s", "re", "'ll", " ", "  ", "\n", "\t", "\x0b", "\xa0", "\x85", "a", "Bc", "É", "é", "é", "İ", "ß", "1", "½", "!", "...", "—", "<|endoftext|>", "</w>", "'ve", "x" * 90, "😀", "ab,", "(c)", "À", "\0"]
+BITS = ["'", "s", "'s", "re", "'ll", " ", "  ", "\n", "\t", "\x0b", "\xa0", "\x85", "a", "Bc", "É", "é", "é", "İ", "ß", "1", "½", "!", "...", "—", "<|endoftext|>", "<|startoftext|>", "<|EndOfText|>", "</w>", "'ve", "x" * 90, "😀", "ab,", "(c)", "À", "\0"]
 
 
 def fuzz(n: int, seed: int = 3) -> list[str]:
@@ -35,7 +35,6 @@ SPECIAL = ["", None, " \n ", "same text here", "same text here", "word " * 6000,
 
 def test_word_encoder_equals_library():
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     texts = fuzz(1500)
     ids, lens = WordEncoder.of(WORDS).encode(pa.array(texts))
     ends = np.cumsum(lens)
@@ -63,7 +62,6 @@ def test_bpe_operator(spark):
 
 def expected_ids(texts):
     tok = Tokenizer.from_file(WORDS)
-    tok.encode_special_tokens = True
     return [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
@@ -81,6 +79,11 @@ def test_packing(spark):
         assert [r.start for r in pieces] == list(np.r_[0, np.cumsum([r.length for r in pieces])[:-1]])
         assert np.frombuffer(b"".join(bytes(r.ids) for r in pieces), "<u4").tolist() == want
         assert {r.doc_tokens for r in pieces} == {len(want)}
+    # Buckets are runs of sequence ids, the longest pieces first, whatever the split of the input.
+    ordered = sorted(rows, key=lambda r: r.sequence_id)
+    assert [r.sequence_id for r in ordered] == list(range(len(rows)))
+    assert [(r.length, r.doc_id, r.start) for r in ordered] == sorted(((r.length, r.doc_id, r.start) for r in rows), key=lambda x: (-x[0], *x[1:]))
+    assert all(1 << r.bucket == r.length for r in rows)
     assert packing.pack(docs(spark, []), WORDS).count() == 0
     with pytest.raises(ValueError):
         packing.pack(docs(spark, []), WORDS, longest=100)
@@ -98,11 +101,56 @@ def test_token_store(spark, tmp_path):
         start += len(ids)
     chunks = spark.read.parquet(f"{path}/chunks")
     assert chunks.count() == chunks.select("hash").distinct().count()
-    restored = {r.doc_id: np.frombuffer(bytes(r.ids), np.uint16).tolist() for r in tokenstore.documents(spark, path).collect()}
+    restored = {r.doc_id: np.frombuffer(bytes(r.ids), "<u4").tolist() for r in tokenstore.documents(spark, path).collect()}
     assert restored == dict(zip(order, expected_ids(texts), strict=True))
     assert all(r.intact for r in tokenstore.verify(spark, path).collect())
 
 
+def rewritten(spark, path, table, change):
+    """The store's table with ``change`` applied, written in its place."""
+    rows = change(spark.read.parquet(f"{path}/{table}").toPandas())
+    schema = spark.read.parquet(f"{path}/{table}").schema
+    spark.createDataFrame(rows.values.tolist(), schema).write.mode("overwrite").parquet(f"{path}/{table}")
+
+
+def test_damage_is_found(spark, tmp_path):
+    def store(name):
+        path = f"file://{tmp_path}/{name}"
+        tokenstore.write_store(docs(spark, SPECIAL + fuzz(20)), path, WORDS)
+        return path
+
+    def flip(frame):
+        frame.at[0, "ids"] = bytes([frame.at[0, "ids"][0] ^ 1]) + bytes(frame.at[0, "ids"][1:])
+        return frame
+
+    def shift(frame):
+        frame.at[1, "start"] += 1
+        return frame
+
+    def swap(frame):
+        j = next(j for j in range(len(frame)) if list(frame.at[j, "hashes"]) != list(frame.at[0, "hashes"]))
+        frame.at[0, "hashes"], frame.at[j, "hashes"] = frame.at[j, "hashes"], frame.at[0, "hashes"]
+        return frame
+
+    for name, table, change in [("a", "chunks", flip), ("b", "chunks", lambda f: f[1:]), ("c", "recipes", shift), ("d", "recipes", swap), ("e", "recipes", lambda f: f[:-1]), ("f", "manifest", lambda f: f[1:])]:
+        path = store(name)
+        assert tokenstore.read_digests(spark, path).count() == 28
+        rewritten(spark, path, table, change)
+        for read in (tokenstore.read_digests, tokenstore.documents):
+            with pytest.raises(Exception, match="damaged|missing|differ"):
+                read(spark, path).collect()
+
+
+def test_wide_ids(spark, tmp_path, monkeypatch):
+    """A vocabulary beyond 65,536 is stored with four bytes an id."""
+    monkeypatch.setattr(tokenstore, "NARROW", 1000)
+    path = f"file://{tmp_path}/wide"
+    got = {r.doc_id: r for r in tokenstore.store_and_read(docs(spark, SPECIAL), WORDS, path=path).collect()}
+    for i, ids in enumerate(expected_ids(SPECIAL)):
+        assert (got[i].n_tokens, got[i].ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+    assert {r.width for r in spark.read.parquet(f"{path}/chunks").collect()} == {4}
+
+
 def test_token_store_edges(spark):
     assert tokenstore.store_and_read(docs(spark, []), WORDS).count() == 0
     rows = spark.createDataFrame([(None, "a b"), (None, None), (5, "a b"), (5, "a b")], "doc_id long, text string")
