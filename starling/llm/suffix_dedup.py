@@ -6,126 +6,193 @@ document) is removed; texts are judged as they came.
 1. The window's smallest k-gram hash (the leftmost of equals) is its anchor. Consecutive windows
    with one anchor form a slice of the text. Equal windows have equal anchors at equal offsets,
    and every window is in exactly one slice.
-2. Anchors that occur once are dropped. Slices that occur twice as a whole are removed as they
-   are. Where an anchor has several different slices, one of each goes on with its bytes.
-3. Slices of one anchor meet in one task. Bytes are taken as symbols that end with a separator
-   byte; a suffix array over these is built by linear grouping (see suffix_array). A window is
-   part of a symbol followed by a suffix; windows are equal if the parts are equal and the
-   suffixes lie in one run of the suffix array whose common prefixes reach the window's end.
-   Anchors with very many different slices (a passage in a large share of all documents) are
-   counted window by window in a shuffle instead, so that no task gathers them.
-4. Removed intervals return to their documents.
+2. Anchors that occur once are dropped. Of equal slices (equal in two independent hashes) one
+   goes on with its bytes and the number of its copies.
+3. The slices of one anchor meet in one task. Slices without copies none of whose windows can
+   occur in another slice, as their cores differ, are left out. Over the others, joined to one
+   text, a suffix array is built by linear grouping (see suffix_array); its symbols are runs of
+   bytes that end with a separator byte. A window is the end of a symbol followed by a suffix;
+   windows are equal if these ends are equal and the suffixes lie in one run of the suffix array
+   whose common prefixes reach the window's end. A window of more than one slice or of a slice
+   with copies is removed.
+4. Removed intervals return to all copies of their slices, and so to the documents.
+
+An anchor with more than MOST_SLICES different slices (a passage in a large share of all
+documents, with many different texts around it) is split into its single windows, which are
+counted in a shuffle, so that no task gathers them.
+
+Memory: texts of any length are read in ranges of RANGE bytes that overlap by WINDOW - 1.
 
 Edge cases: null and empty texts, and texts shorter than WINDOW, lose nothing. Repeated rows
 are copies of each other and lose all windows. Bytes are cut without regard to characters; see
 ``remaining_text``. An empty table gives an empty result; columns other than doc_id and text are
-ignored. A null doc_id is carried along.
+ignored, whatever their names. A null doc_id is carried along.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from starling.llm.common import batch_of, binaries, mix, ragged, raw, saved, steps
+from starling.llm.common import batch_of, mix, ragged, raw, saved, steps
 from starling.llm.suffix_array import suffix_array
 
 WINDOW, GRAM = 200, 24
+#: Windows that one core decides on: their first bytes lie at most so far apart (a third of all offsets of an anchor).
+CORE = (WINDOW - GRAM + 1) // 3
 #: Different slices of one anchor that one task sorts; anchors with more are counted in a shuffle.
 MOST_SLICES = 8192
 #: Slices of about so many bytes are sorted together.
 TEXT_BYTES = 256 << 10
-STEP = 1 << 20
+#: Bytes of text in one numpy step, and of a longer text in one range.
+STEP, RANGE = 1 << 20, 4 << 20
 
-_SEPARATES = np.ones(256, bool)
+# Bytes that end a symbol: rare letters, some marks and digits, one byte in 32 beyond ASCII. Any choice gives the same result; symbols of
+# about 20 bytes make short suffix arrays and few windows within one symbol.
+_SEPARATES = np.zeros(256, bool)
+_SEPARATES[1:128:8] = True
 _SEPARATES[ord("a") : ord("z") + 1] = False
-_SEPARATES[128:] = False
-
-
-def rolling(data: np.ndarray, length: int, seed: int = 0) -> np.ndarray:
-    """Hashes of all strings of ``length`` bytes, at their starts; the last length - 1 values mean nothing."""
-    base = (0x9E3779B97F4A7C15 + 2 * seed * 0x632BE59BD9B4E019) | 1
-    with np.errstate(over="ignore"):
-        part = mix(data.astype(np.uint64) + np.uint64(1 + 256 * seed))
-        out, have, size = None, 0, 1
-        while True:
-            if length & size:
-                if out is None:
-                    out, have = part.copy(), size
-                else:
-                    power = np.uint64(pow(base, size, 1 << 64))
-                    out[: len(out) - have] = out[: len(out) - have] * power + part[have:]
-                    have += size
-            if size * 2 > length:
-                return mix(out)
-            power = np.uint64(pow(base, size, 1 << 64))
-            part[: len(part) - size] = part[: len(part) - size] * power + part[size:]
-            size *= 2
-
-
-def slices(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """text, first window's start (in data), number of windows and anchor hash of all slices."""
+_SEPARATES[[ord(c) for c in "bjkqvxz"]] = True
+_SEPARATES[128::32] = True
+_SEPARATES[0] = True  # closes each slice
+
+_POSITION = np.uint64((1 << 24) - 1)
+
+
+class Prefixes:
+    """Hashes of any substrings of ``data``, from prefix sums of a polynomial modulo 2^64."""
+
+    _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def __init__(self, data: np.ndarray, seed: int):
+        with np.errstate(over="ignore"):
+            table = mix(np.arange(256, dtype=np.uint64) + np.uint64(1 + 256 * seed))
+            power, self.inverse = self._powers(len(data) + 1, seed)
+            self.total = np.zeros(len(data) + 1, np.uint64)
+            np.cumsum(table[data] * power[: len(data)], out=self.total[1:])
+
+    @classmethod
+    def _powers(cls, n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
+        if seed not in cls._POWERS or len(cls._POWERS[seed][0]) < n:
+            base = int(mix(np.array([0x9E3779B97F4A7C15 + seed], np.uint64))[0]) | 1
+            made = []
+            for b in (base, pow(base, -1, 1 << 64)):
+                row = np.full(n, b, np.uint64)
+                row[0] = 1
+                made.append(np.cumprod(row))
+            cls._POWERS[seed] = tuple(made)
+        return cls._POWERS[seed]
+
+    def hashes(self, starts: np.ndarray, lens: np.ndarray | int) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return mix((self.total[starts + lens] - self.total[starts]) * self.inverse[starts] + np.asarray(lens).astype(np.uint64))
+
+    def grams(self, length: int) -> np.ndarray:
+        """Hashes, good in their upper bits, of all strings of ``length`` bytes at their starts."""
+        with np.errstate(over="ignore"):
+            h = (self.total[length:] - self.total[:-length]) * self.inverse[: len(self.total) - length]
+            return (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+
+
+def slices(data: np.ndarray, offsets: np.ndarray, prefixes: Prefixes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """text, first window's start (in data), number of windows, anchor's place and anchor hash of all slices."""
     none = np.zeros(0, np.int64)
-    if len(data) < WINDOW:
-        return none, none, none, none
-    grams = rolling(data, GRAM)
-    n = len(data)
+    lens = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+    if not lens.any():
+        return none, none, none, none, none
+    if len(data) > int(_POSITION):
+        raise ValueError("a range of text is too long")
+    grams = prefixes.grams(GRAM)
+    n = len(grams)
     # Hash in the upper bits, position in the lower ones: the minimum is the leftmost smallest.
-    low = (grams & ~np.uint64((1 << 28) - 1)) | np.arange(n, dtype=np.uint64)
+    low = (grams & ~_POSITION) | np.arange(n, dtype=np.uint64)
     width = WINDOW - GRAM + 1
     size = 1
     while size * 2 <= width:
-        low[: n - size] = np.minimum(low[: n - size], low[size:])
+        low = np.minimum(low[:-size], low[size:])
         size *= 2
-    least = low.copy()
-    least[: n - (width - size)] = np.minimum(low[: n - (width - size)], low[width - size :])
-    anchor = (least & np.uint64((1 << 28) - 1)).astype(np.int64)
-    lens = np.maximum(np.diff(offsets) - WINDOW + 1, 0)
+    if width > size:
+        low = np.minimum(low[: len(low) - (width - size)], low[width - size :])
     starts = ragged(offsets[:-1], lens)
     text = np.repeat(np.arange(len(lens)), lens)
-    at = anchor[starts]
-    if not len(at):
-        return none, none, none, none
+    at = (low[starts] & _POSITION).astype(np.int64)
     first = np.flatnonzero(np.r_[True, (at[1:] != at[:-1]) | (text[1:] != text[:-1])])
-    return text[first], starts[first], np.diff(np.r_[first, len(at)]), grams[at[first]].view(np.int64)
+    return text[first], starts[first], np.diff(np.r_[first, len(at)]), at[first], grams[at[first]].view(np.int64)
 
 
-def _as_int(digest: bytes) -> int:
-    return int.from_bytes(digest, "little", signed=True)
+def _ranges(batch: pa.RecordBatch):
+    """Bytes, offsets and place of the first byte: a batch of texts at once, or the overlapping ranges of a long one."""
+    data, offsets = raw(batch.column("text"))
+    if batch.num_rows > 1 or len(data) < RANGE + WINDOW:
+        yield data, offsets, 0
+        return
+    for lo in range(0, len(data) - WINDOW + 1, RANGE):
+        part = data[lo : lo + RANGE + WINDOW - 1]
+        yield part, np.array([0, len(part)]), lo
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, los, n, anchor, content: the slices of all texts, content being a hash of each one's bytes.
+    """rid, los, ahead, n, anchor, content: the slices of all texts; the anchor is so many bytes ahead, content is a hash of the slice's bytes.
 
     Equal slices of one text (as of a line that repeats) share a row with all their places.
     """
 
     def run(batches):
         for batch in steps(batches, STEP):
-            data, offsets = raw(batch.column("text"))
-            text, at, n, anchor = slices(data, offsets)
-            whole = data.tobytes()
-            content = np.array([_as_int(hashlib.blake2b(whole[a:b], digest_size=8).digest()) for a, b in zip(at.tolist(), (at + n + WINDOW - 1).tolist(), strict=True)], np.int64)
-            order = np.lexsort((at, content, anchor, text))
-            text, at, n, anchor, content = text[order], at[order], n[order], anchor[order], content[order]
-            new = np.ones(len(order), bool)
-            new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
-            head, rows = np.flatnonzero(new), pa.array(text[new])
-            places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - offsets[text]).astype(np.int32)))
-            yield batch_of(
-                doc_id=batch.column("doc_id").take(rows), rid=batch.column("rid").take(rows), los=places,
-                n=pa.array(n[new], pa.int32()), anchor=pa.array(anchor[new], pa.int64()), content=pa.array(content[new]),
-            )
-
-    return docs.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, rid long, los array<int>, n int, anchor long, content long")
+            for data, offsets, base in _ranges(batch):
+                text, at, n, place, anchor = slices(data, offsets, Prefixes(data, 0))
+                content = Prefixes(data, 1).hashes(at, n + WINDOW - 1).view(np.int64)
+                order = np.lexsort((at, content, anchor, text))
+                text, at, n, place, anchor, content = (x[order] for x in (text, at, n, place, anchor, content))
+                new = np.ones(len(order), bool)
+                new[1:] = (text[1:] != text[:-1]) | (anchor[1:] != anchor[:-1]) | (content[1:] != content[:-1])
+                head, rows = np.flatnonzero(new), pa.array(text[new])
+                places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - offsets[text] + base).astype(np.int32)))
+                yield batch_of(
+                    rid=batch.column("rid").take(rows), los=places, ahead=pa.array((place - at)[new], pa.int32()),
+                    n=pa.array(n[new], pa.int32()), anchor=pa.array(anchor[new], pa.int64()), content=pa.array(content[new]),
+                )
+
+    return docs.mapInArrow(run, "rid binary, los array<int>, ahead int, n int, anchor long, content long")
+
+
+def comparable(data: np.ndarray, at: np.ndarray, n: np.ndarray, ahead: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Of slices at these places with so many windows each and anchors so far ahead: which have copies or share a core with another one.
+
+    Windows that begin k to k + CORE - 1 bytes before their anchor (k a multiple of CORE) have
+    WINDOW - CORE + 1 bytes in common; equal windows of different slices have equal such cores.
+    """
+    alive = copies > 1
+    keys, owners = [], []
+    prefixes = Prefixes(data, 2)
+    for k in range(0, WINDOW - GRAM + 1, CORE):
+        has = np.flatnonzero((ahead >= k) & (ahead - n + 1 < k + CORE))
+        keys.append(prefixes.hashes(at[has] + ahead[has] - k, WINDOW - CORE + 1) + np.uint64(k))
+        owners.append(has)
+    keys, owners = np.concatenate(keys), np.concatenate(owners)
+    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
+    alive[owners[times[which] > 1]] = True
+    return alive
+
+
+def _common(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lengths, up to about WINDOW, of the common prefixes of the bytes at a and at b, found eight bytes at a time."""
+    padded = np.r_[data, np.zeros(WINDOW + 16, np.uint8)]
+    eight = np.ndarray((len(padded) - 7,), "<u8", padded.tobytes(), strides=(1,))
+    out, live = np.zeros(len(a), np.int64), np.arange(len(a))
+    while len(live):
+        x = eight[a[live] + out[live]] ^ eight[b[live] + out[live]]
+        same = x == 0
+        with np.errstate(over="ignore"):
+            out[live] += np.where(same, 8, np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)).astype(np.int64) >> 3)
+        live = live[same & (out[live] < WINDOW)]
+    return out
 
 
-def repeated_starts(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarray:
-    """Of slices at these places with so many windows each: which windows (slice by slice) occur more than once."""
+def repeated_starts(data: np.ndarray, at: np.ndarray, n: np.ndarray, copies: np.ndarray) -> np.ndarray:
+    """Of slices at these places with so many windows each and so many copies: which windows (slice by slice) occur more than once."""
     starts = ragged(at, n)
     size = len(data)
     ends = np.flatnonzero(_SEPARATES[data])
@@ -133,47 +200,41 @@ def repeated_starts(data: np.ndarray, at: np.ndarray, n: np.ndarray) -> np.ndarr
     first = first[first < size]
     symbol_lens = np.diff(np.r_[first, size])
     pieces = pa.Array.from_buffers(pa.large_binary(), len(first), [None, pa.py_buffer(np.r_[first, size].astype(np.int64)), pa.py_buffer(data)]).dictionary_encode()
-    values = pieces.dictionary.to_pylist()
+    values, kinds = pieces.dictionary.to_pylist(), pieces.indices.to_numpy().astype(np.int64)
     rank = np.empty(len(values), np.int64)
     rank[sorted(range(len(values)), key=values.__getitem__)] = np.arange(len(values))
-    order = suffix_array(rank[pieces.indices.to_numpy()])
+    order = suffix_array(rank[kinds])
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
 
-    # Common prefixes of neighbours in bytes, up to WINDOW.
-    padded = np.r_[data, np.zeros(WINDOW + 8, np.uint8)]
-    a, b = first[order[:-1]], first[order[1:]]
-    common = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    lane = np.arange(8)
-    while len(live):
-        same = padded[a[live, None] + common[live, None] + lane] == padded[b[live, None] + common[live, None] + lane]
-        run = np.where(same.all(axis=1), 8, same.argmin(axis=1))
-        common[live] += run
-        live = live[(run == 8) & (common[live] < WINDOW)]
-    common = np.r_[0, common]
+    common = np.r_[0, _common(data, first[order[:-1]], first[order[1:]])]
 
-    # Each window: all up to its first separator (hashed from there back) and the suffix after it.
+    # Symbols in the order of their reversed bytes: those that end alike lie in runs, too.
+    backward = [v[::-1] for v in values]
+    by_end = sorted(range(len(values)), key=backward.__getitem__)
+    end_place = np.empty(len(values), np.int64)
+    end_place[by_end] = np.arange(len(values))
+    lens = np.array([len(values[k]) for k in by_end])
+    at_end = np.cumsum(lens) - lens
+    common_end = np.r_[0, np.minimum(_common(np.frombuffer(b"".join(backward[k] for k in by_end), np.uint8), at_end[:-1], at_end[1:]), np.minimum(lens[:-1], lens[1:]))]
+
+    # Each window: the end of its first symbol (numbered by its run) and the suffix after it (by its run).
     symbol = np.searchsorted(first, starts, side="right") - 1
-    after = first[symbol] + symbol_lens[symbol]
-    part = after - starts
-    to_end = np.repeat(first + symbol_lens, symbol_lens) - np.arange(size)
-    total = np.r_[np.uint64(0), np.cumsum(mix(to_end.astype(np.uint64) * np.uint64(256) + data))]
-    part_hash = total[after] - total[starts]
-    suffix = symbol + 1
-    key = np.empty(len(starts), np.uint64)
-    plain = (part < WINDOW) & (suffix < len(first))
-    for length in np.unique(part[plain]).tolist():
-        here = np.flatnonzero(plain & (part == length))
-        runs = np.cumsum(common < WINDOW - length)
-        key[here] = runs[place[suffix[here]]].astype(np.uint64) * np.uint64(256) + np.uint64(length)
-    key = mix(mix(key) ^ mix(part_hash + np.uint64(7)))
-    for i in np.flatnonzero(~plain).tolist():  # within one symbol
-        key[i] = np.frombuffer(hashlib.blake2b(data[starts[i] : starts[i] + WINDOW].tobytes(), digest_size=8).digest(), np.uint64)[0]
-    ranked = np.sort(key)
-    twice = np.unique(ranked[1:][ranked[1:] == ranked[:-1]])
-    found = np.searchsorted(twice, key)
-    return twice[np.minimum(found, len(twice) - 1)] == key if len(twice) else np.zeros(len(key), bool)
+    part = first[symbol] + symbol_lens[symbol] - starts
+    key = np.empty(len(starts), np.int64)
+    order = np.argsort(part, kind="stable")
+    edges = np.searchsorted(part[order], np.arange(WINDOW + 1))
+    for length in range(1, WINDOW):
+        here = order[edges[length] : edges[length + 1]]
+        if len(here):
+            ends, runs = np.cumsum(common_end < length), np.cumsum(common < WINDOW - length)
+            key[here] = (ends[end_place[kinds[symbol[here]]]] * WINDOW + length) * len(first) + runs[place[symbol[here] + 1]] - 1
+    known: dict[bytes, int] = {}
+    whole = data.tobytes()
+    for i in order[edges[WINDOW] :].tolist():  # within one symbol
+        key[i] = -1 - known.setdefault(whole[starts[i] : starts[i] + WINDOW], len(known))
+    _, which = np.unique(key, return_inverse=True)
+    return np.bincount(which, np.repeat(copies, n))[which] > 1 if len(which) else np.zeros(0, bool)
 
 
 def _intervals(flags: np.ndarray, slice_of: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -187,25 +248,24 @@ def _intervals(flags: np.ndarray, slice_of: np.ndarray, offset: np.ndarray) -> t
 
 
 def sorted_intervals(rows: DataFrame) -> DataFrame:
-    """Removed intervals of slices (anchor, copies, doc_id, rid, lo, n, bytes), all of an anchor in one partition, in order."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
+    """Removed intervals (anchor, content, lo, size; lo within the slice) of slices (anchor, content, copies, n, ahead, bytes), all of an anchor in one partition, in order."""
 
-    def solve(held):
-        joined = b"\0".join(r[-1] for r in held) + b"\0"
+    def joined(held):
         lens = np.array([len(r[-1]) for r in held], np.int64)
-        at, n = np.cumsum(lens + 1) - lens - 1, np.array([r[5] for r in held], np.int64)
-        flags = repeated_starts(np.frombuffer(joined, np.uint8), at, n)
-        owner = np.repeat(np.arange(len(held)), n)
-        s, offset, size = _intervals(flags, owner, ragged(np.zeros(len(n), np.int64), n))
-        one = np.array([r[1] == 1 for r in held], bool)[s] if len(s) else np.zeros(0, bool)
-        s, offset, size = s[one].tolist(), offset[one].tolist(), size[one].tolist()
+        return np.frombuffer(b"\0".join(r[-1] for r in held) + b"\0", np.uint8), np.cumsum(lens + 1) - lens - 1
+
+    def solve(held):
+        copies, n, ahead = (np.array([r[k] for r in held], np.int64) for k in (2, 3, 4))
+        alive = comparable(*joined(held), n, ahead, copies)
+        held, n, copies = [r for r, x in zip(held, alive.tolist(), strict=True) if x], n[alive], copies[alive]
+        data, at = joined(held) if held else (np.zeros(0, np.uint8), n)
+        flags = repeated_starts(data, at, n, copies) if held else np.zeros(0, bool)
+        s, offset, size = _intervals(flags, np.repeat(np.arange(len(held)), n), ragged(np.zeros(len(n), np.int64), n))
         return batch_of(
-            doc_id=pa.array([held[i][2] for i in s], rows_type), rid=pa.array([held[i][3] for i in s], pa.int64()),
-            lo=pa.array([held[i][4] + o for i, o in zip(s, offset, strict=True)], pa.int32()), size=pa.array(size, pa.int32()),
+            anchor=pa.array([held[i][0] for i in s.tolist()], pa.int64()), content=pa.array([held[i][1] for i in s.tolist()], pa.int64()),
+            lo=pa.array(offset, pa.int32()), size=pa.array(size, pa.int32()),
         )
 
-    rows_type = to_arrow_type(rows.schema["doc_id"].dataType)
-
     def run(batches):
         held, weight, last = [], 0, None
         for batch in batches:
@@ -219,117 +279,125 @@ def sorted_intervals(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.mapInArrow(run, f"doc_id {kind}, rid long, lo int, size int")
+    return rows.select("anchor", "content", "copies", "n", "ahead", "bytes").mapInArrow(run, "anchor long, content long, lo int, size int")
 
 
 def counted_intervals(rows: DataFrame) -> DataFrame:
     """As sorted_intervals, window by window, for anchors whose slices no task can hold."""
-    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def run(batches):
         for batch in steps(batches, 256 << 10, column="bytes"):
             data, offsets = raw(batch.column("bytes").cast(pa.large_binary()).view(pa.large_string()))
             n = batch.column("n").to_numpy()
             starts, owner = ragged(offsets[:-1], n), pa.array(np.repeat(np.arange(len(n)), n))
-            lo = batch.column("lo").to_numpy().astype(np.int64)
-            pos = ragged(lo, n)
             yield batch_of(
-                doc_id=batch.column("doc_id").take(owner), rid=batch.column("rid").take(owner), lo=pa.array(pos, pa.int32()), copies=batch.column("copies").take(owner),
-                h1=pa.array(rolling(data, WINDOW, 1)[starts].view(np.int64)), h2=pa.array(rolling(data, WINDOW, 2)[starts].view(np.int64)),
+                **{c: batch.column(c).take(owner) for c in ("anchor", "content", "copies")}, lo=pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()),
+                h1=pa.array(Prefixes(data, 3).hashes(starts, WINDOW).view(np.int64)), h2=pa.array(Prefixes(data, 4).hashes(starts, WINDOW).view(np.int64)),
             )
 
-    windows = rows.mapInArrow(run, f"doc_id {kind}, rid long, lo int, copies long, h1 long, h2 long")
-    twice = windows.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(F.xxhash64("h1", "h2").alias("key"), "h1", "h2")
-    found = windows.where("copies = 1").withColumn("key", F.xxhash64("h1", "h2")).join(twice.withColumnsRenamed({"h1": "g1", "h2": "g2"}), "key")
-    return found.where("h1 = g1 AND h2 = g2").select("doc_id", "rid", "lo", F.lit(WINDOW).alias("size"))
+    windows = rows.select("anchor", "content", "copies", "n", "bytes").mapInArrow(run, "anchor long, content long, copies long, lo int, h1 long, h2 long")
+    twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).where("times > 1").select("h1", "h2", F.xxhash64("h1", "h2").alias("key"))
+    found = windows.withColumn("key", F.xxhash64("h1", "h2")).join(twice, ["h1", "h2", "key"], "left_semi")
+    return found.select("anchor", "content", "lo", F.lit(WINDOW).alias("size"))
 
 
 def removed_intervals(docs: DataFrame) -> DataFrame:
-    """doc_id, rid, lo, size of byte runs to remove (they may overlap); docs needs doc_id, rid, text."""
+    """rid, lo, size of byte runs to remove (they may overlap); docs needs rid and text."""
     marks = saved(mark(docs), "slices")
-    # Keys are hashed anew before each join, so that the join shuffles both sides and may split hot keys.
-    shared = marks.groupBy("anchor").agg(F.sum(F.size("los")).alias("times")).where("times > 1").select(F.xxhash64("anchor").alias("key"))
-    rows = saved(marks.withColumn("key", F.xxhash64("anchor")).join(shared, "key", "left_semi").drop("key"), "shared-slices")
-    per_slice = rows.groupBy("anchor", "content").agg(F.sum(F.size("los")).alias("copies"), F.min(F.struct("rid", F.col("los")[0].alias("lo"), "n", "doc_id")).alias("one"))
+    # A second, derived column in a join's key makes it shuffle both sides, so that Spark may split hot keys.
+    shared = marks.groupBy("anchor").agg(F.sum(F.size("los")).alias("times")).where("times > 1").select("anchor", F.xxhash64("anchor").alias("key"))
+    rows = saved(marks.withColumn("key", F.xxhash64("anchor")).join(shared, ["anchor", "key"], "left_semi").drop("key"), "shared-slices")
+    per_slice = rows.groupBy("anchor", "content").agg(F.sum(F.size("los")).alias("copies"), F.min(F.struct("rid", F.col("los")[0].alias("lo"), "n", "ahead")).alias("one"))
     per_slice = saved(per_slice, "distinct-slices")
-    copied = per_slice.where("copies > 1").select(F.xxhash64("anchor", "content").alias("key"))
-    whole = rows.withColumn("key", F.xxhash64("anchor", "content")).join(copied, "key", "left_semi").select("doc_id", "rid", F.explode("los").alias("lo"), (F.col("n") + (WINDOW - 1)).alias("size"))
-
-    kinds = per_slice.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1").select(F.xxhash64("anchor").alias("key"), "kinds")
-    wanted = per_slice.withColumn("key", F.xxhash64("anchor")).join(kinds, "key").select("one.*", "anchor", "copies", "kinds")
-    by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "anchor", "copies", "kinds")).alias("slices"))  # as many as one text has
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kinds = per_slice.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 OR most > 1").select("anchor", F.xxhash64("anchor").alias("key"), "kinds")
+    wanted = per_slice.withColumn("key", F.xxhash64("anchor")).join(kinds, ["anchor", "key"]).select("one.*", "anchor", "content", "copies", "kinds")
+    by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "ahead", "anchor", "content", "copies", "kinds")).alias("slices"))  # as many as one text has
 
     def cut(batches):
         for batch in steps(batches):
-            texts = [t.encode() for t in batch.column("text").to_pylist()]
+            texts = [(t or "").encode() for t in batch.column("text").to_pylist()]
             flat = [(i, s) for i, row in enumerate(batch.column("slices").to_pylist()) for s in row]
-            owner = pa.array([i for i, _ in flat], pa.int64())
             yield batch_of(
-                anchor=pa.array([s["anchor"] for _, s in flat], pa.int64()), copies=pa.array([s["copies"] for _, s in flat], pa.int64()),
-                doc_id=batch.column("doc_id").take(owner), rid=batch.column("rid").take(owner),
-                lo=pa.array([s["lo"] for _, s in flat], pa.int32()), n=pa.array([s["n"] for _, s in flat], pa.int32()),
-                bytes=pa.array([texts[i][s["lo"] : s["lo"] + s["n"] + WINDOW - 1] for i, s in flat], pa.binary()), kinds=pa.array([s["kinds"] for _, s in flat], pa.int64()),
+                **{c: pa.array([s[c] for _, s in flat], t) for c, t in (("anchor", pa.int64()), ("content", pa.int64()), ("copies", pa.int64()), ("kinds", pa.int64()), ("n", pa.int32()), ("ahead", pa.int32()))},
+                bytes=pa.array([texts[i][s["lo"] : s["lo"] + s["n"] + WINDOW - 1] for i, s in flat], pa.binary()),
             )
 
-    schema = f"anchor long, copies long, doc_id {kind}, rid long, lo int, n int, bytes binary, kinds long"
-    # Rows that repeat doc_id and text have one rid and give their slices repeatedly; such slices have copies, so nothing is judged by it.
+    schema = "anchor long, content long, copies long, kinds long, n int, ahead int, bytes binary"
+    # Rows that repeat doc_id and text have one rid and give their slices repeatedly; such slices have copies anyway.
     texts = saved(docs.join(by_doc, "rid").mapInArrow(cut, schema), "slice-bytes")
-    small = texts.where(F.col("kinds") <= MOST_SLICES).drop("kinds").repartition("anchor").sortWithinPartitions("anchor")
-    return whole.unionByName(sorted_intervals(small)).unionByName(counted_intervals(texts.where(F.col("kinds") > MOST_SLICES)))
+    small = texts.where(F.col("kinds") <= MOST_SLICES).repartition("anchor").sortWithinPartitions("anchor")
+    found = saved(sorted_intervals(small).unionByName(counted_intervals(texts.where(F.col("kinds") > MOST_SLICES))), "slice-intervals")
+    found = found.withColumnRenamed("lo", "within")
+    return rows.join(found, ["anchor", "content"]).select("rid", "within", "size", F.explode("los").alias("lo")).select("rid", (F.col("lo") + F.col("within")).alias("lo"), "size")
 
 
-def _marked(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bytes of a batch's texts, their offsets, and which bytes its spans cover."""
+def _merged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Bytes and offsets of a batch's texts; row, start and end (in the bytes) of the maximal runs that its spans cover."""
     data, offsets = raw(batch.column("text"))
-    change = np.zeros(len(data) + 1, np.int32)
     spans = batch.column("spans")
     per_row = np.nan_to_num(spans.value_lengths().to_numpy(zero_copy_only=False).astype(float)).astype(np.int64)
     flat = spans.flatten()
-    lo = np.repeat(offsets[:-1], per_row) + flat.field("lo").to_numpy(zero_copy_only=False).astype(np.int64)
-    np.add.at(change, lo, 1)
-    np.add.at(change, lo + flat.field("size").to_numpy(zero_copy_only=False), -1)
-    return data, offsets, np.cumsum(change)[:-1] > 0
+    row = np.repeat(np.arange(len(per_row)), per_row)
+    lo = offsets[row] + flat.field("lo").to_numpy(zero_copy_only=False).astype(np.int64)
+    hi = lo + flat.field("size").to_numpy(zero_copy_only=False)
+    order = np.lexsort((lo, row))
+    row, lo, hi = row[order], lo[order], np.maximum.accumulate(hi[order]) if len(hi) else hi
+    new = np.ones(len(row), bool)
+    new[1:] = (row[1:] != row[:-1]) | (lo[1:] > hi[:-1])
+    return data, offsets, row[new], lo[new], hi[np.r_[new[1:], True]] if len(row) else hi
+
+
+def _kept(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
+    """What is left of ``data`` without the runs."""
+    view = memoryview(np.ascontiguousarray(data))
+    edges = zip([0, *end.tolist()], [*begin.tolist(), len(data)], strict=True)
+    return b"".join(view[a:b] for a, b in edges)
+
+
+def row_key(*columns: Column) -> Column:
+    """Two 64-bit hashes of the columns' values and nulls, as 16 bytes."""
+    cells = [c for column in columns for c in (column, column.isNull())]  # hashing skips nulls
+    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), *cells)), 16, "0") for salt in (1, 2)]))
 
 
-def _with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` with rid and the spans to remove."""
-    source = docs.withColumn("rid", F.xxhash64("doc_id", F.coalesce("text", F.lit(""))))
-    found = saved(removed_intervals(source.select("doc_id", "rid", F.coalesce("text", F.lit("")).alias("text"))), "removed")
+def _with_spans(docs: DataFrame, others: list[str]) -> DataFrame:
+    """rid, row (a struct of the other columns, so that no name can clash), text and the spans to remove."""
+    source = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
+    found = saved(removed_intervals(source.select("rid", "text")), "removed")
     return source.join(found.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans")), "rid", "left")  # of one text
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans and kept (the remaining bytes) of every document."""
-    kind = docs.schema["doc_id"].dataType.simpleString()
+    kind = docs.schema["doc_id"].dataType
 
     def apply(batches):
         for batch in steps(batches):
-            data, offsets, gone = _marked(batch)
-            begins = gone & ~np.r_[False, gone[:-1]]
-            full = offsets[:-1][np.diff(offsets) > 0]
-            begins[full] = gone[full]
-            total, heads = np.r_[0, np.cumsum(gone)], np.r_[0, np.cumsum(begins)]
-            lens, removed = np.diff(offsets), total[offsets[1:]] - total[offsets[:-1]]
+            data, offsets, row, begin, end = _merged(batch)
+            lens, rows = np.diff(offsets), batch.num_rows
+            removed = np.bincount(row, end - begin, rows).astype(np.int64)
+            kept = np.zeros(rows + 1, np.int64)
+            np.cumsum(lens - removed, out=kept[1:])
             yield batch_of(
-                doc_id=batch.column("doc_id"), n_bytes=pa.array(lens, pa.int64()), n_removed=pa.array(removed, pa.int64()),
-                n_spans=pa.array(heads[offsets[1:]] - heads[offsets[:-1]], pa.int64()), kept=binaries(data[~gone], lens - removed).cast(pa.binary()),
+                doc_id=batch.column("row").field("doc_id"), n_bytes=pa.array(lens, pa.int64()), n_removed=pa.array(removed), n_spans=pa.array(np.bincount(row, minlength=rows), pa.int64()),
+                kept=pa.Array.from_buffers(pa.large_binary(), rows, [None, pa.py_buffer(kept), pa.py_buffer(_kept(data, begin, end))]).cast(pa.binary()),
             )
 
-    rows = _with_spans(docs.select("doc_id", "text")).select("doc_id", "text", "spans")
-    return rows.mapInArrow(apply, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary")
+    rows = _with_spans(docs, ["doc_id"]).select("row", "text", "spans")
+    return rows.mapInArrow(apply, f"doc_id {kind.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def remaining_text(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` with all their columns and only the remaining text; characters that a cut splits go too."""
-    names = docs.columns
+    names, types = docs.columns, [to_arrow_type(f.dataType) for f in docs.schema]
 
     def apply(batches):
         for batch in steps(batches):
-            data, offsets, gone = _marked(batch)
-            left = np.r_[0, np.cumsum(~gone)][offsets].tolist()
-            kept = data[~gone].tobytes()
+            data, offsets, row, begin, end = _merged(batch)
+            left = np.r_[0, np.cumsum(np.diff(offsets) - np.bincount(row, end - begin, batch.num_rows).astype(np.int64))].tolist()
+            kept = _kept(data, begin, end)
             texts = pa.array([kept[a:b].decode(errors="ignore") for a, b in zip(left[:-1], left[1:], strict=True)], pa.string(), mask=batch.column("text").is_null().to_numpy(zero_copy_only=False))
-            yield pa.RecordBatch.from_arrays([texts if c == "text" else batch.column(c) for c in names], names=names)
+            held = batch.column("row")
+            yield pa.RecordBatch.from_arrays([texts if c == "text" else held.field(c).cast(t) for c, t in zip(names, types, strict=True)], names=names)
 
-    return _with_spans(docs).select(*names, "spans").mapInArrow(apply, docs.schema)
+    return _with_spans(docs, [c for c in names if c != "text"]).select("row", "text", "spans").mapInArrow(apply, docs.schema)

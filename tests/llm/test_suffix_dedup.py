@@ -52,15 +52,61 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "most"), [(1, 8192), (2, 8192), (3, 3)])
-def test_removal(spark, seed, most, monkeypatch):
+@pytest.mark.parametrize(("seed", "most", "long"), [(1, 8192, 4 << 20), (2, 8192, 300), (3, 3, 4 << 20)])
+def test_removal(spark, seed, most, long, monkeypatch):
+    """Against brute force; with anchors split into windows; with texts read in short ranges."""
     monkeypatch.setattr(sd, "MOST_SLICES", most)
+    monkeypatch.setattr(sd, "RANGE", long)
+    monkeypatch.setattr(sd, "STEP", min(long, sd.STEP))
     texts = corpus(seed)
-    rows = [(i, t, i) for i, t in enumerate(texts)]
-    got = sd.suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string, rid int").repartition(5)).orderBy("doc_id").collect()
-    for row, text, (left, runs) in zip(got, texts, brute(texts), strict=True):
+    rows = [(i, t, i, "a", 1) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, rid int, spans string, row int").repartition(5)
+    for row, text, (left, runs) in zip(sd.suffix_dedup(df).orderBy("doc_id").collect(), texts, brute(texts), strict=True):
         assert (bytes(row.kept), row.n_spans) == (left, runs), row.doc_id
         assert row.n_bytes == len((text or "").encode()) and row.n_removed == row.n_bytes - len(left)
+    if seed == 1:
+        left = sd.remaining_text(df).orderBy("doc_id").collect()
+        assert [(r.text, r.rid, r.spans, r.row) for r in left] == [(None if t is None else b.decode(errors="ignore"), i, "a", 1) for i, (t, (b, _)) in enumerate(zip(texts, brute(texts), strict=True))]
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_arrays_decide_on_windows(seed):
+    """One task's slices, some with copies, against counting."""
+    rng = random.Random(seed)
+    alphabet = ["ab", "e t", "zk,q", "\u4e2d\u6587\u3042"][seed % 4]
+    base = "".join(rng.choice(alphabet) for _ in range(420))
+    held = []
+    for _ in range(30):
+        i, t = rng.randrange(len(base) - 260), list(base)
+        for _ in range(rng.randint(0, 2)):
+            t[rng.randrange(len(t))] = "X"
+        held.append("".join(t).encode()[i : i + rng.randint(200, 330)])
+    held = [h for h in dict.fromkeys(held) if len(h) >= sd.WINDOW]
+    copies = [rng.choice([1, 1, 1, 2]) for _ in held]
+    times = defaultdict(int)
+    for h, c in zip(held, copies, strict=True):
+        for i in range(len(h) - 199):
+            times[h[i : i + 200]] += c
+    lens, n = np.array([len(h) for h in held]), np.array([len(h) - 199 for h in held])
+    got = sd.repeated_starts(np.frombuffer(b"\0".join(held) + b"\0", np.uint8), np.cumsum(lens + 1) - lens - 1, n, np.array(copies))
+    assert got.tolist() == [times[h[i : i + 200]] > 1 for h in held for i in range(len(h) - 199)]
+
+
+def test_equal_hashes_of_slices_only_cost_work(monkeypatch):
+    """Cores whose hashes all collide leave every slice to the array."""
+    monkeypatch.setattr(sd.Prefixes, "hashes", lambda self, starts, lens: np.zeros(len(starts), np.uint64))
+    assert sd.comparable(np.zeros(900, np.uint8), np.array([0, 400]), np.array([20, 20]), np.array([30, 30]), np.array([1, 1])).tolist() == [True, True]
+
+
+def test_long_text_in_ranges(spark):
+    """A text of many ranges repeats a passage of its own and one of another text."""
+    rng = random.Random(4)
+    noise = "".join(rng.choice("abcdefgh \n") for _ in range(9 << 20))
+    passage = "".join(rng.choice("klmnop ") for _ in range(1000))
+    text = noise[: 5 << 20] + passage + noise[5 << 20 :] + passage
+    got = {r.doc_id: r for r in sd.suffix_dedup(spark.createDataFrame([(1, text), (2, noise[100:500] + "!")], "doc_id long, text string")).collect()}
+    assert bytes(got[1].kept).decode() == noise[:100] + noise[500:] and (got[1].n_spans, got[1].n_removed) == (3, 2400)
+    assert bytes(got[2].kept) == b"!"
 
 
 def test_edges(spark):
