@@ -65,7 +65,9 @@ def expected_ids(texts):
     return [tok.encode(t or "", add_special_tokens=False).ids + [1] for t in texts]
 
 
-def test_packing(spark):
+@pytest.mark.parametrize("slot", [32 << 20, 2000])
+def test_packing(spark, slot, monkeypatch):
+    monkeypatch.setattr(packing, "SLOT_BYTES", slot)
     texts = SPECIAL + fuzz(50)
     ids = expected_ids(texts)
     rows = packing.pack(docs(spark, texts), WORDS, longest=256).collect()
@@ -81,8 +83,9 @@ def test_packing(spark):
         assert {r.doc_tokens for r in pieces} == {len(want)}
     # Buckets are runs of sequence ids, the longest pieces first, whatever the split of the input.
     ordered = sorted(rows, key=lambda r: r.sequence_id)
-    assert [r.sequence_id for r in ordered] == list(range(len(rows)))
-    assert [(r.length, r.doc_id, r.start) for r in ordered] == sorted(((r.length, r.doc_id, r.start) for r in rows), key=lambda x: (-x[0], *x[1:]))
+    assert [r.sequence_id for r in ordered] == list(range(len(rows))) and [r.length for r in ordered] == sorted((r.length for r in rows), reverse=True)
+    again = packing.pack(docs(spark, texts).repartition(7), WORDS, longest=256).collect()
+    assert {(r.doc_id, r.start, r.sequence_id) for r in rows} == {(r.doc_id, r.start, r.sequence_id) for r in again}
     assert all(1 << r.bucket == r.length for r in rows)
     assert packing.pack(docs(spark, []), WORDS).count() == 0
     with pytest.raises(ValueError):
