@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 
 from starling.llm import jaccard as jc
@@ -62,7 +63,7 @@ def test_components_equal_brute_force(spark, seed, words, percent, weight, pivot
     monkeypatch.setattr(jc, "BLOCK_SHINGLES", weight)
     monkeypatch.setattr(jc, "PIVOTS", pivots)
     rows = corpus(seed)
-    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, rep string").repartition(4)
+    df = spark.createDataFrame([(d, t, "clash") for d, t in rows], "doc_id long, text string, class string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in jc.jaccard_components(df, words, percent).collect()}
     assert got == brute(rows, words, percent)
 
@@ -75,7 +76,7 @@ def test_tree_finds_what_all_pairs_find(seed):
     rows = [(d, t) for d, t in corpus(seed) if t and t.strip()]
     sets = jc.shingle_sets(pa.array([t for _, t in rows]), 3)
     want = {d: c for d, (_, c) in brute(rows, 3, 60).items()}
-    links = jc.link([d for d, _ in rows], sets, [d for d, _ in rows], 60)
+    links = jc.link(sets, [d for d, _ in rows], 60)
     up = {d: d for d, _ in rows}
 
     def root(d):
@@ -91,9 +92,53 @@ def test_tree_finds_what_all_pairs_find(seed):
 
 def test_edges(spark):
     assert jc.jaccard_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
-    rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (2, None)], "doc_id long, text string")
-    got = sorted(((r.doc_id, r.component_id) for r in jc.jaccard_components(rows).collect()), key=str)
-    assert got == [(2, 2), (4, 4), (4, 4), (9, 4), (None, None)]
+    rows = spark.createDataFrame([(None, "a b c d e f"), (4, "a b c d e f"), (4, "a b c d e f"), (9, "a b c d e f"), (2, None), (4, "other words")], "doc_id long, text string")
+    got = sorted(((r.doc_id, r.component_id, r.copies) for r in jc.jaccard_components(rows).collect()), key=str)
+    assert got == [(2, 2, 1), (4, 4, 1), (4, 4, 3), (4, 4, 3), (9, 4, 3), (None, None, 1)]
+
+
+def test_ids_of_other_types(spark):
+    rows = corpus(7)
+    got = {r.doc_id: r.component_id for r in jc.jaccard_components(spark.createDataFrame([(f"{d:05}", t) for d, t in rows], "doc_id string, text string"), 4, 85).collect()}
+    assert got == {f"{d:05}": f"{c:05}" for d, (_, c) in brute(rows, 4, 85).items()}
+
+
+def test_band_collisions_follow_the_similarity():
+    """Each band agrees with a probability of about J to the ROWS, so that the bound on lost links holds."""
+    rng, bands, trials = np.random.default_rng(0), 51, 200
+    for share in (0.5, 0.8, 0.9):
+        hits = 0
+        for _ in range(trials):
+            both, rest = int(200 * share), 200 - int(200 * share)
+            x = rng.integers(0, 1 << 63, both + rest, dtype=np.uint64) * np.uint64(2)
+            sets = [np.sort(x[:both + rest // 2]), np.sort(np.r_[x[:both], x[both + rest // 2 :]])]
+            a, b = jc.band_keys(sets, bands)
+            hits += int((a == b).sum())
+        want = share**jc.ROWS
+        assert abs(hits / (bands * trials) - want) < 0.03, share
+
+
+def test_a_large_group_of_near_copies_is_linked_quickly():
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 120, dtype=np.uint64)
+    sets = []
+    for _ in range(3000):
+        own = base.copy()
+        own[rng.integers(0, 120, 4)] = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+        sets.append(np.unique(own))
+    calls = 0
+
+    def counted(*args, plain=jc.similar):
+        nonlocal calls
+        calls += 1
+        return plain(*args)
+
+    jc.similar, plain = counted, jc.similar
+    try:
+        links = jc.link(sets, list(range(3000)), 85)
+    finally:
+        jc.similar = plain
+    assert len(links) == 2999 and calls < 20 * 3000
 
 
 def test_long_chain_of_edges(spark):
