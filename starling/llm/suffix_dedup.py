@@ -33,10 +33,10 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from starling.llm.common import batch_of, mix, ragged, raw, saved, steps
+from starling.llm.common import batch_of, mix, ragged, raw, row_key, saved, steps
 from starling.llm.suffix_array import suffix_array
 
 WINDOW, GRAM = 200, 24
@@ -354,12 +354,6 @@ def _kept(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> bytes:
     return b"".join(view[a:b] for a, b in edges)
 
 
-def row_key(*columns: Column) -> Column:
-    """Two 64-bit hashes of the columns' values and nulls, as 16 bytes."""
-    cells = [c for column in columns for c in (column, column.isNull())]  # hashing skips nulls
-    return F.unhex(F.concat(*[F.lpad(F.hex(F.xxhash64(F.lit(salt), *cells)), 16, "0") for salt in (1, 2)]))
-
-
 def _with_spans(docs: DataFrame, others: list[str]) -> DataFrame:
     """rid, row (a struct of the other columns, so that no name can clash), text and the spans to remove."""
     source = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")

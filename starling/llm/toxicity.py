@@ -60,7 +60,7 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         rolled = cp * np.uint64(0x9E3779B97F4A7C15)
         total = rolled.copy()
-        for n in range(2, max(GRAMS) + 1):
+        for n in range(2, min(max(GRAMS), len(cp)) + 1):
             total[: len(cp) - n + 1] = total[: len(cp) - n + 1] * np.uint64(0x100000001B3) + rolled[n - 1 :]
             if n in GRAMS:
                 here = np.flatnonzero(left >= n)

@@ -110,3 +110,19 @@ def test_copies_with_null_repeated_and_shared_ids(spark):
         assert len(last) == 1 and [x for x in left if x[0] is not None] == sorted([(7, a), (3, b), (2, near), (8, d)], key=str)
     kept = {r.text for r in cp.drop_passages(spark, twice, "").collect()}
     assert {a, b, near} <= kept
+
+
+def test_empty_tables_and_clashing_names(spark, folder):
+    path, *_ = folder
+    names = ["doc_id", "text", "key", "row", "r1", "rid", "spans", "bucket", "label", "class", "score"]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in names[2:])
+    long = "some words of a text that is long enough to hold a window of two hundred bytes and that stands in two documents " * 3
+    rows = [(1, long + "one more thing at the end", *"abcdefghi"), (2, long + "and quite another end of it, of some length", *"abcdefghi"), (3, None, *[None] * 9), (4, "short", *"abcdefghi")]
+    for data in ([], rows):
+        docs = spark.createDataFrame(data, schema)
+        for _, stage in cp.STAGES[:-1]:
+            docs = cp.saved(stage(spark, docs, path), "stage")
+            assert docs.columns == names
+        left = {r.doc_id: r for r in docs.collect()}
+        assert left.keys() >= ({1, 2, 4} if data else set()) and all(tuple(left[i])[2:] == tuple("abcdefghi") for i in (1, 2, 4) if i in left)
+        assert cp.pack(spark, docs, path).count() >= len(data) - 1
