@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 # What the cleaning rules remove, in the order they apply.
-TAGS, URLS, OTHER_CHARS = r"<[^>]+>", r"https?://\S+|www\.\S+", r"[^a-zA-Z0-9\s.,!?']"
+TAGS, URLS, OTHER_CHARS = r"<[^>]+>", r"https?://\S+", r"[^a-zA-Z0-9\s.,!?']"
 #: ASCII marks that count as punctuation.
 PUNCTUATION = r"[!-/:-@\[-`{-~]"
 
@@ -82,7 +82,10 @@ def price_bucket(price: Column, low: float = 20.0, high: float = 100.0) -> Colum
 
 def list_features(literal: Column) -> dict[str, Column]:
     """Of a list written as text, with either kind of quotes: count, total and mean length, has flag; bad text is an empty list."""
-    items = F.coalesce(F.from_json(F.regexp_replace(literal, "'", '"'), "array<string>"), F.array().cast("array<string>"))
+    quoted = r"""'[^'\\]*(?:\\.[^'\\]*)*'|"[^"\\]*(?:\\.[^"\\]*)*\""""
+    inside = F.transform(F.regexp_extract_all(literal, F.lit(f"({quoted})"), F.lit(1)), lambda x: F.regexp_replace(F.substr(x, F.lit(2), F.length(x) - 2), r"\\(.)", "$1"))
+    strings = F.when(F.regexp_replace(literal, quoted, "").rlike(r"^\s*\[[\s,]*\]\s*$"), inside)
+    items = F.coalesce(strings, F.from_json(literal, "array<string>"), F.array().cast("array<string>"))
     total = F.aggregate(items, F.lit(0), lambda a, x: a + F.length(F.coalesce(x, F.lit(""))))
     return {"n_items": F.size(items), "total_len": total, "mean_len": F.when(F.size(items) > 0, total / F.size(items)).otherwise(0.0), "has_items": (F.size(items) > 0).cast("int")}
 

@@ -6,10 +6,12 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from starling.operators.stats import quantiles
+
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: median, and mean and population deviation after filling, of each column."""
-    medians = train.agg(*[F.percentile(c, F.lit(0.5)).alias(f"{c}__med") for c in columns])
+    medians = quantiles(train, {f"{c}__med": (c, 0.5) for c in columns})
     filled = train.crossJoin(F.broadcast(medians))  # one row
     value = {c: F.coalesce(F.col(c).cast("double"), F.col(f"{c}__med"), F.lit(0.0)) for c in columns}
     stats = filled.agg(*[F.avg(x).alias(f"{c}__mean") for c, x in value.items()], *[F.stddev_pop(x).alias(f"{c}__std") for c, x in value.items()])

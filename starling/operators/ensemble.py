@@ -8,8 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starling.sources.io import materialize, scratch
+
+#: Numbers of a block of rows against a blend grid.
+GRID_CELLS = 1 << 20
+#: Rows that a table of runs may have.
+MOST_RUNS = 10_000
+
 
 def rmse(p: Column, y: Column) -> Column:
     return F.sqrt(F.avg(F.pow(p - y, 2)))
@@ -46,7 +55,7 @@ def auc(rows: DataFrame, score: str, label: str) -> DataFrame:
     a running sum within a range, so no task sees all scores.
     """
     counts = rows.groupBy(F.col(score).cast("double").alias("s")).agg(F.count_if(F.col(label) == 1).alias("pos"), F.count_if(F.col(label) == 0).alias("neg"))
-    ranged = counts.repartitionByRange("s").withColumn("part", F.spark_partition_id())
+    ranged = materialize(counts.repartitionByRange("s").withColumn("part", F.spark_partition_id()), scratch(rows.sparkSession, "ranges"))
     sizes = ranged.groupBy("part").agg(F.sum("neg").alias("n"), F.min("s").alias("low"))  # a row per range
     over = Window.orderBy("low").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part", F.coalesce(F.sum("n").over(over), F.lit(0)).alias("before"))
@@ -80,13 +89,31 @@ def harmonic(weights: dict[str, float]) -> Column:
 
 
 def score_blends(rows: DataFrame, blends: Sequence[dict[str, float]], y: str = "y", clip: bool = True) -> DataFrame:
-    """idx, the weights and the RMSE of each blend. Rows meet the grid in the map and are summed there; one row per grid point and task is shuffled."""
+    """idx, the weights and the RMSE of each blend, over rows that have all predictions.
+
+    Rows meet the grid as matrix products of GRID_CELLS numbers; one row per grid point and task is shuffled.
+    """
     models = sorted({m for b in blends for m in b})
-    point = F.explode(F.sequence(F.lit(0), F.lit(len(blends) - 1))).alias("idx")
-    weight = {m: F.element_at(F.array(*[F.lit(float(b.get(m, 0.0))) for b in blends]), F.col("idx") + 1) for m in models}
-    pred = sum((F.col(m) * w for m, w in weight.items()), start=F.lit(0.0))
-    scored = rows.select(y, *models, point).groupBy("idx").agg(rmse(_clip(pred) if clip else pred, F.col(y)).alias("rmse"))
-    return scored.select("idx", *[w.alias(f"w_{m}") for m, w in weight.items()], "rmse")
+    weights = np.array([[float(b.get(m, 0.0)) for b in blends] for m in models])
+    names, height = [y, *models], max(1, GRID_CELLS // len(blends))
+
+    def run(batches):
+        total, n = np.zeros(len(blends)), 0
+        for pdf in batches:
+            x = pdf[names].to_numpy(float)
+            for lo in range(0, len(x), height):
+                error = x[lo : lo + height, 1:] @ weights
+                if clip:
+                    np.clip(error, 1.0, 5.0, out=error)
+                error -= x[lo : lo + height, :1]
+                total += np.einsum("ij,ij->j", error, error)
+            n += len(x)
+        yield pd.DataFrame({"idx": np.arange(len(blends), dtype=np.int32), "s": total, "n": n})
+
+    known = rows.select(*[F.col(c).cast("double").alias(c) for c in names]).na.drop()
+    sums = known.mapInPandas(run, "idx int, s double, n long").groupBy("idx").agg(F.sqrt(F.sum("s") / F.nullif(F.sum("n"), F.lit(0))).alias("rmse"))
+    grid = rows.sparkSession.createDataFrame([(i, *map(float, w)) for i, w in enumerate(weights.T)], ", ".join(["idx int", *[f"`w_{m}` double" for m in models]]))
+    return grid.join(sums, "idx").select("idx", *[f"w_{m}" for m in models], "rmse")
 
 
 def pair_grid(a: str, b: str, points: int = 101) -> list[dict[str, float]]:
@@ -141,6 +168,8 @@ def gate(rows: DataFrame, old: str, new: str, y: str = "y", allowed: float = 0.0
 
 def association(scores: DataFrame, x: str, y: str) -> DataFrame:
     """One row on how local scores follow external ones: Pearson, Spearman, the regression line, R², mean and deviation of the offset. For tables of runs (a few rows)."""
+    if scores.limit(MOST_RUNS + 1).count() > MOST_RUNS:
+        raise ValueError(f"more than {MOST_RUNS} runs")
     order = lambda c: Window.orderBy(c)
     rank = lambda c: F.rank().over(order(c)) + (F.count(F.lit(1)).over(Window.partitionBy(c)) - 1) / 2.0
     ranked = scores.select(x, y, rank(x).alias("rx"), rank(y).alias("ry"))

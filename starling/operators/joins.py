@@ -6,7 +6,6 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from starling.operators.stats import first_per_group
 
 #: Dimensions of at most so many rows are broadcast; larger ones are left to the planner's own measures.
 BROADCAST_ROWS = 100_000
@@ -17,6 +16,22 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def split_join(rows: DataFrame, table: DataFrame, keys: str | Sequence[str], how: str = "left") -> DataFrame:
+    """Joins on the keys and a hash of them.
+
+    The second key makes Spark shuffle both sides for the join, a grouped table too, so that
+    adaptive execution may split a hot key. Rows with a null key match nothing; they are dealt
+    out by their other columns instead of meeting in one task.
+    """
+    keys = [keys] if isinstance(keys, str) else list(keys)
+    empty = F.lit(False)
+    for c in keys:
+        empty = empty | F.col(c).isNull()
+    others = [c for c, kind in rows.dtypes if c not in keys and not kind.startswith(("map", "variant"))]
+    salt = F.when(empty, F.xxhash64(*others)).otherwise(F.xxhash64(*keys)) if others else F.xxhash64(*keys)
+    return rows.withColumn("__salt", salt).join(table.withColumn("__salt", F.xxhash64(*keys)), [*keys, "__salt"], how).drop("__salt")
+
+
 def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, prefix: str = "pi_") -> DataFrame:
     """Left join on ``key``; columns of the dimension that facts have too get a prefix."""
     renamed = dimension.select(key, *[F.col(c).alias(f"{prefix}{c}" if c in facts.columns else c) for c in dimension.columns if c != key])
@@ -25,7 +40,9 @@ def join_dimension(facts: DataFrame, dimension: DataFrame, key: str, prefix: str
 
 def unique_dimension(dimension: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row a key, so that joins keep the number of facts."""
-    return first_per_group(dimension, key, order)
+    rest = [c for c in dimension.columns if c != key]
+    ordered = [*order, *[c for c in rest if c not in order]]
+    return dimension.groupBy(key).agg(F.min(F.struct(*ordered)).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in rest])
 
 
 def chain_lookup(rows: DataFrame, *hops: tuple[DataFrame, str]) -> DataFrame:

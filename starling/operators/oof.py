@@ -1,8 +1,9 @@
 """Out-of-fold (leak-free) aggregates and target encodings by subtracting fold sums.
 
 Each key's rows are aggregated once into one slot of sums per fold; the value for a row in fold
-f is computed from the key's totals minus slot f. One shuffle makes the slots, one joins them
-back, whatever k is. With many folds (k > SLOTS) sums per (key, fold) are used instead.
+f is computed from the key's totals minus slot f. One shuffle makes the slots, one on either
+side joins them back, whatever k is; that join may split a hot key, and null keys pass it by. With
+many folds (k > SLOTS) sums per (key, fold) are used instead.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starling.operators.joins import split_join
+
 SLOTS = 16
 
 
@@ -43,7 +46,7 @@ def fold_sums(rows: DataFrame, key: str | Sequence[str], sums: dict[str, Column]
 def with_others(rows: DataFrame, key: str | Sequence[str], sums: dict[str, Column], k: int, fold: str = "fold", prefix: str = "o_") -> DataFrame:
     """rows with the n and sums of their key's rows in the other folds (0 if there are none)."""
     keys = _keys(key)
-    joined = rows.join(fold_sums(rows, key, sums, k, fold), keys, "left")
+    joined = split_join(rows, fold_sums(rows, key, sums, k, fold), keys)
     own = F.element_at("slots", (F.col(fold) + 1).cast("int"))
     out = {}
     for c, zero in (("n", F.lit(0).cast("long")), *[(c, F.lit(0.0)) for c in sums]):
@@ -57,7 +60,7 @@ def with_totals(rows: DataFrame, train: DataFrame, key: str | Sequence[str], sum
     keys = _keys(key)
     totals = train.groupBy(*keys).agg(F.count(F.lit(1)).alias(f"{prefix}n"), *[F.sum(x.cast("double")).alias(f"{prefix}{c}") for c, x in sums.items()])
     zero = {f"{prefix}n": F.coalesce(F.col(f"{prefix}n"), F.lit(0))} | {f"{prefix}{c}": F.coalesce(F.col(f"{prefix}{c}"), F.lit(0.0)) for c in sums}
-    return rows.join(totals, keys, "left").withColumns(zero)
+    return split_join(rows, totals, keys).withColumns(zero)
 
 
 def mean(n: Column, s: Column) -> Column:
@@ -158,7 +161,7 @@ def leak_check_pairs(encoded: DataFrame, key: str, value: str = "oof_mean", targ
     pairs = encoded.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("fold").alias("lo"), F.max("fold").alias("hi"), F.sum(F.col(target).cast("double")).alias("total"))
     pairs = pairs.where("n = 2 AND lo <> hi").select(key, "total")
     bad = F.coalesce(F.abs(F.col(value) - (F.col("total") - F.col(target))) > tolerance, F.lit(True))
-    return encoded.join(pairs, key).agg(F.countDistinct(key).alias("n_keys"), F.count_if(bad).alias("n_violations"))
+    return split_join(encoded, pairs, key, "inner").agg(F.countDistinct(key).alias("n_keys"), F.count_if(bad).alias("n_violations"))
 
 
 def direct_oof_mean(rows: DataFrame, key: str, target: str = "rating") -> DataFrame:
@@ -166,7 +169,7 @@ def direct_oof_mean(rows: DataFrame, key: str, target: str = "rating") -> DataFr
     cells = rows.groupBy(key, "fold").agg(F.sum(F.col(target).cast("double")).alias("s"), F.count(F.lit(1)).alias("n"))
     other = cells.select(F.col(key).alias("k2"), F.col("fold").alias("f2"), "s", "n")
     means = cells.select(key, "fold").join(other, (F.col(key) == F.col("k2")) & (F.col("fold") != F.col("f2"))).groupBy(key, "fold").agg((F.sum("s") / F.sum("n")).alias("direct_mean"))
-    return rows.select("id", key, "fold").join(means, [key, "fold"], "left").select("id", "direct_mean")
+    return split_join(rows.select("id", key, "fold"), means, [key, "fold"]).select("id", "direct_mean")
 
 
 def leak_check_full(encoded: DataFrame, key: str, value: str = "oof_mean", target: str = "rating", tolerance: float = 1e-9) -> DataFrame:

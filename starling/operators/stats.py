@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starling.operators.joins import split_join, unique_dimension
+from starling.sources.io import materialize, scratch
+
 
 def user_stats(rows: DataFrame, key: str = "user_id") -> DataFrame:
     """Per user: mean rating, count, mean votes, purchase rate, population deviation."""
@@ -41,7 +44,7 @@ def extended_stats(rows: DataFrame, key: str | Sequence[str], active: int | None
 def mean_deviation(rows: DataFrame, key: str = "user_id", of: str = "prod_id") -> DataFrame:
     """Per key: the mean difference of its ratings from the mean of what they rate."""
     means = rows.groupBy(of).agg(F.avg("rating").alias("of_mean"))
-    return rows.join(means, of).groupBy(key).agg(F.avg(F.col("rating") - F.col("of_mean")).alias("mean_deviation"))
+    return split_join(rows, means, of, "inner").groupBy(key).agg(F.avg(F.col("rating") - F.col("of_mean")).alias("mean_deviation"))
 
 
 def group_profile(items: DataFrame, group: str, value: str) -> DataFrame:
@@ -51,7 +54,7 @@ def group_profile(items: DataFrame, group: str, value: str) -> DataFrame:
 
 def store_features(items: DataFrame, key: str, store: str, value: str) -> DataFrame:
     """Per item, its store's profile; zeros and has_store = 0 without a store."""
-    out = items.select(key, store).join(group_profile(items, store, value), store, "left")
+    out = split_join(items.select(key, store), group_profile(items, store, value), store)
     return out.select(key, store, *[F.coalesce(c, F.lit(0)).alias(c) for c in ("n_items", "avg_value", "total_value")], F.col(store).isNotNull().cast("int").alias("has_store"))
 
 
@@ -59,7 +62,7 @@ def pair_stats(rows: DataFrame, first: str = "user_id", second: str = "main_cate
     """Per pair: mean, count and difference from the first key's mean (from sums, in one pass over the pairs)."""
     pairs = rows.groupBy(first, second).agg(F.sum("rating").alias("s"), F.count(F.lit(1)).alias("n"))
     totals = pairs.groupBy(first).agg((F.sum("s") / F.sum("n")).alias("own_mean"))
-    return pairs.join(totals, first).select(first, second, (F.col("s") / F.col("n")).alias("mean_rating"), F.col("n").alias("n_reviews"), (F.col("s") / F.col("n") - F.col("own_mean")).alias("deviation"))
+    return split_join(pairs, totals, first, "inner").select(first, second, (F.col("s") / F.col("n")).alias("mean_rating"), F.col("n").alias("n_reviews"), (F.col("s") / F.col("n") - F.col("own_mean")).alias("deviation"))
 
 
 def missing_rates(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
@@ -77,12 +80,36 @@ def value_distribution(df: DataFrame, column: str) -> DataFrame:
     return counts.join(counts.agg(F.sum("n").alias("__n"))).select("value", "n", F.round(F.col("n") * 100.0 / F.col("__n"), 2).alias("pct"))
 
 
+def quantiles(df: DataFrame, wanted: dict[str, tuple[str, float]]) -> DataFrame:
+    """One row of exact, interpolated quantiles, named by the dict's keys, of (column, share); null without values.
+
+    No task sees all values of a column: rows become counts per distinct value, these are dealt to
+    ranges and written, and running counts over the ranges (a row each) and within each of them
+    find the values around the wanted ranks.
+    """
+    columns = sorted({c for c, _ in wanted.values()})
+    long = df.select(F.inline(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in columns]))).where("v IS NOT NULL")
+    counts = long.groupBy("c", "v").agg(F.count(F.lit(1)).alias("n"))
+    ranged = materialize(counts.repartitionByRange("c", "v").withColumn("part", F.spark_partition_id()), scratch(df.sparkSession, "ranges"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("c").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy("c", "part").agg(F.sum("n").alias("n")).select("c", "part", before.alias("before"), F.sum("n").over(Window.partitionBy("c")).alias("total"))
+    placed = ranged.withColumn("inside", F.sum("n").over(Window.partitionBy("c", "part").orderBy("v"))).join(F.broadcast(offsets), ["c", "part"])  # a row per column and range
+    upto, found = F.col("before") + F.col("inside"), []
+    for name, (column, share) in wanted.items():
+        here, rank = F.col("c") == column, (F.col("total") - 1) * float(share)
+        low, high = (F.min(F.when(here & (upto > edge), F.col("v"))) for edge in (F.floor(rank), F.ceil(rank)))
+        found.append((low + (high - low) * F.max(F.when(here, rank - F.floor(rank)))).alias(name))
+    return placed.agg(*found)
+
+
 def numeric_summary(df: DataFrame, column: str, exact: bool = True) -> DataFrame:
-    median = F.percentile(column, F.lit(0.5)) if exact else F.percentile_approx(column, 0.5, 10000)
-    return df.agg(
-        F.avg(column).alias("mean"), median.cast("double").alias("median"), F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("min"),
+    """Mean, median (``exact``, or with a relative rank error of 1/10000), deviation, range and zeros."""
+    own = F.lit(None).cast("double") if exact else F.percentile_approx(column, 0.5, 10000).cast("double")
+    out = df.agg(
+        F.avg(column).alias("mean"), own.alias("median"), F.stddev_samp(column).alias("std"), F.min(column).cast("double").alias("min"),
         F.max(column).cast("double").alias("max"), F.count_if(F.col(column) == 0).alias("zeros"),
     )
+    return out.drop("median").crossJoin(quantiles(df, {"median": (column, 0.5)})) if exact else out  # one row each
 
 
 def time_range(df: DataFrame, ts: str) -> DataFrame:
@@ -106,8 +133,9 @@ def histogram(df: DataFrame, column: str, bins: int, clip_quantile: float | None
     """bin and count over equal widths, values above a quantile counted in the last bin; ``log`` bins log1p."""
     x = F.log1p(column) if log else F.col(column).cast("double")
     values = df.select(x.alias("x")).where("x IS NOT NULL")
-    top = F.percentile("x", F.lit(clip_quantile)) if clip_quantile is not None else F.max("x")
-    bounds = values.agg(F.min("x").alias("low"), top.alias("high"))
+    bounds = values.agg(F.min("x").alias("low"), F.max("x").alias("high"))
+    if clip_quantile is not None:
+        bounds = bounds.drop("high").crossJoin(quantiles(values, {"high": ("x", clip_quantile)}))  # one row each
     width = (F.col("high") - F.col("low")) / bins
     spot = F.when(width > 0, F.floor((F.least("x", "high") - F.col("low")) / F.when(width > 0, width))).otherwise(0)
     return values.crossJoin(F.broadcast(bounds)).groupBy(F.least(spot, F.lit(bins - 1)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))  # bounds: one row
@@ -125,9 +153,7 @@ def top_features(corr: DataFrame, k: int = 10) -> DataFrame:
 
 def first_per_group(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One whole row per key: the first in ``order``, the same in every run."""
-    rest = [c for c in df.columns if c != key]
-    ordered = [*order, *[c for c in rest if c not in order]]
-    return df.groupBy(key).agg(F.min(F.struct(*ordered)).alias("r")).select(key, *[F.col("r")[c].alias(c) for c in rest])
+    return unique_dimension(df, key, order)
 
 
 def mean_of_means(df: DataFrame, key: str, value: str) -> DataFrame:
@@ -135,8 +161,17 @@ def mean_of_means(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.groupBy(key).agg(F.avg(value).alias("m")).agg(F.avg("m").alias("mean_of_means"))
 
 
-def dense_price_rank(df: DataFrame, group: str, price: str) -> Column:
-    return F.dense_rank().over(Window.partitionBy(group).orderBy(F.col(price).asc_nulls_last()))
+def dense_ranks(df: DataFrame, group: str, value: str, name: str) -> DataFrame:
+    """``df`` with the dense rank of a value within its group, null last. Distinct values are dealt to ranges, so that no task sorts a hot group."""
+    order = [F.col(group), F.col(value).asc_nulls_last()]
+    ranged = df.select(group, value).distinct().repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
+    ranged = materialize(ranged, scratch(df.sparkSession, "ranges"))
+    before = F.coalesce(F.sum("__n").over(Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = ranged.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n")).select(F.col(group).alias("__g"), F.col("__part").alias("__p"), before.alias("__before"))
+    inside = F.row_number().over(Window.partitionBy(group, "__part").orderBy(F.col(value).asc_nulls_last()))
+    placed = ranged.withColumn("__inside", inside).join(offsets, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__part") == F.col("__p")))
+    ranks = placed.select(F.col(group).alias("__g"), F.col(value).alias("__v"), (F.col("__before") + F.col("__inside")).cast("int").alias(name))
+    return df.join(ranks, F.col(group).eqNullSafe(F.col("__g")) & F.col(value).eqNullSafe(F.col("__v")), "left").drop("__g", "__v")
 
 
 def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
@@ -144,9 +179,10 @@ def sample_rows(df: DataFrame, key: str, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.md5(F.concat(F.col(key).cast("string"), F.lit(f"#{seed}")).cast("binary")), key).limit(n)
 
 
-def median_fill(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None) -> DataFrame:
-    """Nulls become the median of the fitting rows, or 0 where that has none; exact medians in one aggregate."""
-    medians = (fit_on if fit_on is not None else df).agg(*[F.percentile(c, F.lit(0.5)).alias(f"__{c}") for c in columns])
+def median_fill(df: DataFrame, columns: Sequence[str], fit_on: DataFrame | None = None, exact: bool = True) -> DataFrame:
+    """Nulls become the median of the fitting rows, or 0 where that has none; approximate medians have a relative rank error of 0.01."""
+    fit = fit_on if fit_on is not None else df
+    medians = quantiles(fit, {f"__{c}": (c, 0.5) for c in columns}) if exact else fit.agg(*[F.percentile_approx(c, 0.5, 100).cast("double").alias(f"__{c}") for c in columns])
     out = df.crossJoin(F.broadcast(medians))  # one row
     return out.withColumns({c: F.coalesce(F.col(c).cast("double"), F.col(f"__{c}"), F.lit(0.0)) for c in columns}).drop(*[f"__{c}" for c in columns])
 

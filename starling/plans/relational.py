@@ -115,7 +115,7 @@ def reuse_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- cleaning and imputation
 
-_CLEAN = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), 'https?://[^\t\n\v\f\r ]+|www\.[^\t\n\v\f\r ]+', ' ', 'g'), '[^a-zA-Z0-9\t\n\v\f\r .,!?'']', ' ', 'g'), '[\t\n\v\f\r ]+', ' ', 'g')))"""
+_CLEAN = r"""lower(trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '<[^>]+>', ' ', 'g'), 'https?://[^\t\n\v\f\r ]+', ' ', 'g'), '[^a-zA-Z0-9\t\n\v\f\r .,!?'']', ' ', 'g'), '[\t\n\v\f\r ]+', ' ', 'g')))"""
 
 
 @query(f"SELECT doc_id, {_CLEAN.format('text')} AS cleaned FROM documents")
@@ -395,7 +395,8 @@ def mean_of_means(spark: SparkSession, sf_dir: str) -> DataFrame:
   CASE WHEN p_retailprice < 1000 THEN 0 WHEN p_retailprice <= 1500 THEN 1 ELSE 2 END AS price_bucket FROM part""")
 def price_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = table(spark, sf_dir, "part")
-    return Q(part.select("p_partkey", stats.dense_price_rank(part, "p_brand", "p_retailprice").alias("price_rank"), F.log1p("p_retailprice").alias("log_price"), fn.price_bucket(F.col("p_retailprice"), 1000, 1500).alias("price_bucket")))
+    ranked = stats.dense_ranks(part, "p_brand", "p_retailprice", "price_rank")
+    return Q(ranked.select("p_partkey", "price_rank", F.log1p("p_retailprice").alias("log_price"), fn.price_bucket(F.col("p_retailprice"), 1000, 1500).alias("price_bucket")))
 
 
 @query("""SELECT id, year(ts) AS year, month(ts) AS month, day(ts) AS day, dayofweek(ts) + 1 AS weekday, hour(ts) AS hour, CASE WHEN dayofweek(ts) IN (0, 6) THEN 1 ELSE 0 END AS is_weekend,

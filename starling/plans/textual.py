@@ -102,7 +102,13 @@ _WEIGH = """, n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tf), vocab AS (
   SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w"""
 
 
+def _once(counts: DataFrame) -> DataFrame:
+    """Written, as the vocabulary, the number of documents and the weights all read it."""
+    return io.materialize(counts, io.scratch(counts.sparkSession, "term-counts"))
+
+
 def _weights(counts: DataFrame, size: int) -> DataFrame:
+    counts = _once(counts)
     return tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", size), "doc_id")
 
 
@@ -119,7 +125,7 @@ def tfidf_bigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH ws AS (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents), wc AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM ws GROUP BY ALL), g AS (SELECT doc_id, c, unnest(list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))) AS term FROM wc, range(3, 6) r(n)), tf AS (SELECT doc_id, term, CAST(sum(c) AS BIGINT) AS tf FROM g GROUP BY ALL)" + _WEIGH.format(size=1000))
 def tfidf_char_wb(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    counts = tfidf.char_counts(docs, "doc_id", "text", top=1000)
+    counts = _once(tfidf.char_counts(docs, "doc_id", "text", top=1000))
     worded = docs.where(F.size(tfidf.words(F.coalesce("text", F.lit("")))) > 0)
     return Q(tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", 1000, worded), "doc_id"))
 
@@ -156,7 +162,7 @@ def tfidf_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text embeddings: TF-IDF of 1,000 terms and its first 16 components, with the benchmark's texts projected alongside."""
-    counts = tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    counts = _once(tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
     vocab = io.materialize(tfidf.vocabulary(counts, "doc_id", 1000), io.scratch(spark, "vocabulary"))
     rows = io.materialize(tfidf.indexed(tfidf.weigh(counts, vocab, "doc_id"), vocab, "doc_id"), io.scratch(spark, "sparse-rows"))
     v, values = tfidf.truncated_svd(rows, 1000, 16)

@@ -2,25 +2,35 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 import uuid
 
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
+_OWN_FOLDER: dict[str, str] = {}
+
+
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``)."""
+    """A new path below the folder that driver and executors share (``spark.checkpoint.dir``).
+
+    Only a local session may leave the setting out; its one process gets a temporary folder then.
+    """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        import tempfile
-
-        root = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.conf.set("spark.checkpoint.dir", root)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _OWN_FOLDER:
+            _OWN_FOLDER[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
+        root = _OWN_FOLDER[context.applicationId]
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], infer: bool = False) -> DataFrame:
-    """A CSV with header, quoted multi-line text and doubled quotes; all strings unless ``infer``."""
+    """A CSV with header, quoted multi-line text and doubled quotes; all strings unless ``infer``. Line breaks within quotes make each file one task: keep files small."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if infer:
         return reader.option("inferSchema", True).csv(path)

@@ -66,18 +66,41 @@ def test_row_counts_stay(spark, rows):
     assert oof.target_encode(rows, "user_id", k=3, noise=0.01).count() == len(ROWS)
 
 
-def test_two_shuffles(spark, rows):
-    """One exchange makes the slots, one brings the rows: no more, whatever k is."""
+def test_both_join_sides_are_shuffled(spark, rows):
+    """One exchange makes the slots, one on either side of the join brings the rows: adaptive execution may split a hot key."""
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        plan = oof.oof_stats(rows, "user_id", k=5)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("Exchange hashpartitioning") == 2
+        for k in (5, 12):
+            plan = oof.oof_stats(rows, "user_id", k=k)._jdf.queryExecution().executedPlan().toString()
+            assert plan.count("Exchange hashpartitioning") == 3 and plan.count("Exchange hashpartitioning(user_id") == 3
+            assert sum("Exchange" in line and "__salt" in line for line in plan.splitlines()) == 2
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_hot_and_null_keys(spark):
+    """Nine tenths of the rows on one key, and rows without a key."""
+    key = F.when(F.col("id") % 20 == 0, None).when(F.col("id") % 10 > 0, 7).otherwise(F.col("id"))
+    df = spark.range(4000).select("id", key.alias("user_id"), (F.col("id") % 5 + 1).cast("int").alias("rating"), (F.col("id") % 3).alias("fold"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = {r.id: r for r in oof.oof_stats(df, "user_id", k=3).collect()}
+        joined = oof.split_join(df, df.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")), "user_id")
+        sizes = [r.n for r in joined.groupBy(F.spark_partition_id()).agg(F.count_if(F.col("user_id").isNull()).alias("n")).collect()]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+    hot = [i for i in range(4000) if i % 10 > 0]
+    for i in (1, 2, 33):
+        others = [j % 5 + 1 for j in hot if j % 3 != i % 3]
+        assert got[i].oof_count == len(others) and abs(got[i].oof_mean - sum(others) / len(others)) < 1e-9
+    assert got[20].oof_count == 0 and got[20].oof_mean is None and got[10].oof_count == 0 and len(got) == 4000
+    assert sum(sizes) == 200 and max(sizes) < 80  # four partitions share the rows without a key
+
+
 def test_folds_are_stable_and_stratified(spark):
     ids = spark.range(5000).withColumn("label", (F.col("id") % 10 == 0).cast("int"))
     counts = {r.f: r["count"] for r in ids.groupBy(fold(F.col("id")).alias("f")).count().collect()}

@@ -26,9 +26,9 @@ def test_text_stats_of_empty_and_marks(spark):
 
 
 def test_flags_numbers_lists(spark):
-    rows = spark.createDataFrame([("True", "1.5", "['a', 'bcd']"), ("4", "abc", "not a list"), (None, None, None), ("yes", "", "[]")], "f string, n string, l string")
+    rows = spark.createDataFrame([("True", "1.5", "['a', 'bcd']"), ("4", "abc", "not a list"), (None, None, None), ("yes", "", "[]"), ("1", "1", """["it's", 'a "b"', 'c\\'d', ]"""), ("1", "1", "['open"), ("1", "1", '["a", null]')], "f string, n string, l string")
     got = rows.select(scalar.flag(F.col("f")).alias("f"), scalar.number(F.col("n")).alias("n"), *[x.alias(c) for c, x in scalar.list_features(F.col("l")).items()]).collect()
-    assert [(r.f, r.n, r.n_items, r.total_len) for r in got] == [(1, 1.5, 2, 4), (0, 0.0, 0, 0), (0, 0.0, 0, 0), (1, 0.0, 0, 0)]
+    assert [(r.f, r.n, r.n_items, r.total_len) for r in got] == [(1, 1.5, 2, 4), (0, 0.0, 0, 0), (0, 0.0, 0, 0), (1, 0.0, 0, 0), (1, 1.0, 3, 12), (1, 1.0, 0, 0), (1, 1.0, 2, 1)]
 
 
 def test_csv_rejects_and_quarantine(spark, tmp_path):
@@ -151,6 +151,35 @@ def test_materialize_reuses_finished_tables(spark, tmp_path):
     assert io.materialize(spark.range(9), path, reuse=False).count() == 9
 
 
+def test_quantiles_equal_numpy(spark):
+    rng = np.random.default_rng(2)
+    x = np.r_[rng.normal(size=300).round(2), np.zeros(200)]
+    rows = spark.createDataFrame([(float(v), None if i % 7 else float(i)) for i, v in enumerate(x)], "a double, b double").repartition(5)
+    got = one(stats.quantiles(rows, {"m": ("a", 0.5), "p": ("a", 0.99), "lo": ("a", 0.0), "hi": ("a", 1.0), "b": ("b", 0.3)}))
+    some = [float(i) for i in range(500) if i % 7 == 0]
+    assert np.allclose([got.m, got.p, got.lo, got.hi, got.b], [*np.quantile(x, [0.5, 0.99, 0, 1]), np.quantile(some, 0.3)])
+    assert one(stats.quantiles(rows.limit(0), {"m": ("a", 0.5)})).m is None
+    near = stats.median_fill(rows.withColumn("a", F.when(F.col("b").isNull(), F.col("a"))), ["a"], fit_on=rows, exact=False).where("b IS NOT NULL").first().a
+    assert (x < near).mean() <= 0.51 and (x <= near).mean() >= 0.49
+
+
+def test_dense_ranks(spark):
+    rows = spark.createDataFrame([("a", 3.0), ("a", 1.0), ("a", 3.0), ("a", None), (None, 2.0), (None, 1.0), ("b", 9.0)], "g string, v double").repartition(4)
+    got = sorted(((r.g, r.v, r.rank) for r in stats.dense_ranks(rows, "g", "v", "rank").collect()), key=str)
+    assert got == sorted([("a", 3.0, 2), ("a", 1.0, 1), ("a", 3.0, 2), ("a", None, 3), (None, 2.0, 2), (None, 1.0, 1), ("b", 9.0, 1)], key=str)
+
+
+def test_grid_equals_single_blends(spark, monkeypatch):
+    monkeypatch.setattr(en, "GRID_CELLS", 30)
+    rng = np.random.default_rng(5)
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in rng.uniform(0, 6, (100, 4))] + [(None, 1.0, 1.0, 1.0)], "a double, b double, c double, y double")
+    points = en.simplex(["a", "b", "c"], 4)
+    got = {r.idx: r.rmse for r in en.score_blends(rows, points).collect()}
+    known = rows.where("a IS NOT NULL")
+    want = known.agg(*[en.rmse(en.blend(w), F.col("y")).alias(str(i)) for i, w in enumerate(points)]).first()
+    assert np.allclose([got[i] for i in range(len(points))], list(want))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, user_id long, rating int, votes double, purchased boolean, price double, fold long")
     assert stats.user_stats(empty).count() == 0
