@@ -110,7 +110,7 @@ def band_keys(sets: list[np.ndarray], bands: int) -> np.ndarray:
 
 
 def profiles(docs: DataFrame, words: int, bands: int) -> DataFrame:
-    """doc_id, text_hash, n_shingles, class (the set's digest, null if it is empty), bands (once for each set of a step)."""
+    """doc_id, text_hash, n_shingles, class (the set's digest, null if it is empty), node (its first half), bands (once for each set of a step)."""
 
     def run(batches):
         for batch in steps(batches, STEP):
@@ -125,12 +125,12 @@ def profiles(docs: DataFrame, words: int, bands: int) -> DataFrame:
             values = band_keys([sets[i] for i in new], bands).ravel() if new else np.zeros(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(has) * bands].astype(np.int32)), pa.array(values))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(keys, pa.binary()), pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
-                names=["doc_id", "text_hash", "n_shingles", "class", "bands"],
+                [batch.column("doc_id"), batch.column("text_hash"), pa.array(n), pa.array(keys, pa.binary()), pa.array([None if k is None else int.from_bytes(k[:8], "little", signed=True) for k in keys], pa.int64()), pc.if_else(pa.array(has), lists, pa.scalar(None, lists.type))],
+                names=["doc_id", "text_hash", "n_shingles", "class", "node", "bands"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, class binary, bands array<long>")
+    return docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text").mapInArrow(run, f"doc_id {kind}, text_hash long, n_shingles long, class binary, node long, bands array<long>")
 
 
 def _digests(sets: list[np.ndarray]) -> list[bytes]:
@@ -310,20 +310,22 @@ def jaccard_components(docs: DataFrame, words: int = 5, percent: int = 80) -> Da
     bands = bands_for(percent)
     profile = saved(profiles(docs, words, bands), "profiles")
     grouped = profile.where("class IS NOT NULL").groupBy("class")
-    classes = grouped.agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands"))
+    classes = grouped.agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count(F.lit(1)).alias("copies"), F.max("n_shingles").alias("n"), F.first("bands", ignorenulls=True).alias("bands"), F.first("node").alias("node"))
     classes = saved(classes, "classes")
 
-    keyed = classes.select("class", F.explode("bands").alias("band"))
-    leaders = _salted(keyed.groupBy("band").agg(F.min("class").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "leader"), "band")
-    edges = _salted(keyed, "band").join(leaders, ["band", "salt"]).select(F.col("class").alias("src"), F.col("leader").alias("dst"))
-    members = components(edges).withColumnRenamed("node", "class").join(classes.select("class", "first", "n"), "class").withColumnRenamed("component", "g1")
+    # Routing goes by the digests' first halves: if two were equal, their clusters would be compared as one.
+    keyed = classes.select("node", F.explode("bands").alias("band"))
+    leaders = _salted(keyed.groupBy("band").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("size")).where("size > 1").select("band", "leader"), "band")
+    edges = _salted(keyed, "band").join(leaders, ["band", "salt"]).select(F.col("node").alias("src"), F.col("leader").alias("dst"))
+    members = components(edges).join(classes.select("class", "node", "first", "n"), "node").drop("node").withColumnRenamed("component", "g1")
     weights = members.groupBy("g1").agg(F.ceil(F.sum(F.col("n") + DOCUMENT) / BLOCK_SHINGLES).cast("int").alias("blocks"), F.count(F.lit(1)).alias("size"))
     members = saved(_salted(members, "g1").join(_salted(weights, "g1"), ["g1", "salt"]).drop("salt"), "members")
     own = F.pmod(F.xxhash64("class"), "blocks").cast("int")
     pivot = (F.col("blocks") > 1) & (F.pmod(F.xxhash64("class", F.lit(1)), "size") < PIVOTS)
     texts = docs.where("doc_id IS NOT NULL").select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("first"), "text")
     placed = members.withColumn("g2", F.explode(F.when(pivot, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(own))))
-    rows = placed.join(texts, "first").select("g1", "g2", F.lit(0).alias("g3"), "class", F.col("class").alias("label"), "text")
+    # By shuffle at any size: a plan that broadcasts members while they are few would change as they grow.
+    rows = placed.hint("merge").join(texts, "first").select("g1", "g2", F.lit(0).alias("g3"), "class", F.col("class").alias("label"), "text")
     links = saved(_linked(rows, words, percent), "links")
 
     split = members.where("blocks > 1")
