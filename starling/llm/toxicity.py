@@ -1,8 +1,9 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (with marks for its ends) and itself, hashed into
-buckets; each bucket has an embedding. A document is the mean over its words (each counted
-once for SPAN words of text at most) of the mean of their bags, and a linear softmax over it gives the probability. Embeddings and softmax are
+buckets; each bucket has an embedding. A document is the mean over its words, each as often as it
+occurs, and over EMPTY_WORDS empty ones besides, of the mean of their bags, and a linear softmax
+over it gives the probability. Embeddings and softmax are
 trained together by Adam on a bounded sample of whole labelled documents (SAMPLE, and samples.SAMPLE_BYTES).
 As the model is linear in the words, a trained word is one number; scoring a document is the
 same mean of its words' numbers over its whole text, however long. A run without white space
@@ -33,11 +34,9 @@ EPOCHS, RATE, GAIN, SEED = 5, 0.3, 100.0, 7
 #: A small sample is gone through more often, for so many steps at least.
 LEAST_STEPS, BATCH = 1000, 64
 #: Added to Adam's denominator: buckets with small gradients (rare n-grams) move little.
-DAMPING = 1e-3
+DAMPING = 4e-3
 #: Empty words that every document's mean includes, so that a few words alone decide nothing.
-EMPTY_WORDS = 50.0
-#: A word counts once for so many words of text at most, so that repetition alone decides nothing.
-SPAN = 400
+EMPTY_WORDS = 100.0
 #: Longer runs without white space are read as parts; a part begins as often as words do in spaced text.
 LONGEST, PART = 48, 12
 PART_HOP = PART - max(GRAMS) + 1
@@ -124,7 +123,6 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     rows = []
     for end, n in zip(ends, per_doc, strict=True):
         own, count = np.unique(index[end - n : end], return_counts=True)
-        count = np.minimum(count, -(-n // SPAN))
         b = bucket[ragged(first[own], size[own])]
         w = np.repeat(count / (size[own] * (count.sum() + EMPTY_WORDS)), size[own])
         b, at = np.unique(b, return_inverse=True)
@@ -188,7 +186,6 @@ class Scorer:
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
         pairs, count = np.unique(owner * max(len(distinct), 1) + words.indices.to_numpy(), return_counts=True)
         owner, word = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
-        count = np.minimum(count, -(-per_doc // SPAN)[owner])
         mean, size, weight = np.zeros(len(per_doc)), np.bincount(owner, minlength=len(per_doc)), np.bincount(owner, count, len(per_doc))
         if (some := size > 0).any():
             # Added up in the order of the words' texts, so that a text's score doesn't depend on its neighbours.
