@@ -24,7 +24,8 @@ def rmse(p: Column, y: Column) -> Column:
     return F.sqrt(F.avg(F.pow(p - y, 2)))
 
 
-def _clip(x: Column) -> Column:
+def clip_rating(x: Column) -> Column:
+    """Into the range of ratings, 1 to 5."""
     return F.greatest(F.lit(1.0), F.least(F.lit(5.0), x))
 
 
@@ -77,7 +78,7 @@ def coverage(long: DataFrame, expected: DataFrame, least: int = 3) -> DataFrame:
 def blend(weights: dict[str, float], clip: bool = True) -> Column:
     """The weighted sum of model columns."""
     total = sum((F.col(m) * w for m, w in weights.items()), start=F.lit(0.0))
-    return _clip(total) if clip else total
+    return clip_rating(total) if clip else total
 
 
 def geometric(weights: dict[str, float]) -> Column:
@@ -116,6 +117,19 @@ def score_blends(rows: DataFrame, blends: Sequence[dict[str, float]], y: str = "
     return grid.join(sums, "idx").select("idx", *[f"w_{m}" for m in models], "rmse")
 
 
+#: Named weights of the base models "user", "year" and "month".
+PRESETS = {
+    "equal": {"user": 1 / 3, "year": 1 / 3, "month": 1 / 3},
+    "user_led": {"user": 0.6, "year": 0.2, "month": 0.2},
+    "calm": {"user": 0.15, "year": 0.15, "month": 0.7},
+}
+
+
+def mean_blend(models: Sequence[str]) -> Column:
+    """The plain mean of model columns."""
+    return sum((F.col(m) for m in models[1:]), start=F.col(models[0])) / float(len(models))
+
+
 def pair_grid(a: str, b: str, points: int = 101) -> list[dict[str, float]]:
     return [{a: i / (points - 1), b: 1 - i / (points - 1)} for i in range(points)]
 
@@ -143,7 +157,7 @@ def expand_variance(rows: DataFrame, pred: str, mean: Column | None = None, std:
     to_mean = mean if mean is not None else F.col("__tm" if target else "__m")
     to_std = std if std is not None else F.col("__ts" if target else "__s")
     value = F.when(F.col("__s") > 1e-12, (F.col(pred) - F.col("__m")) * (to_std / F.when(F.col("__s") > 1e-12, F.col("__s"))) + to_mean).otherwise(to_mean)
-    out = rows.crossJoin(F.broadcast(stats)).withColumn("expanded", _clip(value) if clip else value)  # one row
+    out = rows.crossJoin(F.broadcast(stats)).withColumn("expanded", clip_rating(value) if clip else value)  # one row
     return out.drop("__m", "__s", "__tm", "__ts")
 
 

@@ -1,4 +1,4 @@
-"""Out-of-fold linear models from per-fold Gram matrices, and elastic net by Spark ML."""
+"""Out-of-fold linear models (ridge, elastic net) from per-fold Gram matrices."""
 
 from __future__ import annotations
 
@@ -6,8 +6,6 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, functions as F
 
 
@@ -53,47 +51,91 @@ def _linear(w: np.ndarray, features: Sequence[str]) -> Column:
     return sum((F.col(c).cast("double") * float(x) for c, x in zip(features, w[1:], strict=True)), start=F.lit(float(w[0])))
 
 
+def soft(x: float, by: float) -> float:
+    return np.sign(x) * max(abs(x) - by, 0.0)
+
+
+def solve_elastic_net(gram: np.ndarray, alpha: float, l1_ratio: float, rounds: int = 10_000, tolerance: float = 1e-12) -> np.ndarray:
+    """(intercept, weights) of least squares / 2n + alpha * (l1_ratio * |w| + (1 - l1_ratio) / 2 * w²), by coordinate descent on the sums of products."""
+    n = max(gram[0, 0], 1)
+    means = gram[0, 1:] / n
+    centred = gram[1:, 1:] / n - np.outer(means, means) * (gram[0, 0] / n)
+    xx, xy = centred[:-1, :-1], centred[:-1, -1]
+    w = np.zeros(len(xx))
+    for _ in range(rounds):
+        before = w.copy()
+        for j in range(len(w)):
+            scale = xx[j, j] + alpha * (1 - l1_ratio)
+            w[j] = soft(xy[j] - xx[j] @ w + xx[j, j] * w[j], alpha * l1_ratio) / scale if scale > 1e-300 else 0.0
+        if np.abs(w - before).max(initial=0.0) <= tolerance * max(1.0, np.abs(w).max(initial=0.0)):
+            break
+    return np.r_[means[-1] - means[:-1] @ w, w]
+
+
+def _clipped(x: Column) -> Column:
+    return F.greatest(F.lit(1.0), F.least(F.lit(5.0), x))
+
+
+def linear_oof(rows: DataFrame, features: Sequence[str], weights: Sequence[np.ndarray], name: str = "pred") -> DataFrame:
+    """rows with each fold predicted by the weights fitted without it, clipped to 1 to 5."""
+    value = F.lit(None).cast("double")
+    for f, w in enumerate(weights):
+        value = F.when(F.col("fold") == f, _linear(w, features)).otherwise(value)
+    return rows.withColumn(name, _clipped(value))
+
+
+def linear_scoring(rows: DataFrame, features: Sequence[str], weights: Sequence[np.ndarray], name: str = "pred") -> DataFrame:
+    """rows of the scoring set with the mean of the fold models' clipped predictions."""
+    each = [_clipped(_linear(w, features)) for w in weights]
+    return rows.withColumn(name, sum(each[1:], start=each[0]) / len(weights))
+
+
+def ridge_weights(grams: np.ndarray, alpha: float = 1.0) -> list[np.ndarray]:
+    """The ridge of all other folds, for each fold."""
+    return [solve(without(grams, f), alpha) for f in range(len(grams))]
+
+
+def elastic_net_weights(grams: np.ndarray, alpha: float, l1_ratio: float) -> list[np.ndarray]:
+    return [solve_elastic_net(without(grams, f), alpha, l1_ratio) for f in range(len(grams))]
+
+
 def ridge_oof(rows: DataFrame, features: Sequence[str], alpha: float = 1.0, target: str = "rating", k: int = 5, grams: np.ndarray | None = None) -> DataFrame:
     """rows with ``pred``: each fold predicted by the ridge of the others, clipped to 1 to 5."""
-    grams = fold_grams(rows, features, target, k) if grams is None else grams
-    value = F.lit(None).cast("double")
-    for f in range(k):
-        value = F.when(F.col("fold") == f, _linear(solve(without(grams, f), alpha), features)).otherwise(value)
-    return rows.withColumn("pred", F.greatest(F.lit(1.0), F.least(F.lit(5.0), value)))
+    return linear_oof(rows, features, ridge_weights(fold_grams(rows, features, target, k) if grams is None else grams, alpha))
 
 
 def ridge_scoring(train_grams: np.ndarray, rows: DataFrame, features: Sequence[str], alpha: float = 1.0) -> DataFrame:
     """rows of the scoring set with ``pred``: the mean of the fold models' clipped predictions."""
-    k = len(train_grams)
-    each = [F.greatest(F.lit(1.0), F.least(F.lit(5.0), _linear(solve(without(train_grams, f), alpha), features))) for f in range(k)]
-    return rows.withColumn("pred", sum(each[1:], start=each[0]) / k)
+    return linear_scoring(rows, features, ridge_weights(train_grams, alpha))
+
+
+def _error(grams: np.ndarray, fit, subset: Sequence[int] | None = None) -> float:
+    """RMSE out of fold, before clipping, of the weights that fit gives for the other folds' sums."""
+    width = grams.shape[1]
+    cells = [0, *[i + 1 for i in (range(width - 2) if subset is None else subset)], width - 1]
+    error = 0.0
+    for f in range(len(grams)):
+        w = np.r_[fit(without(grams, f, subset)), -1.0]
+        error += w @ grams[f][np.ix_(cells, cells)] @ w
+    return float(np.sqrt(max(error, 0.0) / grams[:, 0, 0].sum()))
 
 
 def ridge_grid(grams: np.ndarray, features: Sequence[str], alphas: Sequence[float], subsets: dict[str, Sequence[str]] | None = None) -> list[tuple[str, float, float]]:
     """(subset, alpha, RMSE out of fold before clipping) for feature subsets and penalties, from the same matrices: no further pass."""
-    out = []
-    for name, some in (subsets or {"all": features}).items():
-        at = [list(features).index(c) for c in some]
-        cells = [0, *[i + 1 for i in at], len(features) + 1]
-        for alpha in alphas:
-            error = 0.0
-            for f in range(len(grams)):
-                w = np.r_[solve(without(grams, f, at), alpha), -1.0]
-                error += w @ grams[f][np.ix_(cells, cells)] @ w
-            out.append((name, float(alpha), float(np.sqrt(error / grams[:, 0, 0].sum()))))
-    return out
+    at = {name: [list(features).index(c) for c in some] for name, some in (subsets or {"all": features}).items()}
+    return [(name, float(alpha), _error(grams, lambda g: solve(g, alpha), some)) for name, some in at.items() for alpha in alphas]
+
+
+def elastic_net_grid(grams: np.ndarray, alphas: Sequence[float], ratios: Sequence[float]) -> list[tuple[float, float, float]]:
+    """(alpha, l1 ratio, RMSE out of fold before clipping), from the same matrices: no further pass."""
+    return [(float(alpha), float(ratio), _error(grams, lambda g: solve_elastic_net(g, alpha, ratio))) for alpha in alphas for ratio in ratios]
 
 
 def mean_coefficients(grams: np.ndarray, alpha: float) -> np.ndarray:
+    """(intercept, weights), averaged over the folds' models."""
     return np.mean([solve(without(grams, f), alpha) for f in range(len(grams))], axis=0)
 
 
-def elastic_net_oof(rows: DataFrame, features: Sequence[str], alpha: float, l1_ratio: float, target: str = "rating", k: int = 5) -> DataFrame:
-    """rows with ``pred`` from elastic nets fitted on the other folds."""
-    data = VectorAssembler(inputCols=list(features), outputCol="__x", handleInvalid="keep").transform(rows.withColumn("__y", F.col(target).cast("double"))).persist()
-    parts = None
-    for f in range(k):
-        model = LinearRegression(featuresCol="__x", labelCol="__y", predictionCol="pred", regParam=alpha, elasticNetParam=l1_ratio).fit(data.where(F.col("fold") != f))
-        part = model.transform(data.where(F.col("fold") == f))
-        parts = part if parts is None else parts.unionByName(part)
-    return parts.withColumn("pred", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("pred")))).drop("__x", "__y")
+def elastic_net_oof(rows: DataFrame, features: Sequence[str], alpha: float, l1_ratio: float, target: str = "rating", k: int = 5, grams: np.ndarray | None = None) -> DataFrame:
+    """rows with ``pred`` from elastic nets fitted on the other folds, clipped to 1 to 5."""
+    return linear_oof(rows, features, elastic_net_weights(fold_grams(rows, features, target, k) if grams is None else grams, alpha, l1_ratio))

@@ -10,8 +10,9 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
-from starling.operators.ensemble import auc
+from starling.operators.ensemble import auc, clip_rating
 from starling.operators.stats import sample_rows
+from starling.sources.io import materialize, scratch
 
 
 def _with_vector(rows: DataFrame, features: Sequence[str], out: str = "__x") -> DataFrame:
@@ -19,6 +20,11 @@ def _with_vector(rows: DataFrame, features: Sequence[str], out: str = "__x") ->
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(filled)
 
 
+def _kept(df: DataFrame) -> DataFrame:
+    """Written to the shared folder, as each fold's fit reads it several times."""
+    return materialize(df, scratch(df.sparkSession, "fit"))
+
+
 def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
@@ -26,30 +32,36 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def gbt_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, rounds: int = 10, depth: int = 4, fit_rows: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """(rows with pred out of fold, importances averaged over folds).
+def gbt_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, rounds: int = 10, depth: int = 4, fit_rows: int | None = None, seed: int = 42, scoring: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with pred out of fold, importances averaged over folds, rows of ``scoring`` with the mean of the fold models' clipped predictions).
 
     Rounds stop early on a tenth of the training folds' rows, never on the predicted fold;
     ``fit_rows`` bounds the rows that each model is fitted on (all are predicted).
     """
-    data = _with_vector(rows, features).withColumns({"__y": F.col(target).cast("double"), "__v": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) == 0}).persist()
-    parts, weights = [], None
+    data = _with_vector(rows, features).withColumns({"__y": F.col(target).cast("double"), "__v": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) == 0})
+    data, parts, weights = _kept(data), [], None
+    test = _with_vector(scoring, features) if scoring is not None else None
     for f in range(k):
         fit = data.where(F.col("fold") != f)
         if fit_rows:
             fit = sample_rows(fit, "id", fit_rows, seed)
         model = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="pred", maxIter=rounds, maxDepth=depth, stepSize=0.1, validationIndicatorCol="__v", seed=seed).fit(fit)
         parts.append(model.transform(data.where(F.col("fold") == f)))
+        if test is not None:
+            test = model.setPredictionCol(f"__p{f}").transform(test)
         own = model.featureImportances.toArray()
         weights = own if weights is None else weights + own
-    out = _union(parts).withColumn("pred", F.greatest(F.lit(1.0), F.least(F.lit(5.0), F.col("pred")))).drop("__x", "__y", "__v")
+    out = _union(parts).withColumn("pred", clip_rating(F.col("pred"))).drop("__x", "__y", "__v")
+    if test is not None:
+        each = [clip_rating(F.col(f"__p{f}")) for f in range(k)]
+        test = test.withColumn("pred", sum(each[1:], start=each[0]) / k).drop("__x", *[f"__p{f}" for f in range(k)])
     importance = rows.sparkSession.createDataFrame([(c, float(w) / k) for c, w in zip(features, weights, strict=True)], "feature string, importance double")
-    return out, importance
+    return out, importance, test
 
 
 def ordinal_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, classes: int = 5) -> DataFrame:
     """rows with pred = 1 plus the probabilities of exceeding each threshold, from classes - 1 logistic models a fold."""
-    data = _with_vector(rows, features).persist()
+    data = _kept(_with_vector(rows, features))
     parts = []
     for f in range(k):
         fit, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
@@ -62,11 +74,30 @@ def ordinal_oof(rows: DataFrame, features: Sequence[str], target: str = "rating"
     return _union(parts)
 
 
+def text_oof(rows: DataFrame, vector: str, label: str, k: int = 5, penalty: float = 0.01, rounds: int = 20) -> DataFrame:
+    """rows with score = the probability of class 1 by logistic regressions on a sparse text vector, fitted on the other folds."""
+    data, parts = _kept(rows.withColumn("__y", F.col(label).cast("double"))), []
+    for f in range(k):
+        model = LogisticRegression(featuresCol=vector, labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", maxIter=rounds, regParam=penalty).fit(data.where(F.col("fold") != f))
+        parts.append(model.transform(data.where(F.col("fold") == f)))
+    return _union(parts).withColumn("score", vector_to_array("__p")[1]).drop("__y", "__p", "__r", "__q")
+
+
+def shift_report(train: DataFrame, test: DataFrame, features: Sequence[str], importance: DataFrame) -> DataFrame:
+    """feature, importance for telling train from test, and its mean and deviation in both, from one aggregate each."""
+
+    def moments(df: DataFrame, side: str) -> DataFrame:
+        row = df.agg(*[f(F.col(c).cast("double")).alias(f"{c}__{n}") for c in features for n, f in (("mean", F.avg), ("std", F.stddev_pop))])
+        return row.select(F.inline(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(f"{c}__mean").alias(f"{side}_mean"), F.col(f"{c}__std").alias(f"{side}_std")) for c in features])))
+
+    return importance.join(moments(train, "train"), "feature").join(moments(test, "test"), "feature")
+
+
 def adversarial(train: DataFrame, test: DataFrame, features: Sequence[str], n: int = 10_000, k: int = 3, rounds: int = 5, alarm: float = 0.6, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(one row with the out-of-fold AUC of telling train from test and whether it alarms, importances)."""
     both = sample_rows(train, "id", n, seed).select("id", *features).withColumn("is_test", F.lit(0)).unionByName(sample_rows(test, "id", n, seed).select("id", *features).withColumn("is_test", F.lit(1)))
-    data = _with_vector(both, features).withColumns({"fold": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)), "__y": F.col("is_test").cast("double")}).persist()
-    parts, weights = [], None
+    data = _with_vector(both, features).withColumns({"fold": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)), "__y": F.col("is_test").cast("double")})
+    data, parts, weights = _kept(data), [], None
     for f in range(k):
         model = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=3, seed=seed).fit(data.where(F.col("fold") != f))
         parts.append(model.transform(data.where(F.col("fold") == f)).select("id", "is_test", vector_to_array("probability")[1].alias("score")))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.functions.scalar import rounded as Q
-from starling.operators import assemble, ensemble as en, linear, oof, trees
-from starling.operators.tfidf import spread
+from starling.operators import assemble, ensemble as en, linear, oof, stacking as st, tfidf, trees
 from starling.plans.leakfree import folded, split
 from starling.plans.registry import query
+from starling.sources import io
 from starling.sources.views import fold, is_scoring, table
 
 # Base "models" of the evaluation queries: out-of-fold encodings of users, of (user, year) and of months.
@@ -186,7 +186,10 @@ def ridge_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(spark.createDataFrame(grid, "subset string, alpha double, rmse double"))
 
 
-@query()
+@query("""WITH t AS (SELECT *, CAST(purchased AS INT) AS b FROM folded), s AS (SELECT c.fold, count(*) AS n, avg(r.price) AS mp, avg(r.b) AS mb, avg(r.rating) AS my, var_pop(r.price) * count(*) AS pp, var_pop(r.b) * count(*) AS bb, covar_pop(r.price, r.b) * count(*) AS pb,
+  covar_pop(r.price, r.rating) * count(*) AS py, covar_pop(r.b, r.rating) * count(*) AS byy FROM (SELECT DISTINCT fold FROM t) c JOIN t r ON r.fold <> c.fold AND NOT r.scoring GROUP BY c.fold),
+  w AS (SELECT fold, mp, mb, my, ((bb + 1) * py - pb * byy) / ((pp + 1) * (bb + 1) - pb * pb) AS wp, ((pp + 1) * byy - pb * py) / ((pp + 1) * (bb + 1) - pb * pb) AS wb FROM s)
+  SELECT id, round(avg(greatest(1, least(5, my + wp * (price - mp) + wb * (b - mb)))), 6) AS pred FROM t, w WHERE scoring GROUP BY id""")
 def ridge_test_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split(spark, sf_dir)
     features = ["price", "purchased"]
@@ -194,10 +197,32 @@ def ridge_test_side(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(linear.ridge_scoring(linear.fold_grams(number(train), features), number(test), features).select("id", "pred"))
 
 
+@query("""WITH g AS (SELECT c.fold, regr_slope(r.rating, r.price) AS a, regr_intercept(r.rating, r.price) AS b FROM (SELECT DISTINCT fold FROM folded) c JOIN folded r ON r.fold <> c.fold GROUP BY c.fold) SELECT 'intercept' AS feature, round(avg(b), 6) AS coefficient FROM g UNION ALL SELECT 'price', round(avg(a * 1000), 6) + 0.0 FROM g""")
+def mean_coefficients(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fold models' mean coefficients; one feature (in thousands) and no penalty, so that SQL's regression functions are the oracle."""
+    rows = folded(spark, sf_dir).withColumn("price", F.col("price") / 1000)
+    found = linear.mean_coefficients(linear.fold_grams(rows, ["price"]), 0.0)
+    return Q(spark.createDataFrame([("intercept", float(found[0])), ("price", float(found[1]))], "feature string, coefficient double"))
+
+
+@query("""WITH s AS (SELECT c.fold, avg(r.price) AS mp, avg(r.rating) AS my, var_pop(r.price) AS v, covar_pop(r.price, r.rating) AS c FROM (SELECT DISTINCT fold FROM folded) c JOIN folded r ON r.fold <> c.fold GROUP BY c.fold),
+  w AS (SELECT fold, mp, my, sign(c) * greatest(abs(c) - 5.0, 0) / (v + 5.0) AS w FROM s) SELECT id, round(greatest(1, least(5, my + w * (price - mp))), 6) AS pred FROM folded JOIN w USING (fold)""")
+def elasticnet_one(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One feature, whose elastic net has a closed form."""
+    return Q(linear.elastic_net_oof(folded(spark, sf_dir), ["price"], 10.0, 0.5).select("id", "pred"))
+
+
+@query()
+def elasticnet_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Penalties and mixes by cross-validation, from one pass."""
+    grams = linear.fold_grams(base_models(spark, sf_dir), _MODELS)
+    return Q(spark.createDataFrame(linear.elastic_net_grid(grams, [0.001, 0.01, 0.1, 1.0], [0.1, 0.5, 0.9]), "alpha double, l1_ratio double, rmse double"))
+
+
 @query()
 def embedding_regression(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ridge on dense vectors: the label from all 64 dimensions, out of fold, for several penalties in one pass."""
-    rows = spread(table(spark, sf_dir, "embeddings").withColumn("fold", fold(F.col("vec_id"))), "embedding", 64)
+    rows = tfidf.spread(table(spark, sf_dir, "embeddings").withColumn("fold", fold(F.col("vec_id"))), "embedding", 64)
     features = [f"dim_{i}" for i in range(64)]
     grid = linear.ridge_grid(linear.fold_grams(rows, features, target="label"), features, [0.1, 1.0, 10.0])
     return Q(spark.createDataFrame(grid, "subset string, alpha double, rmse double"))
@@ -215,7 +240,30 @@ def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(trees.gbt_oof(base_models(spark, sf_dir), ["price", *_MODELS], rounds=3, depth=3, fit_rows=20_000)[1])
+    return Q(trees.gbt_oof(base_models(spark, sf_dir), ["price", *_MODELS], rounds=3, depth=3)[1])
+
+
+@query()
+def gbt_sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fold's model is fitted on 20,000 rows, a stated bound; all rows are predicted."""
+    return Q(trees.gbt_oof(base_models(spark, sf_dir), ["price", *_MODELS], rounds=3, depth=3, fit_rows=20_000)[0].select("id", "fold", "pred"))
+
+
+@query()
+def gbt_test_side(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The scoring side of boosted trees: the mean of the fold models' clipped predictions."""
+    train, test = both_sides(spark, sf_dir)
+    return Q(trees.gbt_oof(train, _MODELS, rounds=3, depth=3, scoring=test)[2].select("id", "pred"))
+
+
+@query()
+def text_model_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logistic regressions on hashed TF-IDF (saved and loaded again), out of fold, for the labelled documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    pipeline = tfidf.save_pipeline(tfidf.hashed_pipeline("text", 12_000).fit(docs), io.scratch(spark, "pipeline"))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    rows = pipeline.transform(docs.join(labels, "doc_id")).select("doc_id", "quality", fold(F.col("doc_id")).alias("fold"), "features")
+    return Q(trees.text_oof(rows, "features", "quality").select("doc_id", "fold", "quality", "score"))
 
 
 @query()
@@ -223,11 +271,21 @@ def ordinal_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(trees.ordinal_oof(base_models(spark, sf_dir), ["price", *_MODELS], k=5).select("id", "fold", "pred"))
 
 
+def _shape(df: DataFrame) -> DataFrame:
+    return df.select("id", "price", F.month("ts").alias("month"), F.col("purchased").cast("int").alias("purchased"))
+
+
 @query()
 def adversarial_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     train, test = split(spark, sf_dir)
-    shape = lambda df: df.select("id", "price", F.month("ts").alias("month"), F.col("purchased").cast("int").alias("purchased"))
-    return Q(trees.adversarial(shape(train), shape(test), ["price", "month", "purchased"])[0])
+    return Q(trees.adversarial(_shape(train), _shape(test), ["price", "month", "purchased"])[0])
+
+
+@query()
+def shift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What tells the scoring set from the training set, with both sides' moments."""
+    (train, test), features = map(_shape, split(spark, sf_dir)), ["price", "month", "purchased"]
+    return Q(trees.shift_report(train, test, features, trees.adversarial(train, test, features)[1]))
 
 
 @query()
@@ -240,15 +298,56 @@ def leak_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(out.withColumn("impact", F.col("rmse_full") - F.col("rmse_safe")))
 
 
+def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(training rows with out-of-fold base predictions, scoring rows with those of all training rows)."""
+    train, test = (df.withColumns({"yr": F.year("ts"), "mo": F.month("ts")}) for df in split(spark, sf_dir))
+    keys = {"m_user": "user_id", "m_year": ["user_id", "yr"], "m_month": "mo"}
+    scored = test
+    for name, key in keys.items():
+        scored = oof.target_encode_scoring(scored, train, key, smoothing=1.0, name=name)
+    return oof.safe_target_encode(train.withColumn("y", F.col("rating").cast("double")), keys, smoothing=1.0), scored
+
+
 @query()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meta-learners over the base models' out-of-fold predictions; the best by RMSE, with its expanded predictions' spread."""
-    base = base_models(spark, sf_dir)
-    ridge = linear.ridge_oof(base, _MODELS, alpha=1.0).select("id", "fold", "y", F.col("pred").alias("ridge"))
-    gbt = trees.gbt_oof(base, _MODELS, rounds=3, depth=3)[0].select("id", F.col("pred").alias("gbt"))
-    net = linear.elastic_net_oof(base, _MODELS, 0.01, 0.5).select("id", F.col("pred").alias("elastic_net"))
-    both = ridge.join(gbt, "id").join(net, "id").withColumn("ridge_gbt", en.blend({"ridge": 0.5, "gbt": 0.5}))
-    names = ["ridge", "gbt", "elastic_net", "ridge_gbt"]
-    scores = en.profile(en.long_form(both, names))
-    best = scores.agg(F.min_by("model", F.struct("rmse", "model")).alias("best"))
-    return Q(scores.crossJoin(F.broadcast(best)).withColumn("is_best", F.col("model") == F.col("best")).drop("best"))
+    """Meta-learners over the base models' out-of-fold predictions; the best by RMSE, with its predictions' spread."""
+    train, test = both_sides(spark, sf_dir)
+    return Q(st.stack(train, test, _MODELS, rounds=3).scores)
+
+
+@query()
+def stack_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best stack's prediction file for the scoring set: expanded, clipped, written, its ids checked, and read back."""
+    train, test = both_sides(spark, sf_dir)
+    return st.submission(st.stack(train, test, _MODELS, rounds=3), test, io.scratch(spark, "submission"))
+
+
+@query("WITH " + _BASE + " SELECT id, round((m_user + m_year + m_month) / 3, 6) AS pred FROM base")
+def mean_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q(base_models(spark, sf_dir).select("id", en.mean_blend(_MODELS).alias("pred")))
+
+
+def _preset_sql() -> str:
+    each = [f"SELECT '{name}' AS preset, greatest(1, least(5, {' + '.join(f'{w!r} * m_{m}' for m, w in weights.items())})) AS pred, y FROM base" for name, weights in en.PRESETS.items()]
+    return f", p AS ({' UNION ALL '.join(each)}) SELECT preset, round(avg(pred), 6) AS mean, round(stddev_pop(pred), 6) AS std, round(min(pred), 6) AS min, round(max(pred), 6) AS max, round(sqrt(avg(pow(pred - y, 2))), 6) AS rmse FROM p GROUP BY preset"
+
+
+@query("WITH " + _BASE + _preset_sql())
+def preset_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blends = {name: en.blend({f"m_{m}": w for m, w in weights.items()}) for name, weights in en.PRESETS.items()}
+    rows = base_models(spark, sf_dir).select("id", "y", *[b.alias(name) for name, b in blends.items()])
+    return Q(en.profile(en.long_form(rows, list(blends))).withColumnRenamed("model", "preset"))
+
+
+@query("WITH " + _BASE + ", p AS (SELECT i / 4.0 AS share, round(greatest(1, least(5, i / 4.0 * m_user + (1 - i / 4.0) * m_year)), 6) AS pred FROM base, range(5) r(i)) SELECT round(share, 6) AS share, round(avg(pred), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY share")
+def blend_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A ladder of blends, each written as a prediction file of its own, and what the files hold."""
+    base = io.materialize(base_models(spark, sf_dir).select("id", "m_user", "m_year"), io.scratch(spark, "ladder"))
+    out = None
+    for i in range(5):
+        path = io.scratch(spark, f"blend-{i * 25}")
+        io.write_predictions(base.select("id", en.blend({"m_user": i / 4, "m_year": 1 - i / 4}).alias("rating")), path)
+        read = io.cast_columns(io.read_text_csv(spark, path, ["id", "rating"]), {"rating": "double"})
+        own = read.agg(F.lit(i / 4).alias("share"), F.round(F.avg("rating"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
+        out = own if out is None else out.unionByName(own)
+    return Q(out)
