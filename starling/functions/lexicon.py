@@ -1,9 +1,15 @@
-"""Lexicon features: hits, valence, polarity. Lexicons are tables; the small ones here are examples for English."""
+"""Lexicon features: hits, valence, polarity.
+
+Lexicons are tables (word, valence, polarity, subjectivity), read from a path or learned from
+labelled texts; the small one here is an example for English.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from starling.operators.joins import split_join
+
 #: Own example words with valence (-4 to 4), polarity (-1 to 1) and subjectivity (0 to 1).
 WORDS = {
     "good": (1.9, 0.7, 0.6), "great": (3.1, 0.8, 0.75), "best": (3.2, 1.0, 0.3), "nice": (1.8, 0.6, 1.0), "love": (3.2, 0.5, 0.6), "happy": (2.7, 0.8, 1.0),
@@ -16,6 +22,30 @@ def lexicon(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(w, *v) for w, v in WORDS.items()], "word string, valence double, polarity double, subjectivity double")
 
 
+def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
+    """A lexicon from Parquet, or from a CSV file with a header."""
+    rows = spark.read.option("header", True).csv(path) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
+    return rows.select(F.lower("word").alias("word"), *[F.col(c).cast("double").alias(c) for c in ("valence", "polarity", "subjectivity")]).dropDuplicates(["word"])
+
+
+def learned_lexicon(docs: DataFrame, labels: DataFrame, label: str, key: str = "doc_id", text: str = "text", least: int = 3) -> DataFrame:
+    """A lexicon from labelled texts: words of at least so many of them, scored by how their share of the texts of class 1 compares with that of class 0."""
+    marked = labels.groupBy(key).agg(F.max(label).alias("y"))
+    pairs = docs.join(marked, key).select("y", F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    totals = marked.join(docs.select(key), key).agg(F.sum("y").alias("t1"), F.sum(1 - F.col("y")).alias("t0"))
+    counts = pairs.where("word <> ''").groupBy("word").agg(F.sum("y").alias("n1"), F.sum(1 - F.col("y")).alias("n0")).where(F.col("n1") + F.col("n0") >= least)
+    a, b = F.col("n1") / F.nullif(F.col("t1"), F.lit(0)), F.col("n0") / F.nullif(F.col("t0"), F.lit(0))
+    scored = counts.crossJoin(F.broadcast(totals)).select("word", ((a - b) / (a + b)).alias("polarity")).where("polarity <> 0")  # totals: one row
+    return scored.select("word", (F.col("polarity") * 4).alias("valence"), "polarity", F.abs("polarity").alias("subjectivity"))
+
+
+def table_hits(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
+    """key, pos_hits, neg_hits: distinct tokens of positive and of negative valence, for lexicons of any size."""
+    pairs = docs.select(key, F.explode(F.array_distinct(tokens(F.coalesce(F.col(text), F.lit(""))))).alias("word"))
+    sums = split_join(pairs, words.select("word", "valence"), "word", "inner").groupBy(key).agg(F.count_if(F.col("valence") > 0).alias("pos_hits"), F.count_if(F.col("valence") < 0).alias("neg_hits"))
+    return split_join(docs.select(key), sums, key).fillna(0, ["pos_hits", "neg_hits"])
+
+
 def tokens(text: Column) -> Column:
     return F.split(F.lower(F.trim(F.regexp_replace(text, r"\s+", " "))), " ")
 
@@ -26,8 +56,8 @@ def hits(text: Column, words: list[str]) -> Column:
 
 
 def scored_tokens(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:
-    """key and the lexicon's columns for each token that it has; the lexicon is a small table."""
-    return docs.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit(""))))).toDF(key, "word").join(F.broadcast(words), "word")
+    """key and the lexicon's columns for each token that it has; Spark broadcasts a small lexicon, else a common word is split."""
+    return split_join(docs.select(key, F.explode(tokens(F.coalesce(F.col(text), F.lit(""))))).toDF(key, "word"), words, "word", "inner")
 
 
 def valence(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFrame:

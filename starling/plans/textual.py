@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from starling.functions import lexicon as lx, vectors as vec
 from starling.functions.scalar import rounded as Q
 from starling.operators import graph, tfidf
-from starling.operators.joins import chain_lookup
 from starling.plans.registry import query
 from starling.sources import io
 from starling.sources.views import order_reviews, reviews, table
@@ -23,22 +22,43 @@ def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", lx.hits(F.col("text"), _POS).alias("pos_hits"), lx.hits(F.col("text"), _NEG).alias("neg_hits"))
 
 
-def _valence_sql(source: str, key: str) -> str:
-    return f"""{lx.sql_lexicon()}, tok AS (SELECT {key}, unnest({_TOK.format('text')}) AS word FROM {source}), size AS (SELECT {key}, len({_TOK.format('text')}) AS size FROM {source}),
+_LEARNED = f"""marked AS (SELECT doc_id, max(quality) AS y FROM labels GROUP BY doc_id), seen AS (SELECT y, unnest(list_distinct({_TOK.format('text')})) AS word FROM documents JOIN marked USING (doc_id)),
+  total AS (SELECT sum(y) AS t1, sum(1 - y) AS t0 FROM documents JOIN marked USING (doc_id)), counted AS (SELECT word, sum(y) AS n1, sum(1 - y) AS n0 FROM seen WHERE word <> '' GROUP BY word HAVING count(*) >= 3),
+  lexicon AS (SELECT word, 4 * p AS valence, p AS polarity, abs(p) AS subjectivity FROM (SELECT word, (n1 / t1 - n0 / t0) / (n1 / t1 + n0 / t0) AS p FROM counted, total) WHERE p <> 0)"""
+
+
+def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A lexicon of thousands of words, from the quality labels."""
+    return lx.learned_lexicon(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), "quality")
+
+
+@query("WITH " + _LEARNED + " SELECT word, round(valence, 6) + 0.0 AS valence, round(subjectivity, 6) AS subjectivity FROM lexicon")
+def learned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q(_learned(spark, sf_dir).drop("polarity"))
+
+
+@query("WITH " + _LEARNED + f""", tok AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS word FROM documents), h AS (SELECT doc_id, sum(CASE WHEN valence > 0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 ELSE 0 END) AS n FROM tok JOIN lexicon USING (word) GROUP BY 1)
+  SELECT doc_id, CAST(coalesce(p, 0) AS BIGINT) AS pos_hits, CAST(coalesce(n, 0) AS BIGINT) AS neg_hits FROM documents LEFT JOIN h USING (doc_id)""")
+def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lx.table_hits(table(spark, sf_dir, "documents"), "doc_id", "text", io.materialize(_learned(spark, sf_dir), io.scratch(spark, "lexicon")))
+
+
+def _valence_sql(source: str, key: str, lexicon: str = lx.sql_lexicon()) -> str:
+    return f"""{lexicon}, tok AS (SELECT {key}, unnest({_TOK.format('text')}) AS word FROM {source}), size AS (SELECT {key}, len({_TOK.format('text')}) AS size FROM {source}),
   h AS (SELECT {key}, sum(valence) AS s, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN valence - 1 ELSE 0 END) AS n, count(*) AS c FROM tok JOIN lexicon USING (word) GROUP BY {key}),
   v AS (SELECT {key}, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(n, 0) AS n, size - coalesce(c, 0) AS neutral FROM size LEFT JOIN h USING ({key})),
   val AS (SELECT {key}, p / (p - n + neutral) AS pos, -n / (p - n + neutral) AS neg, neutral / (p - n + neutral) AS neu, s / sqrt(s * s + 15) AS compound FROM v)"""
 
 
-@query("WITH " + _valence_sql("documents", "doc_id") + " SELECT doc_id, round(pos, 6) AS pos, round(neg, 6) + 0.0 AS neg, round(neu, 6) AS neu, round(compound, 6) + 0.0 AS compound FROM val")
+@query("WITH " + _valence_sql("documents", "doc_id", _LEARNED) + " SELECT doc_id, round(pos, 6) AS pos, round(neg, 6) + 0.0 AS neg, round(neu, 6) AS neu, round(compound, 6) + 0.0 AS compound FROM val")
 def valence_sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(lx.valence(table(spark, sf_dir, "documents"), "doc_id", "text", lx.lexicon(spark)))
+    return Q(lx.valence(table(spark, sf_dir, "documents"), "doc_id", "text", _learned(spark, sf_dir)))
 
 
-@query(f"""WITH {lx.sql_lexicon()}, tok AS (SELECT doc_id, unnest({_TOK.format('text')}) AS word FROM documents), m AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM tok JOIN lexicon USING (word) GROUP BY 1)
+@query(f"""WITH {_LEARNED}, tok AS (SELECT doc_id, unnest({_TOK.format('text')}) AS word FROM documents), m AS (SELECT doc_id, avg(polarity) AS p, avg(subjectivity) AS s FROM tok JOIN lexicon USING (word) GROUP BY 1)
   SELECT doc_id, round(coalesce(p, 0), 6) + 0.0 AS polarity, round(coalesce(s, 0), 6) AS subjectivity FROM documents LEFT JOIN m USING (doc_id)""")
 def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(lx.polarity(table(spark, sf_dir, "documents"), "doc_id", "text", lx.lexicon(spark)))
+    return Q(lx.polarity(table(spark, sf_dir, "documents"), "doc_id", "text", _learned(spark, sf_dir)))
 
 
 @query("WITH turns AS (SELECT CAST(conv_id AS VARCHAR) || '/' || CAST(turn AS VARCHAR) AS k, conv_id, turn, role, text FROM conversations), " + _valence_sql("turns", "k") + """
@@ -112,9 +132,9 @@ def _weights(counts: DataFrame, size: int) -> DataFrame:
     return tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", size), "doc_id")
 
 
-@query("WITH " + _TF.format(terms=_WORDS) + _WEIGH.format(size=5000))
+@query("WITH " + _TF.format(terms="regexp_extract_all(lower(strip_accents(text)), '([a-z0-9][a-z0-9]+)', 1)") + _WEIGH.format(size=5000))
 def tfidf_word(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(_weights(tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"), 5000))
+    return Q(_weights(tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text", tfidf.plain_words), 5000))
 
 
 @query("WITH ws AS (SELECT doc_id, " + _WORDS + " AS w FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM ws) GROUP BY ALL)" + _WEIGH.format(size=2000))
@@ -130,6 +150,17 @@ def tfidf_char_wb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", 1000, worded), "doc_id"))
 
 
+@query("WITH ws AS (SELECT doc_id, unnest(" + _WORDS + ") AS w FROM documents), wc AS (SELECT doc_id, ' ' || w || ' ' AS w, count(*) AS c FROM ws GROUP BY ALL), g AS (SELECT doc_id, c, unnest(list_transform(range(1, greatest(length(w) - n + 2, 1)), lambda i: substr(w, i, n))) AS term FROM wc, range(3, 6) r(n)), tf AS (SELECT doc_id, term, CAST(sum(c) AS BIGINT) AS tf FROM g GROUP BY ALL), weighed AS (SELECT * FROM ("
+    + "WITH x AS (SELECT 1)" + _WEIGH.format(size=30_000).replace("round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6)", "w / sqrt(sum(w * w) OVER (PARTITION BY doc_id))") + ")) SELECT doc_id, CAST(count(*) AS BIGINT) AS nnz, round(sum(weight), 3) AS total FROM weighed GROUP BY doc_id")
+def tfidf_char_30k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """30,000 character grams: entries and total weight of each document's vector."""
+    docs = table(spark, sf_dir, "documents")
+    counts = _once(tfidf.char_counts(docs, "doc_id", "text", top=30_000))
+    worded = docs.where(F.size(tfidf.words(F.coalesce("text", F.lit("")))) > 0)
+    weights = tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", 30_000, worded), "doc_id")
+    return weights.groupBy("doc_id").agg(F.count(F.lit(1)).alias("nnz"), F.round(F.sum("weight"), 3).alias("total"))
+
+
 @query("WITH " + _TF.format(terms=_WORDS) + """, n AS (SELECT count(DISTINCT doc_id) AS n_docs FROM tf) SELECT term, CAST(sum(tf) AS BIGINT) AS cf, CAST(count(*) AS BIGINT) AS df, round(ln((1 + any_value(n_docs)) / (1.0 + count(*))) + 1, 6) AS idf FROM tf, n GROUP BY term ORDER BY sum(tf) DESC, term LIMIT 500""")
 def tfidf_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fitted vocabulary through its saved table."""
@@ -159,12 +190,17 @@ def tfidf_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.inline(entries))
 
 
+def _sparse(spark: SparkSession, docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
+    """(vocabulary, sparse rows) of a text column, written."""
+    counts = _once(tfidf.term_counts(docs, key, text))
+    vocab = io.materialize(tfidf.vocabulary(counts, key, size), io.scratch(spark, "vocabulary"))
+    return vocab, io.materialize(tfidf.indexed(tfidf.weigh(counts, vocab, key), vocab, key), io.scratch(spark, "sparse-rows"))
+
+
 @query()
 def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text embeddings: TF-IDF of 1,000 terms and its first 16 components, with the benchmark's texts projected alongside."""
-    counts = _once(tfidf.term_counts(table(spark, sf_dir, "documents"), "doc_id", "text"))
-    vocab = io.materialize(tfidf.vocabulary(counts, "doc_id", 1000), io.scratch(spark, "vocabulary"))
-    rows = io.materialize(tfidf.indexed(tfidf.weigh(counts, vocab, "doc_id"), vocab, "doc_id"), io.scratch(spark, "sparse-rows"))
+    vocab, rows = _sparse(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 1000)
     v, values = tfidf.truncated_svd(rows, 1000, 16)
     items = tfidf.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text")
     fresh = tfidf.indexed(tfidf.weigh(items, vocab, "item_id"), vocab, "item_id").withColumnRenamed("item_id", "doc_id")
@@ -172,6 +208,24 @@ def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.spread(both.withColumn("explained", F.lit(round(tfidf.explained_share(rows, values), 6))), "embedding", 16)
 
 
+@query()
+def svd_512(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """512 components of 5,000 terms: each one's singular value and the share explained up to it."""
+    _, rows = _sparse(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 5000)
+    _, values = tfidf.truncated_svd(rows, 5000, 512, passes=1)
+    total = tfidf.explained_share(rows, values)
+    upto = (values**2).cumsum() / max((values**2).sum(), 1e-300) * total
+    return Q(spark.createDataFrame([(i, float(s), float(x)) for i, (s, x) in enumerate(zip(values, upto, strict=True))], "component int, singular double, explained double"), 4)
+
+
+@query()
+def svd_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same embedding of product names."""
+    _, rows = _sparse(spark, table(spark, sf_dir, "part"), "p_partkey", "p_name", 500)
+    v, _ = tfidf.truncated_svd(rows, 500, 8)
+    return Q(tfidf.spread(tfidf.project(rows, v, "p_partkey"), "embedding", 8), 4)
+
+
 # ---- graph
 
 _EDGES = """pairs AS (SELECT user_id, prod_id, CAST(count(*) AS DOUBLE) AS w FROM reviews GROUP BY ALL), edges AS (SELECT 'u' || user_id AS src, 'i' || prod_id AS dst, w FROM pairs UNION ALL SELECT 'i' || prod_id, 'u' || user_id, w FROM pairs)"""
@@ -207,29 +261,45 @@ def propagate_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(out.select("node", *[F.col("e")[k].alias(f"e{k}") for k in range(4)]))
 
 
+@query("WITH " + _NORM + _layers(64, 3) + f" SELECT node, round(sqrt({' + '.join(f'e{k} * e{k}' for k in range(64))}), 6) AS norm, round(e0, 6) + 0.0 AS e0, round(e63, 6) + 0.0 AS e63 FROM final")
+def propagate_64(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three layers of 64 dimensions, exported and read back: norms, first and last dimension."""
+    edges = graph.normalized(graph.bipartite_edges(reviews(spark, sf_dir)))
+    out = io.materialize(graph.propagate(edges, graph.hashed_vectors(edges, 64), 64), io.scratch(spark, "node-vectors"))
+    return Q(out.select("node", vec.norm(F.col("e")).alias("norm"), F.col("e")[0].alias("e0"), F.col("e")[63].alias("e63")))
+
+
 @query("WITH " + _EDGES + ", d AS (SELECT src, count(*) AS d FROM edges GROUP BY src) SELECT CAST(count(*) AS BIGINT) AS n_nodes, CAST(sum(d) AS BIGINT) AS n_edges, round(avg(d), 6) AS mean_degree, CAST(max(d) AS BIGINT) AS max_degree FROM d")
 def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(graph.degree_stats(graph.bipartite_edges(reviews(spark, sf_dir))))
 
 
-@query("WITH " + _NORM + _layers(2, 1) + """, t AS (SELECT 'u' || user_id AS u, 'i' || prod_id AS i, 'i' || (prod_id + 7) AS j FROM pairs), s AS (SELECT a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)
+@query("WITH " + _NORM + _layers(2, 1) + """, items AS (SELECT prod_id, row_number() OVER (ORDER BY prod_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prod_id FROM reviews)),
+  t AS (SELECT 'u' || user_id AS u, 'i' || p.prod_id AS i, 'i' || x.prod_id AS j FROM pairs p JOIN items x ON x.r = ('0x' || substr(md5('42/' || user_id || '/' || p.prod_id), 1, 8))::BIGINT % x.n), s AS (SELECT a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)
   SELECT round(avg(ln(1 + exp(-gap))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM s""")
 def bpr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reviews(spark, sf_dir)
     edges = graph.normalized(graph.bipartite_edges(rows))
     vectors = graph.propagate(edges, graph.hashed_vectors(edges, 2), 2, layers=1)
     name = lambda side, key: F.concat(F.lit(side), key.cast("string"))
-    triples = rows.select("user_id", "prod_id").distinct().select(name("u", F.col("user_id")).alias("user"), name("i", F.col("prod_id")).alias("pos"), name("i", F.col("prod_id") + 7).alias("neg"))
+    pairs = graph.with_negatives(rows.select("user_id", "prod_id").distinct(), rows, "user_id", "prod_id")
+    triples = pairs.select(name("u", F.col("user_id")).alias("user"), name("i", F.col("prod_id")).alias("pos"), name("i", F.col("neg")).alias("neg"))
     return Q(graph.bpr_loss(triples, vectors))
 
 
-@query("""WITH u AS (SELECT user_id, avg(rating) AS um, count(*) AS un FROM reviews GROUP BY 1), p AS (SELECT prod_id, avg(rating) AS pm, count(*) AS pn FROM reviews GROUP BY 1), c AS (SELECT main_category, avg(rating) AS cm FROM reviews GROUP BY 1)
-  SELECT DISTINCT user_id, prod_id, round(um, 6) AS um, CAST(un AS BIGINT) AS un, round(pm, 6) AS pm, CAST(pn AS BIGINT) AS pn, round(cm, 6) AS cm, round((um + pm) / 2, 6) AS mean_avg, round(um - pm, 6) + 0.0 AS mean_diff FROM reviews JOIN u USING (user_id) JOIN p USING (prod_id) JOIN c USING (main_category)""")
+@query("""WITH u AS (SELECT user_id, avg(rating) AS m, count(*) AS n, coalesce(stddev_samp(rating), 0) AS s FROM reviews GROUP BY 1), p AS (SELECT prod_id, avg(rating) AS m, count(*) AS n, coalesce(stddev_samp(rating), 0) AS s FROM reviews GROUP BY 1),
+  c AS (SELECT main_category, avg(rating) AS m, count(*) AS n FROM reviews GROUP BY 1), d AS (SELECT user_id, avg(rating - p.m) AS d FROM reviews JOIN p USING (prod_id) GROUP BY 1)
+  SELECT DISTINCT user_id, prod_id, main_category, round(u.m, 6) AS user_mean, CAST(u.n AS BIGINT) AS user_count, round(u.s, 6) AS user_std, round(d, 6) + 0.0 AS user_deviation, round(p.m, 6) AS item_mean, CAST(p.n AS BIGINT) AS item_count, round(p.s, 6) AS item_std,
+  round(c.m, 6) AS category_mean, CAST(c.n AS BIGINT) AS category_count, round(u.m - p.m, 6) + 0.0 AS mean_difference, round((u.m + p.m) / 2, 6) AS mean_of_both FROM reviews JOIN u USING (user_id) JOIN d USING (user_id) JOIN p USING (prod_id) JOIN c USING (main_category)""")
 def graph_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reviews(spark, sf_dir)
-    mean = lambda key, m, n=None: rows.groupBy(key).agg(F.avg("rating").alias(m), *([F.count(F.lit(1)).alias(n)] if n else []))
-    out = chain_lookup(rows.select("user_id", "prod_id", "main_category").distinct(), (mean("user_id", "um", "un"), "user_id"), (mean("prod_id", "pm", "pn"), "prod_id"), (mean("main_category", "cm"), "main_category"))
-    return Q(out.drop("main_category").withColumns({"mean_avg": (F.col("um") + F.col("pm")) / 2, "mean_diff": F.col("um") - F.col("pm")}).distinct())
+    return Q(graph.stat_features(reviews(spark, sf_dir)))
+
+
+@query()
+def svd_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Warm starts from the singular vectors of the interactions: each node's norm, and the variance explained."""
+    vectors, share = graph.svd_start(reviews(spark, sf_dir))
+    return Q(vectors.select("node", vec.norm(F.col("e")).alias("norm"), F.lit(share).alias("explained")), 4)
 
 
 @query()

@@ -4,8 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from starling.functions import scalar, vectors
-from starling.operators import assemble, ensemble as en, graph, joins, linear, stats, tfidf
+from starling.functions import lexicon as lx, scalar, vectors
+from starling.operators import assemble, ensemble as en, graph, joins, linear, stacking, stats, tfidf
 from starling.sources import io
 
 
@@ -130,6 +130,73 @@ def test_ridge_equals_normal_equations(spark):
     assert abs(grid[0][2] - np.sqrt(np.mean([(got[i] - y[i]) ** 2 for i in range(300)]))) < 1e-6
 
 
+def test_elastic_net_equals_plain_gradient_descent(spark):
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 4)) @ np.array([[1, 0.5, 0, 0], [0, 1, 0, 0], [0, 0, 1, 0.2], [0, 0, 0, 1]])
+    y = 3 + x @ [0.5, 0.0, -0.4, 0.01] + rng.normal(0, 0.1, 200)
+    rows = spark.createDataFrame([(i, i % 5, *map(float, r), float(v)) for i, (r, v) in enumerate(zip(x, y))], "id long, fold long, a double, b double, c double, d double, rating double")
+    grams = linear.fold_grams(rows, ["a", "b", "c", "d"])
+    got = linear.solve_elastic_net(linear.without(grams, 0), 0.1, 0.5)
+    fit = np.arange(200) % 5 != 0
+    xc, yc, w = x[fit] - x[fit].mean(axis=0), y[fit] - y[fit].mean(), np.zeros(4)
+    for _ in range(20_000):  # proximal steps
+        w = w - 0.1 * (-(xc.T @ (yc - xc @ w)) / fit.sum() + 0.05 * w)
+        w = np.sign(w) * np.maximum(np.abs(w) - 0.1 * 0.05, 0)
+    assert np.allclose(got[1:], w, atol=1e-6) and got[4] == 0.0 and abs(got[0] - (y[fit].mean() - x[fit].mean(axis=0) @ w)) < 1e-6
+    grid = linear.elastic_net_grid(grams, [0.1], [0.5])
+    oof = linear.elastic_net_oof(rows, ["a", "b", "c", "d"], 0.1, 0.5).agg(F.sqrt(F.avg(F.pow(F.col("pred") - F.col("rating"), 2))).alias("r")).first().r
+    assert abs(grid[0][2] - oof) < 1e-6
+
+
+def test_scoring_sides_and_submission(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    values = [(i, i % 5, *map(float, rng.uniform(1, 5, 2))) for i in range(600)]
+    train = spark.createDataFrame([(*v, min(5.0, max(1.0, 0.7 * v[2] + 0.3 * v[3]))) for v in values], "id long, fold long, a double, b double, y double")
+    test = spark.createDataFrame([(1000 + i, *map(float, rng.uniform(1, 5, 2))) for i in range(50)], "id long, a double, b double")
+    result = stacking.stack(train, test, ["a", "b"], rounds=3)
+    assert result.test.columns == ["id", "ridge", "elastic_net", "gbt", "ridge_gbt"] and result.test.count() == 50 and result.train.count() == 600
+    for r in result.test.join(test, "id").collect():
+        assert abs(r.ridge - (0.7 * r.a + 0.3 * r.b)) < 0.05 and all(1 <= r[c] <= 5 for c in result.test.columns[1:])
+    assert [round(c, 1) for _, c in result.coefficients] == [0.0, 0.7, 0.3] and one(result.scores.where("is_best")).model == result.best
+    out = {r.id: r.rating for r in stacking.submission(result, test, f"file://{tmp_path}/out").collect()}
+    assert out.keys() == {1000 + i for i in range(50)} and all(1 <= v <= 5 for v in out.values())
+    with pytest.raises(ValueError):
+        stacking.submission(result, test.union(test.limit(1).withColumn("id", F.lit(7).cast("long"))), f"file://{tmp_path}/more")
+
+
+def test_lexicons_of_thousands_of_words(spark, tmp_path):
+    words = [(f"w{i}", (i % 9) - 4.0, ((i % 9) - 4) / 4, 0.5) for i in range(5000)]
+    spark.createDataFrame(words, "word string, valence double, polarity double, subjectivity double").write.parquet(f"file://{tmp_path}/lexicon")
+    lexicon = lx.read_lexicon(spark, f"file://{tmp_path}/lexicon")
+    docs = spark.createDataFrame([(1, "W8 w0 w4 other w8"), (2, None), (3, "nothing here")], "d long, t string")
+    assert {r.d: (r.pos_hits, r.neg_hits) for r in lx.table_hits(docs, "d", "t", lexicon).collect()} == {1: (1, 1), 2: (0, 0), 3: (0, 0)}
+    got = {r.d: r for r in lx.valence(docs, "d", "t", lexicon).collect()}
+    assert abs(got[1].compound - 4 / (16 + 15) ** 0.5) < 1e-12 and got[2].compound == 0.0 and got[3].neu == 1.0
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, y int")
+    texts = spark.createDataFrame([(i, "good all" if i % 2 else "bad all all") for i in range(8)], "doc_id long, text string")
+    learned = {r.word: r.valence for r in lx.learned_lexicon(texts, labels, "y").collect()}
+    assert learned == {"good": 4.0, "bad": -4.0}
+
+
+def test_accents(spark):
+    rows = spark.createDataFrame([("Crème brûlée ÑANDÚ Ångström ß øre e\u0301t\u0065\u0301",)], "t string")
+    assert one(rows.select(tfidf.plain_words(F.col("t")).alias("w"))).w == ["creme", "brulee", "nandu", "angstrom", "re", "ete"]
+
+
+def test_svd_start_and_negatives(spark):
+    pairs = [(u, i) for u in range(12) for i in range(9) if (u * 7 + i * 3) % 4 < 2 and u % 3 == i % 3]
+    rows = spark.createDataFrame(pairs, "user_id long, prod_id long")
+    vectors, share = graph.svd_start(rows, dims=3)
+    x = np.zeros((12, 9))
+    for u, i in pairs:
+        x[u, i] = 1
+    assert abs(share - (np.linalg.svd(x)[1][:3] ** 2).sum() / (x**2).sum()) < 1e-6 and vectors.count() == len({u for u, _ in pairs}) + len({i for _, i in pairs})
+    drawn = graph.with_negatives(rows, rows, "user_id", "prod_id").collect()
+    assert len(drawn) == len(pairs) and {r.neg for r in drawn} <= {i for _, i in pairs}
+    with pytest.raises(ValueError):
+        graph.svd_start(rows, most_items=2)
+
+
 def test_auc_with_ties(spark):
     rows = spark.createDataFrame([(0.1, 0), (0.5, 0), (0.5, 1), (0.9, 1)], "s double, l int")
     assert one(en.auc(rows, "s", "l")).auc == 0.875
