@@ -70,6 +70,29 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents"), words=4, percent=85)
 
 
+# Words hold no spaces, so joining them by spaces keeps sets apart; a short text's one shingle has fewer words than any other.
+_ORACLES["op5_jaccard_join"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(ws) = 0 THEN [] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
+    ELSE list_sort(list_distinct(list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')))) END AS sh FROM w
+), c AS (
+  SELECT sh, min(doc_id) AS rep, count(*) AS copies, len(sh) AS n FROM s WHERE len(sh) > 0 GROUP BY sh
+), e AS (
+  SELECT rep, n, unnest(sh) AS g FROM c
+), links AS (
+  SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), r(a, b) AS (
+  SELECT rep, rep FROM c UNION SELECT r.a, l.b FROM r JOIN links l ON r.b = l.a
+), k AS (
+  SELECT a, min(b) AS component FROM r GROUP BY a
+)
+SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, coalesce(k.component, s.doc_id) AS component_id, CAST(coalesce(c.copies, 1) AS BIGINT) AS copies
+FROM s LEFT JOIN c ON s.sh = c.sh LEFT JOIN k ON k.a = c.rep
+"""
+
+
 @_query
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), WORD_TOKENIZER)
