@@ -23,7 +23,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
-from starling.llm.common import batch_of, binaries, ragged, raw, steps
+from starling.llm.common import batch_of, binaries, long_parts, ragged, raw, steps
 
 #: Slices that a worker remembers; a full cache is emptied.
 CACHE_SLICES = 500_000
@@ -284,7 +284,8 @@ def encode(docs: DataFrame, ranks: str) -> DataFrame:
     def run(batches):
         vocabulary = Ranks.of(ranks)
         for batch in steps(batches, STEP):
-            ids, lens = vocabulary.encode(batch.column("text"))
+            found = [vocabulary.encode(texts) for texts in long_parts(batch)]
+            ids, lens = np.concatenate([x for x, _ in found]), found[0][1] if len(found) == 1 else np.array([sum(n.sum() for _, n in found)])
             ends = np.cumsum(vocabulary.lens[ids])
             before = np.r_[0, ends][np.cumsum(lens) - lens]
             ends = (ends - np.repeat(before, lens)).astype(np.uint32)

@@ -93,6 +93,27 @@ def steps(batches: Iterable[pa.RecordBatch], size: int = STEP_BYTES, column: str
             yield batch.slice(int(lo), int(hi - lo))
 
 
+_BETWEEN_WORDS = re.compile(rb"[A-Za-z0-9] (?=[A-Za-z])")
+
+
+def long_parts(batch: pa.RecordBatch, size: int = STEP_BYTES) -> Iterator[pa.Array]:
+    """The texts of a step; one text beyond ``size`` bytes comes in parts of about as many, each an array of one.
+
+    Parts begin with a single space between a letter or digit and a letter (ASCII), which no word
+    and no match of a tokenizer's pattern crosses; a stretch without one stays whole.
+    """
+    data, _ = raw(batch.column("text"))
+    if batch.num_rows > 1 or len(data) <= size:
+        yield filled(batch.column("text"))
+        return
+    text, at = data.tobytes(), 0
+    while at < len(text):
+        found = _BETWEEN_WORDS.search(text, at + size) if len(text) - at > size else None
+        to = found.start() + 1 if found else len(text)
+        yield pa.array([text[at:to].decode()], pa.large_string())
+        at = to
+
+
 def raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of all texts, one after the other, and the n + 1 offsets into them."""
     texts = filled(texts)

@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from starling.llm.common import batch_of, ragged, raw, steps
+from starling.llm.common import batch_of, long_parts, ragged, raw, steps
 
 #: Bounds of the sample: documents of each language, characters of each of them, characters of each automaton.
 DOCS_PER_LANG, CHARS_PER_DOC, SYMBOLS_PER_LANG = 96, 600, 24_000
@@ -124,6 +124,7 @@ class Model:
             self.sizes.append(len(text))
             self.again.append(again)
         self.base, self.owner, self.target = displaced(moves, self.width)
+        self.bits = np.log2(np.maximum(self.sizes, 2))
 
     def _tables(self) -> None:
         """Symbol of every code point: a letter's own or STRANGE, and GAP for what is no letter."""
@@ -157,6 +158,17 @@ class Model:
 
     def entropies(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Normalised phrases (text, language), and whether each text has a letter."""
+        phrases, lens, lettered = self.phrases(data, offsets)
+        return phrases * self.bits / np.maximum(lens, 1)[:, None], lettered
+
+    def step(self, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        """entropies() of the texts of a step; a very long one is parsed in parts, each of which begins a phrase."""
+        found = [self.phrases(*raw(texts)) for texts in long_parts(batch)]
+        phrases, lens, lettered = (sum(x[1:], start=x[0]) for x in zip(*found, strict=True))
+        return phrases * self.bits / np.maximum(lens, 1)[:, None], lettered > 0
+
+    def phrases(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Phrases (text, language), symbols of each text, and whether it has a letter."""
         cp = np.frombuffer(data.tobytes().decode().encode("utf-32-le"), np.uint32)
         at = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][offsets]  # code points before each text
         s = self.symbol[cp]
@@ -180,7 +192,7 @@ class Model:
         grid = np.ascontiguousarray(grid.reshape(-1, STRETCH)[order].T)
         live = n - np.searchsorted(np.sort(size_of), np.arange(STRETCH), side="right")
         out = np.zeros((len(lens), len(self.langs)))
-        for k, (start, size, again) in enumerate(zip(self.starts, self.sizes, self.again, strict=True)):
+        for k, (start, again) in enumerate(zip(self.starts, self.again, strict=True)):
             state, phrases = np.full(n, start, np.int32), np.ones(n, np.int32)
             for column, m in zip(grid, live.tolist(), strict=True):
                 column, now = column[:m], state[:m]
@@ -190,8 +202,8 @@ class Model:
                 phrases[:m] += missed
             back = np.empty_like(phrases)
             back[order] = phrases
-            out[:, k] = np.add.reduceat(back, first) * np.log2(max(size, 2)) / np.maximum(lens, 1)
-        return out, lettered
+            out[:, k] = np.add.reduceat(back, first)
+        return out, lens, lettered
 
 
 def pieces(text: Column) -> Column:
@@ -241,7 +253,7 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
         m = Model.of(shared.value)
         names = np.array([*m.langs, UNKNOWN], object)
         for batch in steps(batches, STEP):
-            entropy, lettered = m.entropies(*raw(batch.column("text")))
+            entropy, lettered = m.step(batch)
             if not m.langs:
                 entropy, lettered = np.ones((len(entropy), 1)), np.zeros(len(entropy), bool)
             best = entropy.argmin(axis=1)

@@ -54,7 +54,7 @@ def pack(docs: DataFrame, tokenizer: str, longest: int = 2048, end_id: int = 1)
 
     def run(batches):
         for batch in steps(batches):
-            ids, lens = WordEncoder.of(tokenizer).encode_closed(batch.column("text"), end_id)
+            ids, lens = WordEncoder.of(tokenizer).encode_step(batch, end_id)
             doc, start, size = pieces_of(lens, longest)
             if len(WordEncoder.of(tokenizer).ends) <= 1 << 16:
                 ids = ids.astype(np.uint16)  # for the way through the shuffle

@@ -64,7 +64,18 @@ class Net:
         return responses, np.maximum(np.maximum.reduceat(responses, first, axis=0), 0)
 
     def __call__(self, data: np.ndarray, first: np.ndarray) -> np.ndarray:
-        z = self.pooled(data, first)[1] @ self.p["out"] + self.p["base"]
+        return self.probability(self.pooled(data, first)[1])
+
+    def step(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Scores of the texts of a step; the chunks of a very long one are pooled range by range."""
+        data, offsets = raw(batch.column("text"))
+        if batch.num_rows > 1 or len(data) <= STEP + HOP:
+            return self(*blocks(data, offsets))
+        top = [self.pooled(*blocks(part, np.array([0, len(part)])))[1] for part in (data[lo : lo + STEP + HOP] for lo in range(0, len(data), STEP))]
+        return self.probability(np.maximum.reduce(top))
+
+    def probability(self, top: np.ndarray) -> np.ndarray:
+        z = top @ self.p["out"] + self.p["base"]
         # Single precision sums differ in the last digits with the number of rows that they are made with.
         return np.round(1 / (1 + np.exp(-np.clip(z.astype(np.float64), -60, 60))), 5)
 
@@ -140,7 +151,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         net = load(shared.value)
         for batch in steps(batches, STEP):
-            yield batch_of(doc_id=batch.column("doc_id"), score=pa.array(net(*blocks(*raw(batch.column("text"))))))
+            yield batch_of(doc_id=batch.column("doc_id"), score=pa.array(net.step(batch)))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 

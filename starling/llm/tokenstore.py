@@ -83,7 +83,7 @@ def write_store(docs: DataFrame, path: str, tokenizer: str, end_id: int = 1) ->
         encoder = WordEncoder.of(tokenizer)
         wide = np.uint16 if len(encoder.ends) <= narrow else np.uint32
         for batch in steps(batches):
-            ids, lens = encoder.encode_closed(batch.column("text"), end_id)
+            ids, lens = encoder.encode_step(batch, end_id)
             sizes, counts = cut_points(ids, lens)
             data, width = ids.astype(wide).tobytes(), np.dtype(wide).itemsize
             ends = np.cumsum(sizes) * width

@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
-from starling.llm.common import batch_of, binaries, filled, mix, ragged, raw, steps
+from starling.llm.common import batch_of, binaries, filled, long_parts, mix, ragged, raw, steps
 from starling.llm.samples import labelled, trained
 
 #: Most documents of class 0 and of class 1 that the model is fitted on.
@@ -175,6 +175,19 @@ class Scorer:
         return cls._KNOWN[hash(model)]
 
     def __call__(self, texts: pa.Array) -> np.ndarray:
+        return self.probability(*self.sums(texts))
+
+    def step(self, batch: pa.RecordBatch) -> np.ndarray:
+        """Scores of the texts of a step, a very long one summed up in parts."""
+        parts = list(long_parts(batch))
+        found = [self.sums(texts if k == 0 else pc.utf8_slice_codeunits(texts, 1)) for k, texts in enumerate(parts)]  # without the space that a part begins with
+        return self.probability(*found[0]) if len(found) == 1 else self.probability(*(sum(x) for x in zip(*found, strict=True)))
+
+    def probability(self, total: np.ndarray, words: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(total / (words + EMPTY_WORDS) + self.bias, -60, 60)))
+
+    def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Sum of the words' numbers and number of words of each text."""
         words, per_doc, whole = split_words(texts)
         distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
@@ -186,13 +199,13 @@ class Scorer:
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
         pairs, count = np.unique(owner * max(len(distinct), 1) + words.indices.to_numpy(), return_counts=True)
         owner, word = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
-        mean, size, weight = np.zeros(len(per_doc)), np.bincount(owner, minlength=len(per_doc)), np.bincount(owner, count, len(per_doc))
+        total, size = np.zeros(len(per_doc)), np.bincount(owner, minlength=len(per_doc))
         if (some := size > 0).any():
             # Added up in the order of the words' texts, so that a text's score doesn't depend on its neighbours.
             rank = np.argsort(np.argsort(np.array(distinct, object)))
             order = np.lexsort((rank[word], owner))
-            mean[some] = np.add.reduceat(value[word[order]] * count[order], (np.cumsum(size) - size)[some]) / (weight[some] + EMPTY_WORDS)
-        return 1 / (1 + np.exp(-np.clip(mean + self.bias, -60, 60)))
+            total[some] = np.add.reduceat(value[word[order]] * count[order], (np.cumsum(size) - size)[some])
+        return total, np.bincount(owner, count, len(per_doc))
 
 
 def train(docs: DataFrame, labels: DataFrame, usable: Column, most: tuple[int, int] = SAMPLE) -> bytes:
@@ -207,7 +220,7 @@ def score(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         scorer = Scorer.of(shared.value)
         for batch in steps(batches):
-            yield batch_of(doc_id=batch.column("doc_id"), score=pa.array(scorer(batch.column("text"))))
+            yield batch_of(doc_id=batch.column("doc_id"), score=pa.array(scorer.step(batch)))
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, score double")
 
@@ -219,7 +232,7 @@ def without_toxic(docs: DataFrame, model: bytes) -> DataFrame:
     def run(batches):
         scorer = Scorer.of(shared.value)
         for batch in steps(batches):
-            yield batch.filter(pa.array(scorer(batch.column("text")) < THRESHOLD))
+            yield batch.filter(pa.array(scorer.step(batch) < THRESHOLD))
 
     return docs.mapInArrow(run, docs.schema)
 

@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from starling.llm.common import ragged, raw
+from starling.llm.common import long_parts, ragged, raw
 
 #: Chunks that a worker remembers; a full cache is emptied.
 CACHE_WORDS = 500_000
@@ -122,6 +122,14 @@ class WordEncoder:
         ends = np.r_[0, np.cumsum(each)][np.cumsum(per_text)]
         return ids, np.diff(np.r_[0, ends])
 
+    def encode_step(self, batch: pa.RecordBatch, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """As encode_closed() for the texts of a step, a very long one in parts."""
+        parts = list(long_parts(batch))
+        if len(parts) == 1:
+            return self.encode_closed(parts[0], end_id)
+        ids = np.concatenate([self.encode(p)[0] for p in parts] + [np.array([end_id], np.uint32)])
+        return ids, np.array([len(ids)], np.int64)
+
     def encode_closed(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """As encode(), with ``end_id`` after each text."""
         ids, lens = self.encode(texts)

@@ -271,3 +271,32 @@ def test_unseen_misspellings_share_grams():
     plain = "kato rimo senu tori mose kari " * 5
     score = model(pa.array([plain, plain + "qidiotzz qidiotq xqidiot"], pa.large_string()))
     assert score[1] > max(0.5, score[0] + 0.1)
+
+
+def test_very_long_texts_are_read_in_parts(monkeypatch):
+    """Scores and ids of a text in parts equal those of the text as a whole."""
+    import public_tokenizers
+
+    from starling.llm import bpe, common
+    from starling.llm.words import WordEncoder
+
+    rows = corpus(200)
+    text = " ".join(r[1] for r in rows) + "\n  <|endoftext|> Ünï code 12 345"
+    batch = pa.RecordBatch.from_pydict({"text": pa.array([text])})
+    ranks = bpe.Ranks.of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    encoder = WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    tox, net = toxicity.Scorer(toxicity.fit([r[1] for r in rows], [r[4] for r in rows])), quality.Net.random()
+    model = langid.Model({"xx": [r[1] for r in rows if r[2] == "xx"][:20], "yy": [r[1] for r in rows if r[2] == "yy"][:20]})
+    whole = (ranks.encode(batch.column("text"))[0], encoder.encode_closed(batch.column("text"), 1)[0], tox(batch.column("text")), net(*quality.blocks(*raw(batch.column("text")))), model.step(batch)[0])
+    assert len(list(common.long_parts(batch))) == 1
+    plain = common.long_parts
+    for module in (bpe, toxicity, langid):
+        monkeypatch.setattr(module, "long_parts", lambda b: plain(b, 5000))
+    monkeypatch.setattr("starling.llm.words.long_parts", lambda b: plain(b, 5000))
+    monkeypatch.setattr(quality, "STEP", 4096)
+    parts = list(plain(batch, 5000))
+    assert len(parts) > 10 and "".join(p[0].as_py() for p in parts) == text and list(plain(pa.RecordBatch.from_pydict({"text": pa.array(["x" * 20_000])}), 5000))[0][0].as_py() == "x" * 20_000
+    assert np.concatenate([ranks.encode(p)[0] for p in parts]).tolist() == whole[0].tolist()
+    assert encoder.encode_step(batch, 1)[0].tolist() == whole[1].tolist()
+    assert abs(tox.step(batch) - whole[2]).max() < 1e-12 and net.step(batch).tolist() == whole[3].tolist()
+    assert np.allclose(model.step(batch)[0], whole[4], rtol=0.02)
