@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, functions as F
 
 from starling.operators.stats import quantiles
+from starling.sources.io import materialize, scratch, write_parquet
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -26,6 +28,20 @@ def apply_scaler(rows: DataFrame, scaler: DataFrame, columns: Sequence[str]) ->
     return out.withColumns(scaled).drop(*[f"{c}__{s}" for c in columns for s in ("med", "mean", "std")])
 
 
+def assemble(train: DataFrame, test: DataFrame, columns: Sequence[str], path: str, key: str = "id", rows_per_file: int = 500_000) -> DataFrame:
+    """key, split, features: both splits filled and scaled by the training rows' statistics, as one vector a row, written in files of bounded length and read back.
+
+    Fails when a split lacks a column or a vector holds a null or NaN.
+    """
+    sides = []
+    scaler = materialize(fit_scaler(require(train, columns), columns), scratch(train.sparkSession, "scaler"))
+    for name, side in (("train", train), ("test", require(test, columns))):
+        sides.append(apply_scaler(side.select(key, *columns), scaler, columns).withColumn("split", F.lit(name)))
+    both = VectorAssembler(inputCols=list(columns), outputCol="features", handleInvalid="error").transform(sides[0].unionByName(sides[1]))
+    write_parquet(both.select(key, "split", "features"), path, partition_by=["split"], rows_per_file=rows_per_file)
+    return train.sparkSession.read.parquet(path).select(key, "split", "features")
+
+
 def null_audit(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, nulls and NaNs, from one aggregate."""
     counts = rows.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in columns])

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 _OWN_FOLDER: dict[str, str] = {}
+_WRITTEN: list[str] = []
 
 
 def scratch(spark: SparkSession, name: str) -> str:
@@ -26,7 +27,19 @@ def scratch(spark: SparkSession, name: str) -> str:
         if context.applicationId not in _OWN_FOLDER:
             _OWN_FOLDER[context.applicationId] = f"file://{tempfile.mkdtemp(prefix='spark-')}"
         root = _OWN_FOLDER[context.applicationId]
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Deletes what was written below scratch paths so far and returns how many there were; DataFrames that read them end with it."""
+    n = len(_WRITTEN)
+    for path in _WRITTEN[:n]:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    del _WRITTEN[:n]
+    return n
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], infer: bool = False) -> DataFrame:

@@ -247,6 +247,19 @@ def test_grid_equals_single_blends(spark, monkeypatch):
     assert np.allclose([got[i] for i in range(len(points))], list(want))
 
 
+def test_assembly_fails_on_missing_columns_and_scratch_is_removed(spark, tmp_path):
+    import os
+
+    rows = spark.createDataFrame([(1, 1.0, None), (2, 3.0, 2.0)], "id long, a double, b double")
+    out = assemble.assemble(rows, rows.limit(1), ["a", "b"], f"file://{tmp_path}/out")
+    assert sorted((r.split, r.id, list(r.features)) for r in out.collect())[1:] == [("train", 1, [-1.0, 0.0]), ("train", 2, [1.0, 0.0])]
+    with pytest.raises(ValueError):
+        assemble.assemble(rows, rows.drop("b"), ["a", "b"], f"file://{tmp_path}/more")
+    path = io.scratch(spark, "gone")
+    rows.write.parquet(path)
+    assert io.remove_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file://"))
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "id long, user_id long, rating int, votes double, purchased boolean, price double, fold long")
     assert stats.user_stats(empty).count() == 0
