@@ -82,13 +82,14 @@ def filled(texts: pa.Array) -> pa.Array:
 
 
 def steps(batches: Iterable[pa.RecordBatch], size: int = STEP_BYTES, column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Cuts batches into runs of rows whose texts together have about ``size`` bytes."""
+    """Cuts batches into runs of rows whose texts together have about ``size`` bytes; a text beyond that stands alone."""
     for batch in batches:
         if not batch.num_rows:
             continue
         lens = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         group = (np.cumsum(lens) - lens) // size
-        edges = np.flatnonzero(np.diff(group)) + 1
+        alone = lens > size
+        edges = np.flatnonzero((group[1:] != group[:-1]) | alone[1:] | alone[:-1]) + 1
         for lo, hi in zip(np.r_[0, edges], np.r_[edges, batch.num_rows], strict=True):
             yield batch.slice(int(lo), int(hi - lo))
 

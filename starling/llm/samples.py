@@ -36,7 +36,9 @@ def trained(sample: DataFrame, fit: Callable[[list[str], list], bytes], label: s
 
     def run(batches):
         rows = sorted((d, t, y) for b in batches for d, t, y in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", label)), strict=True))
-        yield batch_of(model=pa.array([fit([t for _, t, _ in rows], [y for _, _, y in rows])], pa.binary()))
+        model = fit([t for _, t, _ in rows], [y for _, _, y in rows])
+        rows.clear()
+        yield batch_of(model=pa.array([model], pa.binary()))
 
     row = sample.repartition(1).mapInArrow(run, "model binary").first()
     return bytes(row["model"]) if row else fit([], [])

@@ -47,7 +47,7 @@ MOST_SLICES = 8192
 #: Slices of about so many bytes are sorted together.
 TEXT_BYTES = 256 << 10
 #: Bytes of text in one numpy step, and of a longer text in one range.
-STEP, RANGE = 1 << 20, 4 << 20
+STEP, RANGE = 1 << 20, 2 << 20
 
 # Bytes that end a symbol: rare letters, some marks and digits, one byte in 32 beyond ASCII. Any choice gives the same result; symbols of
 # about 20 bytes make short suffix arrays and few windows within one symbol.

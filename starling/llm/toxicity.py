@@ -120,13 +120,10 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     bucket, size = np.concatenate(bags), np.concatenate(sizes)
     first = np.cumsum(size) - size
     index, ends = words.indices.to_numpy(), np.cumsum(per_doc)
-    rows = []
+    rows = []  # of each document: its distinct words and their weights
     for end, n in zip(ends, per_doc, strict=True):
         own, count = np.unique(index[end - n : end], return_counts=True)
-        b = bucket[ragged(first[own], size[own])]
-        w = np.repeat(count / (size[own] * (count.sum() + EMPTY_WORDS)), size[own])
-        b, at = np.unique(b, return_inverse=True)
-        rows.append((b, (np.bincount(at, w, len(b)) * GAIN).astype(np.float32)))
+        rows.append((own.astype(np.int32), (count * (GAIN / (n + EMPTY_WORDS))).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -137,17 +134,18 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
         shuffled = rng.permutation(len(rows))
         for lo in range(0, len(rows), BATCH):
             batch = shuffled[lo : lo + BATCH]
-            lens = np.array([len(rows[i][0]) for i in batch])
-            b, w = np.concatenate([rows[i][0] for i in batch]), np.concatenate([rows[i][1] for i in batch])
-            owner = np.repeat(np.arange(len(batch)), lens)
+            own, share = np.concatenate([rows[i][0] for i in batch]), np.concatenate([rows[i][1] for i in batch])
+            each = size[own]
+            b, w = bucket[ragged(first[own], each)], np.repeat(share / each, each).astype(np.float32)
+            owner = np.repeat(np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch]), each)
             docs = np.stack([np.bincount(owner, emb[b, k] * w, len(batch)) for k in range(DIM)], axis=1).astype(np.float32)
             z = docs @ soft + bias
             p = np.exp(z - z.max(axis=1, keepdims=True))
             p /= p.sum(axis=1, keepdims=True)
             dz = (p - target[batch]) / len(batch)
-            touched, at = np.unique(b, return_inverse=True)
+            touched = np.flatnonzero(np.bincount(b, minlength=BUCKETS))
             ddoc = dz @ soft.T
-            demb = np.stack([np.bincount(at, ddoc[owner, k] * w, len(touched)) for k in range(DIM)], axis=1).astype(np.float32)
+            demb = np.stack([np.bincount(b, ddoc[owner, k] * w, BUCKETS)[touched] for k in range(DIM)], axis=1).astype(np.float32)
             step += 1
             rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
             for x, g, (m, v), at in ((emb, demb, moments[0], touched), (soft, docs.T @ dz, moments[1], slice(None)), (bias, dz.sum(axis=0), moments[2], slice(None))):
