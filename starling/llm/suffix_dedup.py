@@ -328,7 +328,12 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     small = texts.where(F.col("kinds") <= MOST_SLICES).repartition("anchor").sortWithinPartitions("anchor")
     found = saved(sorted_intervals(small).unionByName(counted_intervals(texts.where(F.col("kinds") > MOST_SLICES))), "slice-intervals")
     found = found.withColumnRenamed("lo", "within")
-    return rows.join(found, ["anchor", "content"]).select("rid", "within", "size", F.explode("los").alias("lo")).select("rid", (F.col("lo") + F.col("within")).alias("lo"), "size")
+    # Places (in ascending order) that overlap make one run, so that a text of one repeated letter doesn't give a run for each of its bytes.
+    los, size = F.col("los"), F.col("size")
+    first = F.filter(los, lambda x, i: F.coalesce(x - F.get(los, i - 1) > size, F.lit(True)))
+    last = F.filter(los, lambda x, i: F.coalesce(F.get(los, i + 1) - x > size, F.lit(True)))
+    runs = rows.join(found, ["anchor", "content"]).select("rid", "within", "size", F.explode(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("run"))
+    return runs.select("rid", (F.col("run.a") + F.col("within")).alias("lo"), (F.col("run.b") - F.col("run.a") + F.col("size")).alias("size"))
 
 
 def _merged(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
