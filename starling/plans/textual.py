@@ -242,6 +242,12 @@ def normalized_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(graph.normalized(graph.bipartite_edges(reviews(spark, sf_dir))))
 
 
+def _normal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised edges; both steps are written, as what follows reads them several times."""
+    edges = io.materialize(graph.bipartite_edges(reviews(spark, sf_dir)), io.scratch(spark, "edges"))
+    return io.materialize(graph.normalized(edges), io.scratch(spark, "normalized"))
+
+
 def _start(k: int) -> str:
     return f"('0x' || substr(md5(src || '#{k}'), 1, 6))::BIGINT / 16777216.0 - 0.5 AS e{k}"
 
@@ -256,7 +262,7 @@ def _layers(dims: int, layers: int) -> str:
 
 @query("WITH " + _NORM + _layers(4, 3) + " SELECT node, round(e0, 6) + 0.0 AS e0, round(e1, 6) + 0.0 AS e1, round(e2, 6) + 0.0 AS e2, round(e3, 6) + 0.0 AS e3 FROM final")
 def propagate_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    edges = graph.normalized(graph.bipartite_edges(reviews(spark, sf_dir)))
+    edges = _normal(spark, sf_dir)
     out = graph.propagate(edges, graph.hashed_vectors(edges, 4), 4)
     return Q(out.select("node", *[F.col("e")[k].alias(f"e{k}") for k in range(4)]))
 
@@ -264,7 +270,7 @@ def propagate_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH " + _NORM + _layers(64, 3) + f" SELECT node, round(sqrt({' + '.join(f'e{k} * e{k}' for k in range(64))}), 6) AS norm, round(e0, 6) + 0.0 AS e0, round(e63, 6) + 0.0 AS e63 FROM final")
 def propagate_64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers of 64 dimensions, exported and read back: norms, first and last dimension."""
-    edges = graph.normalized(graph.bipartite_edges(reviews(spark, sf_dir)))
+    edges = _normal(spark, sf_dir)
     out = io.materialize(graph.propagate(edges, graph.hashed_vectors(edges, 64), 64), io.scratch(spark, "node-vectors"))
     return Q(out.select("node", vec.norm(F.col("e")).alias("norm"), F.col("e")[0].alias("e0"), F.col("e")[63].alias("e63")))
 
@@ -278,8 +284,7 @@ def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
   t AS (SELECT 'u' || user_id AS u, 'i' || p.prod_id AS i, 'i' || x.prod_id AS j FROM pairs p JOIN items x ON x.r = ('0x' || substr(md5('42/' || user_id || '/' || p.prod_id), 1, 8))::BIGINT % x.n), s AS (SELECT a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)
   SELECT round(avg(ln(1 + exp(-gap))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM s""")
 def bpr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = reviews(spark, sf_dir)
-    edges = graph.normalized(graph.bipartite_edges(rows))
+    rows, edges = reviews(spark, sf_dir), _normal(spark, sf_dir)
     vectors = graph.propagate(edges, graph.hashed_vectors(edges, 2), 2, layers=1)
     name = lambda side, key: F.concat(F.lit(side), key.cast("string"))
     pairs = graph.with_negatives(rows.select("user_id", "prod_id").distinct(), rows, "user_id", "prod_id")
