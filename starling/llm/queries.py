@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, suffix_dedup, tokenstore, toxicity
+from starling.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, simhash, suffix_dedup, tokenstore, toxicity
 from starling.llm.common import crc_bucket, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -127,6 +127,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _held_out(quality.rated(quality.score(docs, model)), 5, 0).select("doc_id", "held_out", "score", "predicted")
 
 
+@_query
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4).select("doc_id", "fingerprint", "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
