@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from starling.llm import bpe, exact_dedup, jaccard, langid, media, packing, quality, simhash, suffix_dedup, tokenstore, toxicity
+from starling.llm import bpe, exact_dedup, jaccard, langid, media, packing, periodic_runs, quality, simhash, suffix_dedup, tokenstore, toxicity
 from starling.llm.common import crc_bucket, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -132,6 +132,27 @@ def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_components(table(spark, sf_dir, "documents"), words=4, radius=4).select("doc_id", "fingerprint", "component_id")
 
 
+def _with_planted_repeats(docs: DataFrame) -> DataFrame:
+    """Every tenth document, by the crc32 h of its id, repeats p of its words from word a to its end."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.filter(F.split(F.col("text"), r"[\x20\x09-\x0D]+"), lambda w: w != ""))
+    rows = docs.select("doc_id", "text", words.alias("words"), F.floor(h / 10).alias("g")).withColumn("n", F.size("words"))
+    rows = rows.withColumn("a", F.expr("g % n")).withColumn("p", F.expr("1 + (n - a) DIV (3 + g % 8)"))
+    repeated = F.expr("array_join(transform(sequence(0, n - 1), i -> words[CAST(if(i < a, i, a + (i - a) % p) AS INT)]), ' ')")
+    return rows.select("doc_id", F.when(F.col("n") > 0, repeated).otherwise(F.col("text")).alias("text"))
+
+
+@_query
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.periodic_runs(_with_planted_repeats(table(spark, sf_dir, "documents")))
+    best = periodic_runs.strongest(F.col("runs"))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "best.length", "best.period", F.expr("1000 * best.length DIV best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(_QUERIES)
 
