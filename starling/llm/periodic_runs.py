@@ -79,9 +79,12 @@ class SuffixTree:
                         break
                     middle = len(start)
                     child[key] = middle
-                    start += [at, i]
-                    stop += [at + length, n]
-                    link += [0, 0]
+                    start.append(at)
+                    start.append(i)
+                    stop.append(at + length)
+                    stop.append(n)
+                    link.append(0)
+                    link.append(0)
                     child[middle * base + c] = middle + 1
                     start[below] = at + length
                     child[middle * base + text[at + length]] = below
@@ -99,21 +102,28 @@ class SuffixTree:
     def _tour(self, n: int, base: int, start: np.ndarray, stop: np.ndarray, child: dict[int, int]) -> None:
         keys, kids = np.fromiter(child.keys(), np.int64, len(child)), np.fromiter(child.values(), np.int64, len(child))
         order = np.argsort(keys)  # by parent, then first symbol
-        first = np.searchsorted(keys[order] // base, np.arange(len(start) + 1)).tolist()
         kids, longs = kids[order].tolist(), (stop - start).tolist()
-        depth, tour, stack = [0] * len(longs), [], [0]
-        while stack:
-            v = stack.pop()
-            if v < 0:
-                tour.append(~v)
-                continue
-            tour.append(v)
-            own = depth[v]
-            for k in range(first[v + 1] - 1, first[v] - 1, -1):
+        following = np.searchsorted(keys[order] // base, np.arange(len(start) + 1)).tolist()
+        last = following[1:]
+        depth, up, tour, v = [0] * len(longs), [-1] * len(longs), [0], 0
+        visit = tour.append
+        while v >= 0:
+            k, own, end = following[v], depth[v], last[v]
+            while k < end:
                 w = kids[k]
+                k += 1
                 depth[w] = own + longs[w]
-                stack.append(~v)
-                stack.append(w)
+                visit(w)
+                if following[w] < last[w]:  # not a leaf
+                    up[w] = v
+                    following[v] = k
+                    v = w
+                    break
+                visit(v)
+            else:
+                v = up[v]
+                visit(v)
+        tour.pop()
         tour, depth = np.array(tour), np.array(depth)
         leaves = np.flatnonzero(np.r_[0, stop[1:] == n])
         leaf = np.full(len(depth), -1)
