@@ -8,6 +8,7 @@ from starling.functions import scalar as fn
 from starling.operators import joins, stats
 from starling.plans.registry import query
 from starling.sources import io
+from starling.sources.quoted_csv import read_quoted_csv
 from starling.sources.views import is_scoring, order_reviews, reviews, table
 
 Q = fn.rounded
@@ -52,7 +53,7 @@ def scan_multiline_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts with line breaks, quotes and commas through a CSV file and back."""
     path = io.scratch(spark, "csv-documents")
     io.write_csv(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), path)
-    rows = io.read_text_csv(spark, path, ["doc_id", "text", "lang"])
+    rows = read_quoted_csv(spark, path, ["doc_id", "text", "lang"])
     return io.cast_columns(rows, {"doc_id": "long"}).withColumn("text", F.coalesce("text", F.lit("")))
 
 

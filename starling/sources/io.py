@@ -43,7 +43,7 @@ def remove_scratch(spark: SparkSession) -> int:
 
 
 def read_text_csv(spark: SparkSession, path: str, columns: list[str], infer: bool = False) -> DataFrame:
-    """A CSV with header, quoted multi-line text and doubled quotes; all strings unless ``infer``. Line breaks within quotes make each file one task: keep files small."""
+    """A CSV with header, quoted multi-line text and doubled quotes; all strings unless ``infer``. Each file is one task: large ones are for quoted_csv.read_quoted_csv."""
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"')
     if infer:
         return reader.option("inferSchema", True).csv(path)
