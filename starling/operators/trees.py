@@ -1,18 +1,18 @@
-"""Out-of-fold tree ensembles, ordinal models, importances, and the train/score shift check."""
+"""Out-of-fold tree ensembles, ordinal models, text models, importances, and the train/score shift check."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import IDF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import DataFrame, functions as F
 
 from starling.operators.ensemble import auc, clip_rating
+from starling.operators.folds import Fitted, Learner, OutOfFold, out_of_fold
 from starling.operators.stats import sample_rows
-from starling.sources.io import materialize, scratch
 
 
 def _with_vector(rows: DataFrame, features: Sequence[str], out: str = "__x") -> DataFrame:
@@ -20,67 +20,75 @@ def _with_vector(rows: DataFrame, features: Sequence[str], out: str = "__x") ->
     return VectorAssembler(inputCols=list(features), outputCol=out).transform(filled)
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    """Written to the shared folder, as each fold's fit reads it several times."""
-    return materialize(df, scratch(df.sparkSession, "fit"))
+def boosted(target: str, rounds: int, depth: int, fit_rows: int | None = None, seed: int = 42) -> Learner:
+    """Boosted regression trees on the vector ``__x``; the report has importances and the number of trees.
 
+    Rounds stop early once a tenth of the training folds' rows (by the hash of their id), never of
+    the predicted fold, gains less than a hundredth; ``fit_rows`` bounds the rows of a fit.
+    """
 
-def _union(parts: list[DataFrame]) -> DataFrame:
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out
+    def learn(rows: DataFrame) -> Fitted:
+        fit = sample_rows(rows, "id", fit_rows, seed) if fit_rows else rows
+        fit = fit.withColumns({"__y": F.col(target).cast("double"), "__v": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) == 0})
+        model = GBTRegressor(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=depth, stepSize=0.1, validationIndicatorCol="__v", seed=seed).fit(fit)
+        return Fitted(lambda df, name: model.copy().setPredictionCol(name).transform(df), {"importance": model.featureImportances.toArray(), "trees": model.getNumTrees})
 
+    return learn
 
-def gbt_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, rounds: int = 10, depth: int = 4, fit_rows: int | None = None, seed: int = 42, scoring: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-    """(rows with pred out of fold, importances averaged over folds, rows of ``scoring`` with the mean of the fold models' clipped predictions).
 
-    Rounds stop early on a tenth of the training folds' rows, never on the predicted fold;
-    ``fit_rows`` bounds the rows that each model is fitted on (all are predicted).
-    """
-    data = _with_vector(rows, features).withColumns({"__y": F.col(target).cast("double"), "__v": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(10)) == 0})
-    data, parts, weights = _kept(data), [], None
+def gbt_folds(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, rounds: int = 10, depth: int = 4, fit_rows: int | None = None, seed: int = 42, scoring: DataFrame | None = None) -> OutOfFold:
     test = _with_vector(scoring, features) if scoring is not None else None
-    for f in range(k):
-        fit = data.where(F.col("fold") != f)
-        if fit_rows:
-            fit = sample_rows(fit, "id", fit_rows, seed)
-        model = GBTRegressor(featuresCol="__x", labelCol="__y", predictionCol="pred", maxIter=rounds, maxDepth=depth, stepSize=0.1, validationIndicatorCol="__v", seed=seed).fit(fit)
-        parts.append(model.transform(data.where(F.col("fold") == f)))
-        if test is not None:
-            test = model.setPredictionCol(f"__p{f}").transform(test)
-        own = model.featureImportances.toArray()
-        weights = own if weights is None else weights + own
-    out = _union(parts).withColumn("pred", clip_rating(F.col("pred"))).drop("__x", "__y", "__v")
-    if test is not None:
-        each = [clip_rating(F.col(f"__p{f}")) for f in range(k)]
-        test = test.withColumn("pred", sum(each[1:], start=each[0]) / k).drop("__x", *[f"__p{f}" for f in range(k)])
-    importance = rows.sparkSession.createDataFrame([(c, float(w) / k) for c, w in zip(features, weights, strict=True)], "feature string, importance double")
-    return out, importance, test
+    out = out_of_fold(_with_vector(rows, features), boosted(target, rounds, depth, fit_rows, seed), k, scoring=test, bound=clip_rating)
+    return OutOfFold(out.rows.drop("__x"), out.scored.drop("__x") if out.scored is not None else None, out.reports)
+
+
+def gbt_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, rounds: int = 10, depth: int = 4, fit_rows: int | None = None, seed: int = 42, scoring: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+    """(rows with pred out of fold, importances averaged over folds, rows of ``scoring`` with the mean of the fold models' clipped predictions)."""
+    out = gbt_folds(rows, features, target, k, rounds, depth, fit_rows, seed, scoring)
+    return out.rows, _importances(rows, features, out), out.scored
+
+
+def _importances(rows: DataFrame, features: Sequence[str], out: OutOfFold) -> DataFrame:
+    each = [r["importance"] for r in out.reports]
+    return rows.sparkSession.createDataFrame([(c, float(sum(w[i] for w in each)) / len(each)) for i, c in enumerate(features)], "feature string, importance double")
+
+
+def ordinal(target: str, classes: int) -> Learner:
+    """1 plus the probabilities of exceeding each threshold, from classes - 1 logistic models on the vector ``__x``."""
+
+    def learn(rows: DataFrame) -> Fitted:
+        models = [LogisticRegression(featuresCol="__x", labelCol="__t", maxIter=10, regParam=0.01).fit(rows.withColumn("__t", (F.col(target) - 1 > t).cast("double"))) for t in range(classes - 1)]
+
+        def predict(df: DataFrame, name: str) -> DataFrame:
+            out = df.withColumn(name, F.lit(1.0))
+            for m in models:
+                out = m.copy().setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__q").transform(out).withColumn(name, F.col(name) + vector_to_array("__p")[1]).drop("__p", "__r", "__q")
+            return out
+
+        return Fitted(predict)
+
+    return learn
 
 
 def ordinal_oof(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5, classes: int = 5) -> DataFrame:
-    """rows with pred = 1 plus the probabilities of exceeding each threshold, from classes - 1 logistic models a fold."""
-    data = _kept(_with_vector(rows, features))
-    parts = []
-    for f in range(k):
-        fit, held = data.where(F.col("fold") != f), data.where(F.col("fold") == f)
-        total = F.lit(1.0)
-        for t in range(classes - 1):
-            model = LogisticRegression(featuresCol="__x", labelCol="__t", probabilityCol=f"__p{t}", rawPredictionCol=f"__r{t}", predictionCol=f"__q{t}", maxIter=10, regParam=0.01)
-            held = model.fit(fit.withColumn("__t", (F.col(target) - 1 > t).cast("double"))).transform(held)
-            total = total + vector_to_array(f"__p{t}")[1]
-        parts.append(held.withColumn("pred", total).drop(*[f"__{c}{t}" for c in "prq" for t in range(classes - 1)], "__x"))
-    return _union(parts)
+    """rows with pred = 1 plus the probabilities of exceeding each threshold."""
+    return out_of_fold(_with_vector(rows, features), ordinal(target, classes), k).rows.drop("__x")
+
+
+def weighted_text(vector: str, label: str, penalty: float, rounds: int, least_docs: int = 2) -> Learner:
+    """The probability of class 1 by logistic regression; a term's weight, too, comes from the rows that are fitted."""
+
+    def learn(rows: DataFrame) -> Fitted:
+        idf = IDF(minDocFreq=least_docs, inputCol=vector, outputCol="__x").fit(rows)
+        model = LogisticRegression(featuresCol="__x", labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", maxIter=rounds, regParam=penalty).fit(idf.transform(rows).withColumn("__y", F.col(label).cast("double")))
+        return Fitted(lambda df, name: model.transform(idf.transform(df)).withColumn(name, vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__q"))
+
+    return learn
 
 
 def text_oof(rows: DataFrame, vector: str, label: str, k: int = 5, penalty: float = 0.01, rounds: int = 20) -> DataFrame:
-    """rows with score = the probability of class 1 by logistic regressions on a sparse text vector, fitted on the other folds."""
-    data, parts = _kept(rows.withColumn("__y", F.col(label).cast("double"))), []
-    for f in range(k):
-        model = LogisticRegression(featuresCol=vector, labelCol="__y", probabilityCol="__p", rawPredictionCol="__r", predictionCol="__q", maxIter=rounds, regParam=penalty).fit(data.where(F.col("fold") != f))
-        parts.append(model.transform(data.where(F.col("fold") == f)))
-    return _union(parts).withColumn("score", vector_to_array("__p")[1]).drop("__y", "__p", "__r", "__q")
+    """rows with score = the probability of class 1 from sparse term counts; weights and models never see the predicted fold."""
+    return out_of_fold(rows, weighted_text(vector, label, penalty, rounds), k, name="score").rows
 
 
 def shift_report(train: DataFrame, test: DataFrame, features: Sequence[str], importance: DataFrame) -> DataFrame:
@@ -96,12 +104,11 @@ def shift_report(train: DataFrame, test: DataFrame, features: Sequence[str], imp
 def adversarial(train: DataFrame, test: DataFrame, features: Sequence[str], n: int = 10_000, k: int = 3, rounds: int = 5, alarm: float = 0.6, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """(one row with the out-of-fold AUC of telling train from test and whether it alarms, importances)."""
     both = sample_rows(train, "id", n, seed).select("id", *features).withColumn("is_test", F.lit(0)).unionByName(sample_rows(test, "id", n, seed).select("id", *features).withColumn("is_test", F.lit(1)))
-    data = _with_vector(both, features).withColumns({"fold": F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)), "__y": F.col("is_test").cast("double")})
-    data, parts, weights = _kept(data), [], None
-    for f in range(k):
-        model = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=3, seed=seed).fit(data.where(F.col("fold") != f))
-        parts.append(model.transform(data.where(F.col("fold") == f)).select("id", "is_test", vector_to_array("probability")[1].alias("score")))
-        own = model.featureImportances.toArray()
-        weights = own if weights is None else weights + own
-    report = auc(_union(parts), "score", "is_test").withColumn("alarm", F.col("auc") > alarm)
-    return report, train.sparkSession.createDataFrame([(c, float(w) / k) for c, w in zip(features, weights, strict=True)], "feature string, importance double")
+    def learn(fit: DataFrame) -> Fitted:
+        model = GBTClassifier(featuresCol="__x", labelCol="is_test", maxIter=rounds, maxDepth=3, seed=seed).fit(fit)
+        return Fitted(lambda df, name: model.transform(df).withColumn(name, vector_to_array("probability")[1]), {"importance": model.featureImportances.toArray()})
+
+    data = _with_vector(both, features).withColumn("fold", F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(k)))
+    out = out_of_fold(data, learn, k, name="score")
+    report = auc(out.rows.select("id", "is_test", "score"), "score", "is_test").withColumn("alarm", F.col("auc") > alarm)
+    return report, _importances(train, features, out)

@@ -256,7 +256,15 @@ def elasticnet_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def gbt_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(trees.gbt_oof(base_models(spark, sf_dir), ["price", *_MODELS], rounds=5, depth=3)[0].select("id", "fold", "pred"))
+    """Up to 40 rounds, which stop early."""
+    return Q(trees.gbt_oof(base_models(spark, sf_dir), ["price", *_MODELS], rounds=40, depth=4)[0].select("id", "fold", "pred"))
+
+
+@query()
+def gbt_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The number of trees that early stopping chose for each fold, of 40 at most."""
+    out = trees.gbt_folds(base_models(spark, sf_dir), ["price", *_MODELS], rounds=40, depth=4)
+    return spark.createDataFrame([(f, int(r["trees"]), 40) for f, r in enumerate(out.reports)], "fold int, trees int, most int")
 
 
 @query()
@@ -279,12 +287,11 @@ def gbt_test_side(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def text_model_oof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Logistic regressions on hashed TF-IDF (saved and loaded again), out of fold, for the labelled documents."""
+    """Logistic regressions on hashed TF-IDF, weights and models fitted on the other folds, for the labelled documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    pipeline = tfidf.save_pipeline(tfidf.hashed_pipeline("text", 12_000).fit(docs), io.scratch(spark, "pipeline"))
-    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    rows = pipeline.transform(docs.join(labels, "doc_id")).select("doc_id", "quality", fold(F.col("doc_id")).alias("fold"), "features")
-    return Q(trees.text_oof(rows, "features", "quality").select("doc_id", "fold", "quality", "score"))
+    labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL")
+    rows = tfidf.hashed_vectors(docs.join(labels, "doc_id"), "text", 12_000).select("doc_id", "quality", fold(F.col("doc_id")).alias("fold"), "tf")
+    return Q(trees.text_oof(rows, "tf", "quality").select("doc_id", "fold", "quality", "score"))
 
 
 @query()
@@ -311,14 +318,29 @@ def shift_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def leak_impact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """RMSE with a column that contains the row's own rating against RMSE without: what a leak looks like."""
+    """RMSE of boosted trees with a column that contains the row's own rating against RMSE without: what a leak looks like."""
     rows = oof.deviations(base_models(spark, sf_dir), {"user": "user_id"})
-    leaky = linear.ridge_oof(rows, ["user_dev", *_MODELS]).select("id", "y", F.col("pred").alias("leaky"))
-    both = leaky.join(linear.ridge_oof(rows, _MODELS).select("id", F.col("pred").alias("safe")), "id")
+    leaky = trees.gbt_oof(rows, ["user_dev", *_MODELS], rounds=40, depth=4)[0].select("id", "y", F.col("pred").alias("leaky"))
+    both = leaky.join(trees.gbt_oof(rows, _MODELS, rounds=40, depth=4)[0].select("id", F.col("pred").alias("safe")), "id")
     out = both.agg(en.rmse(F.col("leaky"), F.col("y")).alias("rmse_full"), en.rmse(F.col("safe"), F.col("y")).alias("rmse_safe"))
     return Q(out.withColumn("impact", F.col("rmse_full") - F.col("rmse_safe")))
 
 
+_LEAK = """WITH pf AS (SELECT user_id, fold, sum(rating) AS s, count(*) AS n FROM folded GROUP BY ALL), pt AS (SELECT user_id, sum(s) AS all_s, sum(n) AS tn FROM pf GROUP BY 1), fp AS (SELECT c.fold, avg(r.rating) AS prior FROM (SELECT DISTINCT fold FROM folded) c JOIN folded r ON r.fold <> c.fold GROUP BY 1),
+  t AS (SELECT id, fold, CAST(rating AS DOUBLE) AS y, rating - CASE WHEN tn > n THEN (all_s - s) / (tn - n) ELSE prior END AS user_dev FROM folded JOIN pf USING (user_id, fold) JOIN pt USING (user_id) JOIN fp USING (fold))"""
+
+
+@query(_LEAK + """, s AS (SELECT c.fold, regr_slope(r.y, r.user_dev) AS a, regr_intercept(r.y, r.user_dev) AS b, avg(r.y) AS m FROM (SELECT DISTINCT fold FROM t) c JOIN t r ON r.fold <> c.fold GROUP BY c.fold)
+  SELECT round(sqrt(avg(pow(greatest(1, least(5, a * user_dev + b)) - y, 2))), 5) AS rmse_full, round(sqrt(avg(pow(m - y, 2))), 5) AS rmse_safe, round(sqrt(avg(pow(greatest(1, least(5, a * user_dev + b)) - y, 2))) - sqrt(avg(pow(m - y, 2))), 5) AS impact FROM t JOIN s USING (fold)""")
+def leak_impact_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same for one leaking column and a straight line, against the mean of the other folds."""
+    rows = oof.deviations(folded(spark, sf_dir).withColumns({"y": F.col("rating").cast("double"), "one": F.lit(0.0)}), {"user": "user_id"})
+    leaky = linear.ridge_oof(rows, ["user_dev"], alpha=0.0).withColumnRenamed("pred", "leaky")
+    both = linear.ridge_oof(leaky, ["one"], alpha=1.0).withColumnRenamed("pred", "safe")
+    out = both.agg(en.rmse(F.col("leaky"), F.col("y")).alias("rmse_full"), en.rmse(F.col("safe"), F.col("y")).alias("rmse_safe"))
+    return Q(out.withColumn("impact", F.col("rmse_full") - F.col("rmse_safe")), 5)
+
+
 def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(training rows with out-of-fold base predictions, scoring rows with those of all training rows)."""
     train, test = (df.withColumns({"yr": F.year("ts"), "mo": F.month("ts")}) for df in split(spark, sf_dir))

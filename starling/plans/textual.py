@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.functions import lexicon as lx, vectors as vec
@@ -182,12 +181,18 @@ def tfidf_transform_new(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(tfidf.weigh(tfidf.term_counts(table(spark, sf_dir, "benchmark"), "item_id", "text"), vocab, "item_id"))
 
 
-@query()
+_HASHED_WORDS = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[ \t\n\v\f\r]+'), lambda x: x <> '')"
+_MD5 = "('0x' || substr(md5(gram), 1, 8))::BIGINT"
+
+
+@query(f"""WITH ws AS (SELECT doc_id, {_HASHED_WORDS} AS w FROM documents), g AS (SELECT doc_id, k AS level, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS gram FROM ws, range(1, 4) r(k)),
+  tf AS (SELECT doc_id, CASE level WHEN 1 THEN {_MD5} % 16668 ELSE 16668 + (level - 2) * 16666 + {_MD5} % 16666 END AS idx, count(*) AS tf FROM g GROUP BY ALL), n AS (SELECT count(*) AS n_docs FROM documents), df AS (SELECT idx, count(*) AS df FROM tf GROUP BY idx HAVING count(*) >= 2)
+  SELECT doc_id, CAST(idx AS INT) AS idx, round(tf * ln((1 + n_docs) / (1.0 + df)), 6) AS val FROM tf JOIN df USING (idx), n WHERE df < n_docs""")
 def tfidf_hashed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    rows = tfidf.hashed_pipeline("text").fit(docs).transform(docs).select("doc_id", vector_to_array("features").alias("v"))
-    entries = F.filter(F.transform("v", lambda x, i: F.struct(i.alias("idx"), x.alias("val"))), lambda e: e["val"] != 0)
-    return rows.select("doc_id", F.inline(entries))
+    """Words, pairs and triples in 50,000 dimensions; one row an entry."""
+    docs = table(spark, sf_dir, "documents")
+    counts = _once(tfidf.hashed_counts(docs, "doc_id", "text"))
+    return Q(tfidf.hashed_weights(counts, docs, "doc_id"))
 
 
 def _sparse(spark: SparkSession, docs: DataFrame, key: str, text: str, size: int) -> tuple[DataFrame, DataFrame]:
@@ -210,9 +215,9 @@ def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def svd_512(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """512 components of 5,000 terms: each one's singular value and the share explained up to it."""
-    _, rows = _sparse(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 5000)
-    _, values = tfidf.truncated_svd(rows, 5000, 512, passes=1)
+    """512 components of up to 50,000 terms: each one's singular value and the share explained up to it."""
+    vocab, rows = _sparse(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 50_000)
+    _, values = tfidf.truncated_svd(rows, max(vocab.count(), 1), 512)
     total = tfidf.explained_share(rows, values)
     upto = (values**2).cumsum() / max((values**2).sum(), 1e-300) * total
     return Q(spark.createDataFrame([(i, float(s), float(x)) for i, (s, x) in enumerate(zip(values, upto, strict=True))], "component int, singular double, explained double"), 4)
@@ -280,16 +285,51 @@ def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(graph.degree_stats(graph.bipartite_edges(reviews(spark, sf_dir))))
 
 
-@query("WITH " + _NORM + _layers(2, 1) + """, items AS (SELECT prod_id, row_number() OVER (ORDER BY prod_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prod_id FROM reviews)),
-  t AS (SELECT 'u' || user_id AS u, 'i' || p.prod_id AS i, 'i' || x.prod_id AS j FROM pairs p JOIN items x ON x.r = ('0x' || substr(md5('42/' || user_id || '/' || p.prod_id), 1, 8))::BIGINT % x.n), s AS (SELECT a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)
-  SELECT round(avg(ln(1 + exp(-gap))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM s""")
+#: Triples with negatives that the user has not: of 8 draws, the first that is none of the user's own.
+_TRIPLES = _NORM + _layers(2, 1) + """, items AS (SELECT prod_id, row_number() OVER (ORDER BY prod_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prod_id FROM reviews)),
+  drawn AS (SELECT p.user_id, p.prod_id, x.prod_id AS neg, d FROM pairs p, range(8) k(d), items x WHERE x.r = ('0x' || substr(md5('42/' || d || '/' || p.user_id || '/' || p.prod_id), 1, 8))::BIGINT % x.n),
+  t AS (SELECT 'u' || user_id AS u, 'i' || prod_id AS i, 'i' || arg_min(neg, d) AS j FROM drawn ANTI JOIN (SELECT user_id, prod_id AS neg FROM pairs) USING (user_id, neg) GROUP BY user_id, prod_id),
+  s AS (SELECT u, i, j, a.e0 AS u0, a.e1 AS u1, b.e0 - c.e0 AS d0, b.e1 - c.e1 AS d1, a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)"""
+
+
+def _triples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(triples, vectors of two dimensions after one layer)."""
+    rows, edges = reviews(spark, sf_dir), _normal(spark, sf_dir)
+    vectors = io.materialize(graph.propagate(edges, graph.hashed_vectors(edges, 2), 2, layers=1), io.scratch(spark, "node-vectors"))
+    pairs = graph.with_negatives(rows.select("user_id", "prod_id").distinct(), rows, "user_id", "prod_id", draws=8)
+    return io.materialize(graph.named_triples(pairs, "user_id", "prod_id"), io.scratch(spark, "triples")), vectors
+
+
+@query("WITH " + _TRIPLES + " SELECT round(avg(ln(1 + exp(-gap))), 6) AS loss, CAST(count(*) AS BIGINT) AS n FROM s")
 def bpr_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Q(graph.bpr_loss(*_triples(spark, sf_dir)))
+
+
+@query("WITH " + _TRIPLES + """, g AS (SELECT *, -1 / (1 + exp(gap)) / (SELECT count(*) FROM s) AS pull FROM s), parts AS (SELECT u AS node, pull * d0 AS e0, pull * d1 AS e1 FROM g UNION ALL SELECT i, pull * u0, pull * u1 FROM g UNION ALL SELECT j, -pull * u0, -pull * u1 FROM g)
+  SELECT node, round(1e6 * sum(e0), 4) + 0.0 AS g0, round(1e6 * sum(e1), 4) + 0.0 AS g1 FROM parts GROUP BY node""")
+def bpr_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loss's gradient of each node's vector, in millionths."""
+    triples, vectors = _triples(spark, sf_dir)
+    slope = graph.bpr_gradient(triples, vectors, 2, triples.count())
+    return Q(slope.select("node", *[(1e6 * F.col("e")[k]).alias(f"g{k}") for k in range(2)]), 4)
+
+
+@query()
+def bpr_train(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ranking loss before each of three gradient steps on eight dimensions, propagated over one layer."""
     rows, edges = reviews(spark, sf_dir), _normal(spark, sf_dir)
-    vectors = graph.propagate(edges, graph.hashed_vectors(edges, 2), 2, layers=1)
-    name = lambda side, key: F.concat(F.lit(side), key.cast("string"))
-    pairs = graph.with_negatives(rows.select("user_id", "prod_id").distinct(), rows, "user_id", "prod_id")
-    triples = pairs.select(name("u", F.col("user_id")).alias("user"), name("i", F.col("prod_id")).alias("pos"), name("i", F.col("neg")).alias("neg"))
-    return Q(graph.bpr_loss(triples, vectors))
+    _, losses = graph.bpr_train(edges, rows.select("user_id", "prod_id").distinct(), rows, graph.hashed_vectors(edges, 8), 8, steps=3, rate=20_000.0, layers=1)
+    return Q(spark.createDataFrame(list(enumerate(losses)), "step int, loss double"))
+
+
+@query()
+def warm_propagation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Singular vectors of the interactions as layer 0 of three layers of 64 dimensions, exported with the node numbering and read back: norms, and the variance that the start explains."""
+    rows = io.materialize(reviews(spark, sf_dir).select("user_id", "prod_id"), io.scratch(spark, "pairs"))
+    start, share = graph.svd_start(rows, dims=64)
+    path = io.scratch(spark, "warm")
+    graph.save_vectors(graph.propagate(_normal(spark, sf_dir), start, 64), path)
+    return Q(graph.load_vectors(spark, path).select("node", vec.norm(F.col("e")).alias("norm"), F.lit(share).alias("explained")), 4)
 
 
 @query("""WITH u AS (SELECT user_id, avg(rating) AS m, count(*) AS n, coalesce(stddev_samp(rating), 0) AS s FROM reviews GROUP BY 1), p AS (SELECT prod_id, avg(rating) AS m, count(*) AS n, coalesce(stddev_samp(rating), 0) AS s FROM reviews GROUP BY 1),
