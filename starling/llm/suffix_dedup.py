@@ -24,7 +24,7 @@ counted in a shuffle, so that no task gathers them.
 Memory: texts of any length are read in ranges of RANGE bytes that overlap by WINDOW - 1.
 
 Edge cases: null and empty texts, and texts shorter than WINDOW, lose nothing. Repeated rows
-are copies of each other and lose all windows. Bytes are cut without regard to characters; see
+are copies of each other and lose all windows; rows that repeat doc_id and text are worked on once. Bytes are cut without regard to characters; see
 ``remaining_text``. An empty table gives an empty result; columns other than doc_id and text are
 ignored, whatever their names. A null doc_id is carried along.
 """
@@ -134,9 +134,10 @@ def _ranges(batch: pa.RecordBatch):
 
 
 def mark(docs: DataFrame) -> DataFrame:
-    """rid, los, ahead, n, anchor, content: the slices of all texts; the anchor is so many bytes ahead, content is a hash of the slice's bytes.
+    """rid, los, ahead, n, anchor, content, times: the slices of all texts; the anchor is so many bytes ahead, content is a hash of the slice's bytes.
 
-    Equal slices of one text (as of a line that repeats) share a row with all their places.
+    Equal slices of one text (as of a line that repeats) share a row with all their places;
+    ``times`` is how often the whole text (its rid) is there.
     """
 
     def run(batches):
@@ -152,10 +153,10 @@ def mark(docs: DataFrame) -> DataFrame:
                 places = pa.ListArray.from_arrays(pa.array(np.r_[head, len(order)].astype(np.int32)), pa.array((at - offsets[text] + base).astype(np.int32)))
                 yield batch_of(
                     rid=batch.column("rid").take(rows), los=places, ahead=pa.array((place - at)[new], pa.int32()),
-                    n=pa.array(n[new], pa.int32()), anchor=pa.array(anchor[new], pa.int64()), content=pa.array(content[new]),
+                    n=pa.array(n[new], pa.int32()), anchor=pa.array(anchor[new], pa.int64()), content=pa.array(content[new]), times=batch.column("times").take(rows),
                 )
 
-    return docs.mapInArrow(run, "rid binary, los array<int>, ahead int, n int, anchor long, content long")
+    return docs.mapInArrow(run, "rid binary, los array<int>, ahead int, n int, anchor long, content long, times long")
 
 
 def comparable(data: np.ndarray, at: np.ndarray, n: np.ndarray, ahead: np.ndarray, copies: np.ndarray) -> np.ndarray:
@@ -248,7 +249,7 @@ def _intervals(flags: np.ndarray, slice_of: np.ndarray, offset: np.ndarray) -> t
 
 
 def sorted_intervals(rows: DataFrame) -> DataFrame:
-    """Removed intervals (anchor, content, lo, size; lo within the slice) of slices (anchor, content, copies, n, ahead, bytes), all of an anchor in one partition, in order."""
+    """Removed intervals (anchor, content, n, ahead, lo, size; lo within the slice) of slices (anchor, content, copies, n, ahead, bytes), all of an anchor in one partition, in order."""
 
     def joined(held):
         lens = np.array([len(r[-1]) for r in held], np.int64)
@@ -263,7 +264,7 @@ def sorted_intervals(rows: DataFrame) -> DataFrame:
         s, offset, size = _intervals(flags, np.repeat(np.arange(len(held)), n), ragged(np.zeros(len(n), np.int64), n))
         return batch_of(
             anchor=pa.array([held[i][0] for i in s.tolist()], pa.int64()), content=pa.array([held[i][1] for i in s.tolist()], pa.int64()),
-            lo=pa.array(offset, pa.int32()), size=pa.array(size, pa.int32()),
+            n=pa.array([held[i][3] for i in s.tolist()], pa.int32()), ahead=pa.array([held[i][4] for i in s.tolist()], pa.int32()), lo=pa.array(offset, pa.int32()), size=pa.array(size, pa.int32()),
         )
 
     def run(batches):
@@ -279,7 +280,7 @@ def sorted_intervals(rows: DataFrame) -> DataFrame:
         if held:
             yield solve(held)
 
-    return rows.select("anchor", "content", "copies", "n", "ahead", "bytes").mapInArrow(run, "anchor long, content long, lo int, size int")
+    return rows.select("anchor", "content", "copies", "n", "ahead", "bytes").mapInArrow(run, "anchor long, content long, n int, ahead int, lo int, size int")
 
 
 def counted_intervals(rows: DataFrame) -> DataFrame:
@@ -291,26 +292,42 @@ def counted_intervals(rows: DataFrame) -> DataFrame:
             n = batch.column("n").to_numpy()
             starts, owner = ragged(offsets[:-1], n), pa.array(np.repeat(np.arange(len(n)), n))
             yield batch_of(
-                **{c: batch.column(c).take(owner) for c in ("anchor", "content", "copies")}, lo=pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()),
+                **{c: batch.column(c).take(owner) for c in ("anchor", "content", "copies", "n", "ahead")}, lo=pa.array(ragged(np.zeros(len(n), np.int64), n), pa.int32()),
                 h1=pa.array(Prefixes(data, 3).hashes(starts, WINDOW).view(np.int64)), h2=pa.array(Prefixes(data, 4).hashes(starts, WINDOW).view(np.int64)),
             )
 
-    windows = rows.select("anchor", "content", "copies", "n", "bytes").mapInArrow(run, "anchor long, content long, copies long, lo int, h1 long, h2 long")
+    windows = rows.select("anchor", "content", "copies", "n", "ahead", "bytes").mapInArrow(run, "anchor long, content long, copies long, n int, ahead int, lo int, h1 long, h2 long")
     twice = windows.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).where("times > 1").select("h1", "h2", F.xxhash64("h1", "h2").alias("key"))
     found = windows.withColumn("key", F.xxhash64("h1", "h2")).join(twice, ["h1", "h2", "key"], "left_semi")
-    return found.select("anchor", "content", "lo", F.lit(WINDOW).alias("size"))
+    return found.select("anchor", "content", "n", "ahead", "lo", F.lit(WINDOW).alias("size"))
+
+
+#: Slices are told apart by their anchor, a hash of their bytes, their windows and the anchor's place.
+SLICE = ["anchor", "content", "n", "ahead"]
+
+
+def once(docs: DataFrame) -> DataFrame:
+    """rid, text, times: one row for each rid. Only texts whose rid repeats cross a shuffle, after tasks have dropped their own repeats."""
+    repeats = docs.groupBy("rid").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    repeats = saved(repeats, "repeats")
+    if repeats.isEmpty():
+        return docs.select("rid", "text", F.lit(1).cast("long").alias("times"))
+    single = docs.join(repeats.select("rid"), "rid", "left_anti").select("rid", "text", F.lit(1).cast("long").alias("times"))
+    texts = docs.join(repeats.select("rid"), "rid", "left_semi").groupBy("rid").agg(F.first("text").alias("text"))
+    return single.unionByName(saved(texts.join(repeats, "rid").select("rid", "text", "times"), "repeated-texts"))
 
 
 def removed_intervals(docs: DataFrame) -> DataFrame:
-    """rid, lo, size of byte runs to remove (they may overlap); docs needs rid and text."""
+    """rid, lo, size of byte runs to remove (they may overlap), once for each rid; docs needs rid and text."""
+    docs = once(docs)
     marks = saved(mark(docs), "slices")
     # A second, derived column in a join's key makes it shuffle both sides, so that Spark may split hot keys.
-    shared = marks.groupBy("anchor").agg(F.sum(F.size("los")).alias("times")).where("times > 1").select("anchor", F.xxhash64("anchor").alias("key"))
+    shared = marks.groupBy("anchor").agg(F.sum(F.size("los") * F.col("times")).alias("all")).where("all > 1").select("anchor", F.xxhash64("anchor").alias("key"))
     rows = saved(marks.withColumn("key", F.xxhash64("anchor")).join(shared, ["anchor", "key"], "left_semi").drop("key"), "shared-slices")
-    per_slice = rows.groupBy("anchor", "content").agg(F.sum(F.size("los")).alias("copies"), F.min(F.struct("rid", F.col("los")[0].alias("lo"), "n", "ahead")).alias("one"))
+    per_slice = rows.groupBy(*SLICE).agg(F.sum(F.size("los") * F.col("times")).alias("copies"), F.min(F.struct("rid", F.col("los")[0].alias("lo"))).alias("one"))
     per_slice = saved(per_slice, "distinct-slices")
     kinds = per_slice.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"), F.max("copies").alias("most")).where("kinds > 1 OR most > 1").select("anchor", F.xxhash64("anchor").alias("key"), "kinds")
-    wanted = per_slice.withColumn("key", F.xxhash64("anchor")).join(kinds, ["anchor", "key"]).select("one.*", "anchor", "content", "copies", "kinds")
+    wanted = per_slice.withColumn("key", F.xxhash64("anchor")).join(kinds, ["anchor", "key"]).select("one.*", *SLICE, "copies", "kinds")
     by_doc = wanted.groupBy("rid").agg(F.collect_list(F.struct("lo", "n", "ahead", "anchor", "content", "copies", "kinds")).alias("slices"))  # as many as one text has
 
     def cut(batches):
@@ -323,8 +340,7 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
             )
 
     schema = "anchor long, content long, copies long, kinds long, n int, ahead int, bytes binary"
-    # Rows that repeat doc_id and text have one rid and give their slices repeatedly; such slices have copies anyway.
-    texts = saved(docs.join(by_doc, "rid").mapInArrow(cut, schema), "slice-bytes")
+    texts = saved(docs.drop("times").join(by_doc, "rid").mapInArrow(cut, schema), "slice-bytes")
     small = texts.where(F.col("kinds") <= MOST_SLICES).repartition("anchor").sortWithinPartitions("anchor")
     found = saved(sorted_intervals(small).unionByName(counted_intervals(texts.where(F.col("kinds") > MOST_SLICES))), "slice-intervals")
     found = found.withColumnRenamed("lo", "within")
@@ -332,7 +348,8 @@ def removed_intervals(docs: DataFrame) -> DataFrame:
     los, size = F.col("los"), F.col("size")
     first = F.filter(los, lambda x, i: F.coalesce(x - F.get(los, i - 1) > size, F.lit(True)))
     last = F.filter(los, lambda x, i: F.coalesce(F.get(los, i + 1) - x > size, F.lit(True)))
-    runs = rows.join(found, ["anchor", "content"]).select("rid", "within", "size", F.explode(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("run"))
+    # A second key here as well: one slice may be in a large share of all texts.
+    runs = rows.withColumn("key", F.xxhash64(*SLICE)).join(found.withColumn("key", F.xxhash64(*SLICE)), [*SLICE, "key"]).select("rid", "within", "size", F.explode(F.zip_with(first, last, lambda a, b: F.struct(a.alias("a"), b.alias("b")))).alias("run"))
     return runs.select("rid", (F.col("run.a") + F.col("within")).alias("lo"), (F.col("run.b") - F.col("run.a") + F.col("size")).alias("size"))
 
 
@@ -363,7 +380,8 @@ def _with_spans(docs: DataFrame, others: list[str]) -> DataFrame:
     """rid, row (a struct of the other columns, so that no name can clash), text and the spans to remove."""
     source = docs.select(row_key(F.col("doc_id"), F.col("text")).alias("rid"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("row"), "text")
     found = saved(removed_intervals(source.select("rid", "text")), "removed")
-    return source.join(found.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans")), "rid", "left")  # of one text
+    spans = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "size")).alias("spans")).withColumn("key", F.xxhash64("rid"))  # of one text
+    return source.withColumn("key", F.xxhash64("rid")).join(spans, ["rid", "key"], "left").drop("key")
 
 
 def suffix_dedup(docs: DataFrame) -> DataFrame:

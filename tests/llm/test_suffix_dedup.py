@@ -4,6 +4,7 @@ import random
 from collections import defaultdict
 
 import numpy as np
+from pyspark.sql import functions as F
 import pytest
 from hypothesis import given, settings, strategies as st
 
@@ -118,3 +119,18 @@ def test_edges(spark):
     long = "some words that make a text longer than the window " * 4 + "end"
     rows = spark.createDataFrame([(None, long), (7, long), (7, long), (8, "x")], "doc_id long, text string")
     assert sorted(bytes(r.kept) for r in sd.suffix_dedup(rows).collect()) == [b"", b"", b"", b"x"]
+
+
+def test_repeated_rows_cost_no_more_than_one(spark):
+    """Rows that repeat id and text give as many intervals as one row, however many they are."""
+    rng = random.Random(9)
+    text = "".join(rng.choice("abcdefghij klm") for _ in range(1000))
+    other = "x" + text[300:700] + "y"
+    sizes = {}
+    for n in (2, 50, 5000):
+        docs = spark.createDataFrame([(7, text)] * n + [(8, other), (9, other[5:-1])], "doc_id long, text string").repartition(4)
+        source = docs.select(sd.row_key(F.col("doc_id"), F.col("text")).alias("rid"), "text")
+        sizes[n] = sd.removed_intervals(source).count()
+        got = sd.suffix_dedup(docs).collect()
+        assert len(got) == n + 2 and {bytes(r.kept) for r in got if r.doc_id == 7} == {b""} and {bytes(r.kept) for r in got if r.doc_id == 8} == {b"xy"}
+    assert len(set(sizes.values())) == 1
