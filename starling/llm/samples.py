@@ -7,28 +7,34 @@ from collections.abc import Callable
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from starling.llm.common import batch_of
+from starling.llm.common import batch_of, row_key, saved
 
 #: Whole texts of one class in a sample end with the one that reaches so many bytes: with long documents there are fewer, but none is cut.
 SAMPLE_BYTES = 24 << 20
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, usable: Column, most: tuple[int, int], size: int = SAMPLE_BYTES) -> DataFrame:
-    """doc_id, text, label of at most most[c] documents of class c (0 and 1), chosen by the hash of their ids.
+    """doc_id, text, label of at most most[c] rows of documents of class c (0 and 1), chosen by the hash of their ids.
 
     Texts are whole; a class ends early with the text that reaches ``size`` bytes.
 
     A document with several labels counts as 1 if any of them is; null ids and labels are left out.
-    The chosen ids (at most sum(most) of them) are broadcast to the scan of the texts.
+    Rows that repeat doc_id and text count once, others that share a doc_id one by one, in the order
+    of their texts' hashes. Rows are chosen by ids, hashes and lengths alone, at first most[c] of
+    each class; only the texts of chosen rows are read after that, by a broadcast of at most
+    sum(most) keys.
     """
     one = labels.where(F.col("doc_id").isNotNull() & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.max(label).cast("int").alias("label")).where(usable)
-    order = F.xxhash64("doc_id")
-    picked = [one.where(F.col("label") == c).orderBy(order, "doc_id").limit(most[c]) for c in (0, 1)]
-    ids = picked[0].unionByName(picked[1])
-    texts = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "label")
-    before = Window.partitionBy("label").orderBy(order, "doc_id", "text").rowsBetween(Window.unboundedPreceding, -1)
-    texts = texts.withColumn("before", F.coalesce(F.sum(F.octet_length("text").cast("long")).over(before), F.lit(0).cast("long")))
-    return texts.where(F.col("before") < size).drop("before")
+    texts = docs.where(F.col("doc_id").isNotNull() & usable).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", row_key(F.col("doc_id"), F.col("text")))
+    rows = texts.select("doc_id", "key", F.octet_length("text").cast("long").alias("bytes")).join(one, "doc_id")
+    order = [F.xxhash64("doc_id"), "doc_id", "key"]
+    rows = rows.distinct()  # repeated rows meet before any order is made
+    picked = [rows.where(F.col("label") == c).orderBy(*order).limit(most[c]) for c in (0, 1)]
+    before = Window.partitionBy("label").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    chosen = picked[0].unionByName(picked[1]).withColumn("before", F.coalesce(F.sum("bytes").over(before), F.lit(0).cast("long")))  # at most sum(most) rows
+    chosen = saved(chosen.where(F.col("before") < size).select("key", "label"), "sample")
+    found = texts.join(F.broadcast(chosen), "key")
+    return found.groupBy("key").agg(F.first("doc_id").alias("doc_id"), F.first("text").alias("text"), F.first("label").alias("label")).drop("key")
 
 
 def trained(sample: DataFrame, fit: Callable[[list[str], list], bytes], label: str = "label") -> bytes:
