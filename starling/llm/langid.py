@@ -232,14 +232,19 @@ def shared(texts: list[list[str]], most: int = SYMBOLS_PER_LANG) -> list[str]:
 
 
 def train(docs: DataFrame, usable: Column, docs_per_lang: int = DOCS_PER_LANG) -> bytes:
-    """Learns from at most ``docs_per_lang`` documents of each language among rows where ``usable`` holds."""
+    """Learns from at most ``docs_per_lang`` documents of each language among rows where ``usable`` holds.
+
+    More than MOST_LANGS languages are an error, before anything is collected: a table of that many
+    automata doesn't fit in a task. Tables with more are for labels that are first mapped to fewer.
+    """
+    langs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable).select("lang").distinct()
+    if langs.limit(MOST_LANGS + 1).count() > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & usable).select("lang", "doc_id", pieces(F.col("text")).alias("text"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
     samples: dict[str, list[list[str]]] = {}
     for row in rows.withColumn("rank", rank).where(F.col("rank") <= docs_per_lang).orderBy("lang", "rank").collect():
         known = samples.setdefault(row["lang"], [])
-        if len(samples) > MOST_LANGS:
-            raise ValueError(f"more than {MOST_LANGS} languages")
         if row["text"] not in known and any(map(str.isalpha, "".join(row["text"]))):
             known.append(row["text"])
     return pickle.dumps(Model({lang: shared(texts) for lang, texts in samples.items() if texts}))
