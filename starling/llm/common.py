@@ -94,14 +94,20 @@ def steps(batches: Iterable[pa.RecordBatch], size: int = STEP_BYTES, column: str
             yield batch.slice(int(lo), int(hi - lo))
 
 
-_BETWEEN_WORDS = re.compile(rb"[A-Za-z0-9] (?=[A-Za-z])")
+#: UTF-8 of letters: Latin, Greek, Cyrillic, Hebrew, Arabic, Devanagari, Thai, hiragana, Chinese characters, hangul.
+_LETTER = (
+    rb"[A-Za-z]|\xC3[\x80-\x96\x98-\xB6\xB8-\xBF]|\xCE[\x91-\xA1\xA3-\xBF]|\xCF[\x80-\x89]|\xD0[\x90-\xBF]|\xD1[\x80-\x8F]|\xD7[\x90-\xAA]|\xD8[\xA1-\xBA]|\xD9[\x81-\x8A]"
+    rb"|\xE0\xA4[\x85-\xB9]|\xE0\xB8[\x81-\xAE]|\xE3\x81[\x81-\xBF]|\xE4[\xB8-\xBF][\x80-\xBF]|[\xE5-\xE8][\x80-\xBF][\x80-\xBF]|\xEA[\xB0-\xBF][\x80-\xBF]|[\xEB\xEC][\x80-\xBF][\x80-\xBF]"
+)
+_BETWEEN_WORDS = re.compile(rb"[A-Za-z0-9\x80-\xBF] (?=" + _LETTER + rb")")
 
 
 def long_parts(batch: pa.RecordBatch, size: int = STEP_BYTES) -> Iterator[pa.Array]:
     """The texts of a step; one text beyond ``size`` bytes comes in parts of about as many, each an array of one.
 
-    Parts begin with a single space between a letter or digit and a letter (ASCII), which no word
-    and no match of a tokenizer's pattern crosses; a stretch without one stays whole.
+    Parts begin with a single space between a letter or digit (or anything beyond ASCII) and a
+    letter, which no word and no match of a tokenizer's pattern crosses; a stretch without one, as of
+    a script that sets no spaces, stays whole.
     """
     data, _ = raw(batch.column("text"))
     if batch.num_rows > 1 or len(data) <= size:

@@ -73,14 +73,18 @@ def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(word), np.concatenate(bucket).astype(np.int64)
 
 
-def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray]:
-    """Lower-cased words (parts of runs beyond LONGEST) of all texts, the number of words of each text, and which distinct words are no mere parts."""
+def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lower-cased words (parts of runs beyond LONGEST) of all texts, their number in each text, which distinct words are no mere parts, and what each word counts.
+
+    A word counts 1. The parts of a run together count 1 and, for each PART_HOP characters beyond
+    LONGEST, 1 more, so that a character more or less never makes a jump.
+    """
     split = pc.utf8_split_whitespace(pc.utf8_lower(filled(texts)))
     words, per_doc = split.flatten(), split.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
     lens = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
     if not (long := lens > LONGEST).any():
         words = words.dictionary_encode()
-        return words, per_doc, np.ones(len(words.dictionary), bool)
+        return words, per_doc, np.ones(len(words.dictionary), bool), np.ones(len(words))
     count = np.where(long, -(-(lens - PART) // PART_HOP) + 1, 1)
     data = raw(words)[0]
     char = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))  # bytes before each character
@@ -92,7 +96,8 @@ def split_words(texts: pa.Array) -> tuple[pa.DictionaryArray, np.ndarray, np.nda
     words = binaries(data[ragged(lo, hi - lo)], hi - lo).view(pa.large_string()).dictionary_encode()
     whole = np.zeros(len(words.dictionary), bool)
     whole[words.indices.to_numpy()[~part]] = True
-    return words, total[stop] - total[stop - per_doc], whole
+    weight = np.repeat(np.where(long, (1 + (lens - LONGEST) / PART_HOP) / count, 1.0), count)
+    return words, total[stop] - total[stop - per_doc], whole, weight
 
 
 def values(words: list[str], bucket: np.ndarray) -> np.ndarray:
@@ -111,7 +116,7 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     if len(set(labels)) < 2:
         np.savez(out, bucket=np.zeros(BUCKETS, np.float32), bias=np.float32(0))
         return out.getvalue()
-    words, per_doc, _ = split_words(pa.array(texts, pa.large_string()))
+    words, per_doc, _, weight = split_words(pa.array(texts, pa.large_string()))
     distinct, bags, sizes = words.dictionary.to_pylist(), [], []
     for lo in range(0, len(distinct), GRAM_WORDS):
         word, bucket = grams(distinct[lo : lo + GRAM_WORDS])
@@ -122,8 +127,9 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
     index, ends = words.indices.to_numpy(), np.cumsum(per_doc)
     rows = []  # of each document: its distinct words and their weights
     for end, n in zip(ends, per_doc, strict=True):
-        own, count = np.unique(index[end - n : end], return_counts=True)
-        rows.append((own.astype(np.int32), (count * (GAIN / (n + EMPTY_WORDS))).astype(np.float32)))
+        own, place = np.unique(index[end - n : end], return_inverse=True)
+        count = np.bincount(place, weight[end - n : end], len(own))
+        rows.append((own.astype(np.int32), (count * (GAIN / (count.sum() + EMPTY_WORDS))).astype(np.float32)))
     rng = np.random.default_rng(SEED)
     emb = rng.normal(0, 0.05, (BUCKETS, DIM)).astype(np.float32)
     soft, bias = rng.normal(0, 0.3, (DIM, 2)).astype(np.float32), np.zeros(2, np.float32)
@@ -185,8 +191,8 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(total / (words + EMPTY_WORDS) + self.bias, -60, 60)))
 
     def sums(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Sum of the words' numbers and number of words of each text."""
-        words, per_doc, whole = split_words(texts)
+        """Sum of the words' numbers and of what they count, of each text."""
+        words, per_doc, whole, weight = split_words(texts)
         distinct = words.dictionary.to_pylist()
         if len(self.cache) > CACHE_WORDS:
             self.cache.clear()
@@ -195,7 +201,8 @@ class Scorer:
             value[new] = values([distinct[i] for i in new], self.bucket)
             self.cache.update((distinct[i], value[i].item()) for i in new[whole[new]])
         owner = np.repeat(np.arange(len(per_doc)), per_doc)
-        pairs, count = np.unique(owner * max(len(distinct), 1) + words.indices.to_numpy(), return_counts=True)
+        pairs, place = np.unique(owner * max(len(distinct), 1) + words.indices.to_numpy(), return_inverse=True)
+        count = np.bincount(place, weight, len(pairs))
         owner, word = pairs // max(len(distinct), 1), pairs % max(len(distinct), 1)
         total, size = np.zeros(len(per_doc)), np.bincount(owner, minlength=len(per_doc))
         if (some := size > 0).any():

@@ -151,7 +151,7 @@ def test_toxicity_reads_runs_without_spaces_to_their_end(joint):
     assert len(joint.join(clean)) > 400 and low < 0.5 < high and spaced > 0.5
     assert scorer(pa.array([joint.join(bad)])).tolist() == [high] == toxicity.Scorer(model)(pa.array(["kato", joint.join(bad)])).tolist()[1:]
     assert len(scorer.cache) < 10
-    words, per_doc, whole = toxicity.split_words(pa.array(["ab Cd", None, "xyz" + "é" * 97 + " ab", "a" * 48]))
+    words, per_doc, whole, _ = toxicity.split_words(pa.array(["ab Cd", None, "xyz" + "é" * 97 + " ab", "a" * 48]))
     flat = [words.dictionary.to_pylist()[i] for i in words.indices.to_pylist()]
     assert per_doc.tolist() == [2, 1, 15, 1] and flat[:4] == ["ab", "cd", "", "xyz" + "é" * 9] and flat[-2:] == ["ab", "a" * 48]
     assert [w for w, x in zip(words.dictionary.to_pylist(), whole, strict=True) if x] == ["ab", "cd", "", "a" * 48]
@@ -300,3 +300,49 @@ def test_very_long_texts_are_read_in_parts(monkeypatch):
     assert encoder.encode_step(batch, 1)[0].tolist() == whole[1].tolist()
     assert abs(tox.step(batch) - whole[2]).max() < 1e-12 and net.step(batch).tolist() == whole[3].tolist()
     assert np.allclose(model.step(batch)[0], whole[4], rtol=0.02)
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    """One id with 3,000 different rows, repeated rows, and texts beyond the limit of bytes."""
+    rows = [(1, f"text {i}") for i in range(3000)] + [(2, "same")] * 500 + [(i, "x" * 1000) for i in range(10, 60)] + [(3, None), (None, "a"), (4, "unlabelled")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(1, 0), (2, 1), (3, 1), (3, 0), (None, 1)] + [(i, 1) for i in range(10, 60)], "doc_id long, toxic int")
+    got = samples.labelled(docs, labels, "toxic", F.lit(True), (5, 1000)).collect()
+    zero, one = [r for r in got if r.label == 0], [r for r in got if r.label == 1]
+    assert len(zero) == 5 and {r.doc_id for r in zero} == {1} and len(one) == 52 and sorted(r.text for r in one if r.doc_id < 10) == ["", "same"]
+    few = samples.labelled(docs, labels, "toxic", F.lit(True), (5, 1000), size=4500).where("label = 1").collect()
+    assert 4500 <= sum(len(r.text) for r in few) < 5500
+
+
+def test_a_run_that_grows_makes_no_jump():
+    rows = corpus()
+    scorer = toxicity.Scorer(toxicity.fit([t for _, t, *_ in rows], [r[4] for r in rows]))
+    total, count = scorer.sums(pa.array(["qidiotz" * 3 + "k" * n for n in range(20, 60)]))
+    assert np.abs(np.diff(count)).max() <= 1 / toxicity.PART_HOP + 1e-9 and count[0] == 1.0
+
+
+def test_too_many_languages_fail_before_they_are_collected(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGS", 5)
+    docs = spark.range(50).selectExpr("id AS doc_id", "concat('word ', id) AS text", "concat('l', id % 6) AS lang")
+    with pytest.raises(ValueError, match="more than 5 languages"):
+        langid.train(docs, F.lit(True))
+    assert langid.train(docs.where("lang <> 'l0'"), F.lit(True))
+
+
+@pytest.mark.parametrize("alphabet", ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνξοπρστυφχψω", "אבגדהוזחטיכלמנסעפצקרשת", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي", "कखगघङचछजझञ", "กขคงจฉชซ", "中文字句子語言", "가나다라마바사", "かきくけこさし", "àéîõüçñ"])
+def test_long_spaced_texts_of_every_script_are_cut(alphabet):
+    import public_tokenizers
+
+    from starling.llm import bpe
+    from starling.llm.common import long_parts
+    from starling.llm.words import WordEncoder
+
+    rng = random.Random(5)
+    marks = ["", "", "", ".", ",", "!", "\u3002", "\u00a0", " ", "\n", "12", "\u0301"]
+    text = " ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, 9))) + rng.choice(marks) for _ in range(2000))
+    parts = list(long_parts(pa.RecordBatch.from_pydict({"text": pa.array([text])}), 500))
+    assert "".join(p[0].as_py() for p in parts) == text and max(len(p[0].as_py().encode()) for p in parts) < 1200
+    ranks, encoder = bpe.Ranks.of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), WordEncoder.of(public_tokenizers.path("word_bpe_49k.json"))
+    whole = pa.array([text])
+    assert np.concatenate([ranks.encode(p)[0] for p in parts]).tolist() == ranks.encode(whole)[0].tolist()
+    assert np.concatenate([encoder.encode(p)[0] for p in parts]).tolist() == encoder.encode(whole)[0].tolist()
