@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from starling.operators.stats import quantiles
 from starling.sources.io import materialize, scratch, write_parquet
+from starling.sources.store import BUCKETS, FeatureStore
 
 
 def fit_scaler(train: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -42,6 +43,32 @@ def assemble(train: DataFrame, test: DataFrame, columns: Sequence[str], path: st
     return train.sparkSession.read.parquet(path).select(key, "split", "features")
 
 
+def assemble_blocks(train: DataFrame, test: DataFrame, numeric: Sequence[str], blocks: dict[str, tuple[DataFrame, str, int]], path: str, key: str = "id", buckets: int = BUCKETS, rows_per_file: int = 500_000) -> DataFrame:
+    """key, split, features: numeric columns as in assemble(), then each block's vector (rows of key and an array column of a known width).
+
+    Both splits and all blocks are written in buckets of the key and lined up without a shuffle. A
+    key that a block lacks has zeros there; one that it has twice, or a vector of another width, fails.
+    """
+    spark = train.sparkSession
+    store = FeatureStore(spark, key, buckets)
+    scaler = materialize(fit_scaler(require(train, numeric), numeric), scratch(spark, "scaler"))
+    sides = [apply_scaler(side.select(key, *numeric), scaler, numeric).withColumn("split", F.lit(name)) for name, side in (("train", train), ("test", require(test, numeric)))]
+    store.put("numeric", sides[0].unionByName(sides[1]))
+    for name, (df, column, _) in blocks.items():
+        store.put(name, df.select(key, F.col(column).cast("array<double>").alias(name)))
+        if not store.repeats(name).isEmpty():
+            raise ValueError(f"block {name} has a key more than once")
+    parts = [F.array(*[F.col(c).cast("double") for c in numeric])]
+    for name, (_, _, width) in blocks.items():
+        right = F.assert_true(F.size(name) == width, F.concat(F.lit(f"{name} should have {width} values, not "), F.size(name).cast("string")))
+        whole = F.transform(name, lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x))
+        parts.append(F.when(F.col(name).isNull(), F.array_repeat(F.lit(0.0), width)).when(right.isNull(), whole))
+    rows = store.aligned("numeric", list(blocks)).select(key, "split", F.concat(*parts).alias("features"))
+    write_parquet(rows, path, partition_by=["split"], rows_per_file=rows_per_file)
+    store.drop()
+    return spark.read.parquet(path).select(key, "split", "features")
+
+
 def null_audit(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
     """column, nulls and NaNs, from one aggregate."""
     counts = rows.agg(*[F.count_if(F.col(c).isNull() | F.isnan(F.col(c).cast("double"))).alias(c) for c in columns])

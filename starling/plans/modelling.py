@@ -7,6 +7,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.functions.scalar import rounded as Q
 from starling.operators import assemble, ensemble as en, linear, oof, stacking as st, tfidf, trees
+from starling.operators.joins import split_join
+from starling.plans import textual
 from starling.plans.leakfree import folded, split
 from starling.plans.registry import query
 from starling.sources import io
@@ -162,26 +164,52 @@ def assemble_scaled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(assemble.apply_scaler(rows, scaler, _FEATURES))
 
 
+def _encoded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Both splits with row features and user encodings, out of fold for training rows."""
+    shape = {"purchased": F.col("purchased").cast("int"), "month": F.month("ts"), "weekday": F.dayofweek("ts")}
+    train, test = (df.withColumns(shape) for df in split(spark, sf_dir))
+    encoded = oof.target_encode(train, "user_id", smoothing=10.0, name="user_te").withColumnRenamed("user_te_count", "user_n")
+    return encoded, oof.target_encode_scoring(test, train, "user_id", smoothing=10.0, name="user_te").withColumnRenamed("user_te_count", "user_n")
+
+
 _ASSEMBLED = ["price", "purchased", "month", "weekday", "user_te", "user_n"]
 
 
-@query("""WITH t AS (SELECT id, user_id, fold, scoring, rating, price, CAST(purchased AS INT) AS purchased, month(ts) AS month, dayofweek(ts) + 1 AS weekday FROM folded), tr AS (SELECT * FROM t WHERE NOT scoring), g AS (SELECT avg(rating) AS prior FROM tr),
+_SHAPED = """t AS (SELECT id, user_id, fold, scoring, rating, price, CAST(purchased AS INT) AS purchased, month(ts) AS month, dayofweek(ts) + 1 AS weekday FROM folded), tr AS (SELECT * FROM t WHERE NOT scoring), g AS (SELECT avg(rating) AS prior FROM tr),
   o AS (SELECT c.user_id, c.fold, sum(r.rating) AS s, count(*) AS n FROM (SELECT DISTINCT user_id, fold FROM tr) c JOIN tr r ON c.user_id = r.user_id AND c.fold <> r.fold GROUP BY ALL), u AS (SELECT user_id, sum(rating) AS s, count(*) AS n FROM tr GROUP BY 1),
   f AS (SELECT t.*, CASE WHEN coalesce(o.n, u2.n) > 0 THEN (coalesce(o.s, u2.s) + 10.0 * prior) / (coalesce(o.n, u2.n) + 10.0) ELSE prior END AS user_te, coalesce(o.n, u2.n, 0) AS user_n
     FROM t LEFT JOIN o ON NOT t.scoring AND t.user_id = o.user_id AND t.fold = o.fold LEFT JOIN u u2 ON t.scoring AND t.user_id = u2.user_id, g),
-  s AS (SELECT avg(price) AS a1, stddev_pop(price) AS s1, avg(purchased) AS a2, stddev_pop(purchased) AS s2, avg(month) AS a3, stddev_pop(month) AS s3, avg(weekday) AS a4, stddev_pop(weekday) AS s4, avg(user_te) AS a5, stddev_pop(user_te) AS s5, avg(user_n) AS a6, stddev_pop(user_n) AS s6 FROM f WHERE NOT scoring)
+  s AS (SELECT avg(price) AS a1, stddev_pop(price) AS s1, avg(purchased) AS a2, stddev_pop(purchased) AS s2, avg(month) AS a3, stddev_pop(month) AS s3, avg(weekday) AS a4, stddev_pop(weekday) AS s4, avg(user_te) AS a5, stddev_pop(user_te) AS s5, avg(user_n) AS a6, stddev_pop(user_n) AS s6 FROM f WHERE NOT scoring)"""
+
+
+@query("WITH " + _SHAPED + """
   SELECT id, CASE WHEN scoring THEN 'test' ELSE 'train' END AS split, round((price - a1) / s1, 6) + 0.0 AS price, round((purchased - a2) / s2, 6) + 0.0 AS purchased, round((month - a3) / s3, 6) + 0.0 AS month, round((weekday - a4) / s4, 6) + 0.0 AS weekday,
   round((user_te - a5) / s5, 6) + 0.0 AS user_te, round((user_n - a6) / s6, 6) + 0.0 AS user_n FROM f, s""")
 def assemble_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Both splits end to end: row features, leak-free user encodings (out of fold for training rows, from all of them for scoring rows), scaling fitted on training rows, one vector a row, written and read back."""
-    shape = {"purchased": F.col("purchased").cast("int"), "month": F.month("ts"), "weekday": F.dayofweek("ts")}
-    train, test = (df.withColumns(shape) for df in split(spark, sf_dir))
-    encoded = oof.target_encode(train, "user_id", smoothing=10.0, name="user_te").withColumnRenamed("user_te_count", "user_n")
-    scored = oof.target_encode_scoring(test, train, "user_id", smoothing=10.0, name="user_te").withColumnRenamed("user_te_count", "user_n")
+    encoded, scored = _encoded(spark, sf_dir)
     rows = assemble.assemble(encoded, scored, _ASSEMBLED, io.scratch(spark, "assembled")).withColumn("v", vector_to_array("features"))
     return Q(rows.select("id", "split", *[F.col("v")[i].alias(c) for i, c in enumerate(_ASSEMBLED)]))
 
 
+@query("WITH " + textual.NORMALIZED + textual.layers(4, 2) + ", " + _SHAPED + """, words AS (SELECT doc_id, length(coalesce(text, '')) AS chars, len(regexp_extract_all(lower(coalesce(text, '')), '([a-z0-9][a-z0-9]+)', 1)) AS words FROM documents)
+  SELECT f.id, CASE WHEN scoring THEN 'test' ELSE 'train' END AS split, CAST(6 + 2 + 4 + 64 AS INT) AS width, round((price - a1) / s1, 6) + 0.0 AS price, round((user_te - a5) / s5, 6) + 0.0 AS user_te, round((user_n - a6) / s6, 6) + 0.0 AS user_n,
+  round(coalesce(ln(1 + chars), 0), 6) AS chars, round(coalesce(ln(1 + words), 0), 6) AS words, round(coalesce(e0, 0), 6) + 0.0 AS e0, round(coalesce(e3, 0), 6) + 0.0 AS e3, round(coalesce(CAST(embedding[1] AS DOUBLE), 0), 6) + 0.0 AS v0, round(coalesce(CAST(embedding[64] AS DOUBLE), 0), 6) + 0.0 AS v63
+  FROM f LEFT JOIN words ON words.doc_id = f.id LEFT JOIN final ON node = 'u' || user_id LEFT JOIN embeddings ON vec_id = f.id, s""")
+def assemble_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics, text, graph and dense vectors of both splits side by side, from tables in buckets of the row id: some of the 76 values of each row."""
+    train, test = _encoded(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    text = docs.select("id", F.array(F.log1p(F.length("text")), F.log1p(F.size(tfidf.words(F.col("text"))))).alias("v"))
+    nodes = textual.propagated(spark, sf_dir, 4, 2)
+    users = split_join(folded(spark, sf_dir).select("id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("node")), nodes, "node", "inner").select("id", "e")
+    dense = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    blocks = {"text": (text, "v", 2), "graph": (users, "e", 4), "dense": (dense, "embedding", 64)}
+    rows = assemble.assemble_blocks(train, test, _ASSEMBLED, blocks, io.scratch(spark, "blocks"))
+    at = {"price": 0, "user_te": 4, "user_n": 5, "chars": 6, "words": 7, "e0": 8, "e3": 11, "v0": 12, "v63": 75}
+    return Q(rows.select("id", "split", F.size("features").alias("width"), *[F.col("features")[i].alias(c) for c, i in at.items()]))
+
+
 @query("""SELECT 'price' AS "column", CAST(sum(CASE WHEN id % 9 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_bad FROM order_reviews UNION ALL SELECT 'rating', CAST(0 AS BIGINT)""")
 def null_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = folded(spark, sf_dir).withColumn("price", F.when(F.col("id") % 9 == 0, None).otherwise(F.col("price")))

@@ -234,7 +234,7 @@ def svd_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- graph
 
 _EDGES = """pairs AS (SELECT user_id, prod_id, CAST(count(*) AS DOUBLE) AS w FROM reviews GROUP BY ALL), edges AS (SELECT 'u' || user_id AS src, 'i' || prod_id AS dst, w FROM pairs UNION ALL SELECT 'i' || prod_id, 'u' || user_id, w FROM pairs)"""
-_NORM = _EDGES + ", deg AS (SELECT src, greatest(sum(w), 1) AS d FROM edges GROUP BY src), norm AS (SELECT e.src, e.dst, e.w / sqrt(a.d * b.d) AS w FROM edges e JOIN deg a ON e.src = a.src JOIN deg b ON e.dst = b.src)"
+NORMALIZED = _EDGES + ", deg AS (SELECT src, greatest(sum(w), 1) AS d FROM edges GROUP BY src), norm AS (SELECT e.src, e.dst, e.w / sqrt(a.d * b.d) AS w FROM edges e JOIN deg a ON e.src = a.src JOIN deg b ON e.dst = b.src)"
 
 
 @query("WITH " + _EDGES + " SELECT src, dst, w FROM edges")
@@ -242,7 +242,7 @@ def bipartite_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.bipartite_edges(reviews(spark, sf_dir))
 
 
-@query("WITH " + _NORM + " SELECT src, dst, round(w, 6) AS w FROM norm")
+@query("WITH " + NORMALIZED + " SELECT src, dst, round(w, 6) AS w FROM norm")
 def normalized_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(graph.normalized(graph.bipartite_edges(reviews(spark, sf_dir))))
 
@@ -257,22 +257,27 @@ def _start(k: int) -> str:
     return f"('0x' || substr(md5(src || '#{k}'), 1, 6))::BIGINT / 16777216.0 - 0.5 AS e{k}"
 
 
-def _layers(dims: int, layers: int) -> str:
+def layers(dims: int, n: int) -> str:
     out = f", l0 AS (SELECT src AS node, {', '.join(_start(k) for k in range(dims))} FROM (SELECT DISTINCT src FROM edges))"
-    for i in range(1, layers + 1):
+    for i in range(1, n + 1):
         out += f", l{i} AS (SELECT dst AS node, {', '.join(f'sum(w * e{k}) AS e{k}' for k in range(dims))} FROM norm JOIN l{i - 1} ON src = node GROUP BY dst)"
-    union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(layers + 1))
-    return out + f", final AS (SELECT node, {', '.join(f'sum(e{k}) / {layers + 1} AS e{k}' for k in range(dims))} FROM ({union}) GROUP BY node)"
+    union = " UNION ALL ".join(f"SELECT * FROM l{i}" for i in range(n + 1))
+    return out + f", final AS (SELECT node, {', '.join(f'sum(e{k}) / {n + 1} AS e{k}' for k in range(dims))} FROM ({union}) GROUP BY node)"
 
 
-@query("WITH " + _NORM + _layers(4, 3) + " SELECT node, round(e0, 6) + 0.0 AS e0, round(e1, 6) + 0.0 AS e1, round(e2, 6) + 0.0 AS e2, round(e3, 6) + 0.0 AS e3 FROM final")
+def propagated(spark: SparkSession, sf_dir: str, dims: int, n: int) -> DataFrame:
+    edges = _normal(spark, sf_dir)
+    return graph.propagate(edges, graph.hashed_vectors(edges, dims), dims, n)
+
+
+@query("WITH " + NORMALIZED + layers(4, 3) + " SELECT node, round(e0, 6) + 0.0 AS e0, round(e1, 6) + 0.0 AS e1, round(e2, 6) + 0.0 AS e2, round(e3, 6) + 0.0 AS e3 FROM final")
 def propagate_k3(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = _normal(spark, sf_dir)
     out = graph.propagate(edges, graph.hashed_vectors(edges, 4), 4)
     return Q(out.select("node", *[F.col("e")[k].alias(f"e{k}") for k in range(4)]))
 
 
-@query("WITH " + _NORM + _layers(64, 3) + f" SELECT node, round(sqrt({' + '.join(f'e{k} * e{k}' for k in range(64))}), 6) AS norm, round(e0, 6) + 0.0 AS e0, round(e63, 6) + 0.0 AS e63 FROM final")
+@query("WITH " + NORMALIZED + layers(64, 3) + f" SELECT node, round(sqrt({' + '.join(f'e{k} * e{k}' for k in range(64))}), 6) AS norm, round(e0, 6) + 0.0 AS e0, round(e63, 6) + 0.0 AS e63 FROM final")
 def propagate_64(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three layers of 64 dimensions, exported and read back: norms, first and last dimension."""
     edges = _normal(spark, sf_dir)
@@ -286,7 +291,7 @@ def degree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Triples with negatives that the user has not: of 8 draws, the first that is none of the user's own.
-_TRIPLES = _NORM + _layers(2, 1) + """, items AS (SELECT prod_id, row_number() OVER (ORDER BY prod_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prod_id FROM reviews)),
+_TRIPLES = NORMALIZED + layers(2, 1) + """, items AS (SELECT prod_id, row_number() OVER (ORDER BY prod_id) - 1 AS r, count(*) OVER () AS n FROM (SELECT DISTINCT prod_id FROM reviews)),
   drawn AS (SELECT p.user_id, p.prod_id, x.prod_id AS neg, d FROM pairs p, range(8) k(d), items x WHERE x.r = ('0x' || substr(md5('42/' || d || '/' || p.user_id || '/' || p.prod_id), 1, 8))::BIGINT % x.n),
   t AS (SELECT 'u' || user_id AS u, 'i' || prod_id AS i, 'i' || arg_min(neg, d) AS j FROM drawn ANTI JOIN (SELECT user_id, prod_id AS neg FROM pairs) USING (user_id, neg) GROUP BY user_id, prod_id),
   s AS (SELECT u, i, j, a.e0 AS u0, a.e1 AS u1, b.e0 - c.e0 AS d0, b.e1 - c.e1 AS d1, a.e0 * (b.e0 - c.e0) + a.e1 * (b.e1 - c.e1) AS gap FROM t JOIN final a ON a.node = u JOIN final b ON b.node = i JOIN final c ON c.node = j)"""
