@@ -1,7 +1,7 @@
 """Lexicon features: hits, valence, polarity.
 
 Lexicons are tables (word, valence, polarity, subjectivity), read from a path or learned from
-labelled texts; the small one here is an example for English.
+labelled texts.
 """
 
 from __future__ import annotations
@@ -10,18 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from starling.operators.joins import split_join
 
-#: Own example words with valence (-4 to 4), polarity (-1 to 1) and subjectivity (0 to 1).
-WORDS = {
-    "good": (1.9, 0.7, 0.6), "great": (3.1, 0.8, 0.75), "best": (3.2, 1.0, 0.3), "nice": (1.8, 0.6, 1.0), "love": (3.2, 0.5, 0.6), "happy": (2.7, 0.8, 1.0),
-    "the": (0.1, 0.1, 0.1), "and": (0.2, 0.1, 0.2), "bad": (-2.5, -0.7, 0.67), "worst": (-3.1, -1.0, 1.0), "poor": (-2.1, -0.4, 0.6), "hate": (-2.7, -0.8, 0.9),
-    "stupid": (-2.4, -0.8, 1.0), "trash": (-1.9, -0.5, 0.7), "worthless": (-2.1, -0.8, 0.9), "loser": (-2.4, -0.5, 0.8), "of": (-0.1, -0.1, 0.1), "to": (-0.2, -0.1, 0.2),
-}
-
-
-def lexicon(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame([(w, *v) for w, v in WORDS.items()], "word string, valence double, polarity double, subjectivity double")
-
-
 def read_lexicon(spark: SparkSession, path: str) -> DataFrame:
     """A lexicon from Parquet, or from a CSV file with a header."""
     rows = spark.read.option("header", True).csv(path) if path.endswith((".csv", ".csv.gz")) else spark.read.parquet(path)
@@ -77,7 +65,3 @@ def polarity(docs: DataFrame, key: str, text: str, words: DataFrame) -> DataFram
     """key, mean polarity and subjectivity of the tokens in the lexicon, 0 without any."""
     means = scored_tokens(docs, key, text, words).groupBy(key).agg(F.avg("polarity").alias("polarity"), F.avg("subjectivity").alias("subjectivity"))
     return docs.select(key).join(means, key, "left").fillna(0.0, ["polarity", "subjectivity"])
-
-
-def sql_lexicon() -> str:
-    return "lexicon(word, valence, polarity, subjectivity) AS (VALUES " + ", ".join(f"('{w}', CAST({a} AS DOUBLE), CAST({b} AS DOUBLE), CAST({c} AS DOUBLE))" for w, (a, b, c) in WORDS.items()) + ")"

@@ -12,6 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from starling.operators.joins import split_join
 from starling.sources.io import materialize, scratch
 
 #: Numbers of a block of rows against a blend grid.
@@ -75,6 +76,28 @@ def coverage(long: DataFrame, expected: DataFrame, least: int = 3) -> DataFrame:
     return out.crossJoin(F.broadcast(enough)).select("model", "n", "complete", "enough")
 
 
+def pool(long: DataFrame, expected: DataFrame, least: int = 3) -> tuple[DataFrame, list[str], DataFrame]:
+    """(split, id and a column for each model that enters; their names; model, split, n, expected, enters of all models).
+
+    long: model, split, id, pred; expected: split, id. A model enters if it has one prediction, not
+    null, for every expected id of every split; what it has for other ids is passed over. Fewer than
+    ``least`` such models are an error. Of repeated predictions the smallest counts.
+    """
+    spark = long.sparkSession
+    wanted = materialize(expected.select("split", "id").distinct(), scratch(spark, "expected"))
+    known = long.where("pred IS NOT NULL").select("model", "split", "id", "pred").join(wanted, ["split", "id"], "left_semi")
+    once = materialize(known.groupBy("model", "split", "id").agg(F.min("pred").alias("pred")), scratch(spark, "predictions"))
+    sizes = wanted.groupBy("split").agg(F.count(F.lit(1)).alias("expected"))
+    counts = long.select("model").distinct().crossJoin(F.broadcast(sizes))  # a row for each split
+    counts = counts.join(once.groupBy("model", "split").agg(F.count(F.lit(1)).alias("n")), ["model", "split"], "left").fillna(0, ["n"])
+    whole = counts.groupBy("model").agg(F.min(F.col("n") == F.col("expected")).alias("enters"))
+    report = materialize(counts.join(whole, "model").select("model", "split", "n", "expected", "enters"), scratch(spark, "models"))
+    names = [r["model"] for r in report.where("enters").select("model").distinct().orderBy("model").collect()]  # a row for each model
+    if len(names) < least:
+        raise ValueError(f"{len(names)} models have all predictions, {least} are needed")
+    return once.where(F.col("model").isin(names)).groupBy("split", "id").pivot("model", names).agg(F.first("pred")), names, report
+
+
 def blend(weights: dict[str, float], clip: bool = True) -> Column:
     """The weighted sum of model columns."""
     total = sum((F.col(m) * w for m, w in weights.items()), start=F.lit(0.0))
@@ -161,6 +184,23 @@ def expand_variance(rows: DataFrame, pred: str, mean: Column | None = None, std:
     return out.drop("__m", "__s", "__tm", "__ts")
 
 
+def write_blends(rows: DataFrame, blends: dict[str, Column], path: str, key: str = "id") -> DataFrame:
+    """Writes all blends as prediction files in one job, a folder ``blend=<name>`` each, and reads them: blend, id, rating (text with six decimals)."""
+    long = rows.select(key, F.inline(F.array(*[F.struct(F.lit(name).alias("blend"), value.cast("double").alias("value")) for name, value in blends.items()])))
+    long.select("blend", F.col(key).alias("id"), F.format_string("%.6f", "value").alias("rating")).write.mode("overwrite").option("header", True).partitionBy("blend").csv(path)
+    kinds = f"id {rows.schema[key].dataType.simpleString()}, rating double, blend string"
+    return rows.sparkSession.read.option("header", True).schema(kinds).csv(path).select("blend", "id", "rating")
+
+
+def missing_predictions(written: DataFrame, blends: Sequence[str], expected: DataFrame) -> DataFrame:
+    """blend, missing, extra: ids that each set lacks or has too many (others, or again)."""
+    n = expected.select("id").distinct().agg(F.count(F.lit(1)).alias("n"))
+    own = split_join(written, expected.select("id").distinct().withColumn("__known", F.lit(1)), "id")
+    found = own.groupBy("blend").agg(F.countDistinct(F.when(F.col("__known") == 1, F.col("id"))).alias("right"), F.count(F.lit(1)).alias("rows"))
+    names = written.sparkSession.createDataFrame([(b,) for b in blends], "blend string")
+    return names.join(found, "blend", "left").fillna(0, ["right", "rows"]).crossJoin(F.broadcast(n)).select("blend", (F.col("n") - F.col("right")).alias("missing"), (F.col("rows") - F.col("right")).alias("extra"))  # one row
+
+
 def ladder(rows: DataFrame, a: str, b: str, shares: Sequence[float]) -> DataFrame:
     """share, mean and deviation of each blend of two columns: what a set of outputs would look like."""
     pairs = F.array(*[F.struct(F.lit(float(s)).alias("share"), blend({a: s, b: 1 - s}).alias("pred")) for s in shares])

@@ -48,7 +48,7 @@ def unique_dimension(dimension: DataFrame, key: str, order: Sequence[str]) -> Da
 def chain_lookup(rows: DataFrame, *hops: tuple[DataFrame, str]) -> DataFrame:
     """Left joins one after the other, each on a column that the one before may have brought."""
     for df, key in hops:
-        rows = rows.join(df, key, "left")
+        rows = split_join(rows, df, key)
     return rows
 
 

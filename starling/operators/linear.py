@@ -5,29 +5,46 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from starling.operators import blocks
+
+
+#: Sums of products that one pass keeps in a task.
+NUMBERS = 1 << 24
+
 
 def fold_grams(rows: DataFrame, features: Sequence[str], target: str = "rating", k: int = 5) -> np.ndarray:
-    """k matrices of sums of products of (1, features, target): one pass, p² numbers a fold reach the driver."""
-    names, width = [*features, target], len(features) + 2
+    """k matrices of sums of products of (1, features, target); p² numbers a fold reach the driver.
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        total = np.zeros((k, width, width))
-        for pdf in batches:
-            x = np.column_stack([np.ones(len(pdf)), pdf[names].to_numpy(float)])
-            for f in range(k):
-                own = x[pdf["fold"].to_numpy() == f]
-                total[f] += own.T @ own
-        yield pd.DataFrame({"fold": np.repeat(np.arange(k), width * width), "cell": np.tile(np.arange(width * width), k), "v": total.ravel()})
-
-    parts = rows.select(F.col("fold").cast("int").alias("fold"), *[F.col(c).cast("double").alias(c) for c in names])
-    sums = parts.mapInPandas(blocks, "fold int, cell int, v double").groupBy("fold", "cell").agg(F.sum("v").alias("v"))
-    out = np.zeros((k, width * width))
-    for row in sums.collect():  # k * p² numbers
-        out[row["fold"], row["cell"]] = row["v"]
-    return out.reshape(k, width, width)
+    One pass while all k matrices have NUMBERS numbers at most; beyond that (1,800 features and
+    more, at five folds) one pass for each group of columns that do, so that a task's memory is
+    bounded. Tasks send blocks of sums, not rows of single numbers.
+    """
+    names, width = [*features, target], len(features) + 2
+    step = max(1, NUMBERS // (k * width))
+    parts = rows.select(F.col("fold").cast("int").alias("fold"), F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+
+    def products(lo: int, hi: int) -> np.ndarray:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total, some = np.zeros((k, width, hi - lo)), False
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                x = np.ones((batch.num_rows, width))
+                x[:, 1:] = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(-1, width - 1)
+                fold, some = batch.column("fold").to_numpy(zero_copy_only=False), True
+                for f in range(k):
+                    own = x[fold == f]
+                    total[f] += own.T @ own[:, lo:hi]
+            if some:
+                for f in range(k):
+                    yield from blocks.cut(f, total[f])
+
+        return blocks.summed(parts.mapInArrow(run, blocks.KINDS), k, width, hi - lo)
+
+    return np.concatenate([products(lo, min(lo + step, width)) for lo in range(0, width, step)], axis=2)
 
 
 def solve(gram: np.ndarray, alpha: float) -> np.ndarray:

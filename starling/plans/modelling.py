@@ -80,9 +80,9 @@ def blend_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(en.score_blends(base_models(spark, sf_dir), en.pair_grid("m_user", "m_month")))
 
 
-@query("WITH " + _BASE + ", w AS (SELECT i / 20.0 AS a, j / 20.0 AS b, (20 - i - j) / 20.0 AS c, row_number() OVER (ORDER BY i, j) - 1 AS idx FROM range(21) r(i), range(21) s(j) WHERE i + j <= 20), e AS (SELECT idx, a, b, c, sqrt(avg(pow(greatest(1, least(5, a * m_user + b * m_year + c * m_month)) - y, 2))) AS rmse FROM base, w GROUP BY ALL) SELECT CAST(idx AS INT) AS idx, round(a, 6) AS w_m_user, round(b, 6) AS w_m_year, round(c, 6) AS w_m_month, round(rmse, 6) AS rmse FROM e")
+@query("WITH " + _BASE + ", w AS (SELECT i / 100.0 AS a, j / 100.0 AS b, (100 - i - j) / 100.0 AS c, row_number() OVER (ORDER BY i, j) - 1 AS idx FROM range(101) r(i), range(101) s(j) WHERE i + j <= 100), e AS (SELECT idx, a, b, c, sqrt(avg(pow(greatest(1, least(5, a * m_user + b * m_year + c * m_month)) - y, 2))) AS rmse FROM base, w GROUP BY ALL) SELECT CAST(idx AS INT) AS idx, round(a, 6) AS w_m_user, round(b, 6) AS w_m_year, round(c, 6) AS w_m_month, round(rmse, 6) AS rmse FROM e")
 def simplex_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(en.score_blends(base_models(spark, sf_dir), en.simplex(_MODELS, 20)))
+    return Q(en.score_blends(base_models(spark, sf_dir), en.simplex(_MODELS, 100)))
 
 
 @query("WITH " + _BASE + ", e AS (SELECT i, sqrt(avg(pow(greatest(1, least(5, i / 100.0 * m_user + (1 - i / 100.0) * m_month)) - y, 2))) AS rmse FROM base, range(101) r(i) GROUP BY i) SELECT round(i / 100.0, 6) AS w_m_user, round(1 - i / 100.0, 6) AS w_m_month, round(rmse, 6) AS rmse FROM e ORDER BY round(rmse, 9), i LIMIT 1")
@@ -379,18 +379,44 @@ def both_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return oof.safe_target_encode(train.withColumn("y", F.col("rating").cast("double")), keys, smoothing=1.0), scored
 
 
+def base_predictions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(model, split, id, pred of four models, one of which covers half of the training rows; training rows; scoring rows)."""
+    train, test = both_sides(spark, sf_dir)
+    train, test = io.materialize(train, io.scratch(spark, "base-train")), io.materialize(test, io.scratch(spark, "base-test"))
+    cells = F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.col(m).alias("pred")) for m in _MODELS], F.struct(F.lit("m_part").alias("model"), F.when((F.col("split") == "test") | (F.col("id") % 2 == 0), F.col("m_user")).alias("pred"))))
+    both = train.select("id", *_MODELS, F.lit("train").alias("split")).unionByName(test.select("id", *_MODELS, F.lit("test").alias("split")))
+    return both.select("split", "id", cells), train, test
+
+
+def _pooled(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides for stacking, with the models that enter."""
+    long, train, test = base_predictions(spark, sf_dir)
+    wide, names, _ = en.pool(long, train.select("id", F.lit("train").alias("split")).unionByName(test.select("id", F.lit("test").alias("split"))))
+    wide = io.materialize(wide, io.scratch(spark, "pool"))
+    learned = split_join(train.select("id", "fold", "y"), wide.where("split = 'train'").drop("split"), "id", "inner")
+    return learned, wide.where("split = 'test'").drop("split"), names
+
+
+@query("""WITH k(model) AS (VALUES ('m_user'), ('m_year'), ('m_month'), ('m_part')), e AS (SELECT CASE WHEN scoring THEN 'test' ELSE 'train' END AS split, count(*) AS expected, sum(CASE WHEN scoring OR id % 2 = 0 THEN 1 ELSE 0 END) AS part FROM folded GROUP BY 1)
+  SELECT model, split, CAST(CASE WHEN model = 'm_part' THEN part ELSE expected END AS BIGINT) AS n, CAST(expected AS BIGINT) AS expected, model <> 'm_part' AS enters FROM k, e""")
+def stack_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which base models enter the stack, and what each has."""
+    long, train, test = base_predictions(spark, sf_dir)
+    return en.pool(long, train.select("id", F.lit("train").alias("split")).unionByName(test.select("id", F.lit("test").alias("split"))))[2]
+
+
 @query()
 def stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Meta-learners over the base models' out-of-fold predictions; the best by RMSE, with its predictions' spread."""
-    train, test = both_sides(spark, sf_dir)
-    return Q(st.stack(train, test, _MODELS, rounds=3).scores)
+    """Meta-learners over the out-of-fold predictions of the models that are complete; the best by RMSE, with its predictions' spread."""
+    train, test, names = _pooled(spark, sf_dir)
+    return Q(st.stack(train, test, names, rounds=3).scores)
 
 
 @query()
 def stack_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best stack's prediction file for the scoring set: expanded, clipped, written, its ids checked, and read back."""
-    train, test = both_sides(spark, sf_dir)
-    return st.submission(st.stack(train, test, _MODELS, rounds=3), test, io.scratch(spark, "submission"))
+    train, test, names = _pooled(spark, sf_dir)
+    return st.submission(st.stack(train, test, names, rounds=3), test, io.scratch(spark, "submission"))
 
 
 @query("WITH " + _BASE + " SELECT id, round((m_user + m_year + m_month) / 3, 6) AS pred FROM base")
@@ -412,13 +438,11 @@ def preset_blends(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _BASE + ", p AS (SELECT i / 4.0 AS share, round(greatest(1, least(5, i / 4.0 * m_user + (1 - i / 4.0) * m_year)), 6) AS pred FROM base, range(5) r(i)) SELECT round(share, 6) AS share, round(avg(pred), 4) AS mean, CAST(count(*) AS BIGINT) AS n FROM p GROUP BY share")
 def blend_outputs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A ladder of blends, each written as a prediction file of its own, and what the files hold."""
-    base = io.materialize(base_models(spark, sf_dir).select("id", "m_user", "m_year"), io.scratch(spark, "ladder"))
-    out = None
-    for i in range(5):
-        path = io.scratch(spark, f"blend-{i * 25}")
-        io.write_predictions(base.select("id", en.blend({"m_user": i / 4, "m_year": 1 - i / 4}).alias("rating")), path)
-        read = io.cast_columns(io.read_text_csv(spark, path, ["id", "rating"]), {"rating": "double"})
-        own = read.agg(F.lit(i / 4).alias("share"), F.round(F.avg("rating"), 4).alias("mean"), F.count(F.lit(1)).alias("n"))
-        out = own if out is None else out.unionByName(own)
-    return Q(out)
+    """A ladder of blends written by one job, a prediction file set for each, and what the files hold."""
+    rows = base_models(spark, sf_dir).select("id", "m_user", "m_year")
+    shares = {f"{i * 25:03d}": i / 4 for i in range(5)}
+    written = en.write_blends(rows, {name: en.blend({"m_user": x, "m_year": 1 - x}) for name, x in shares.items()}, io.scratch(spark, "blends"))
+    wrong = en.missing_predictions(written, list(shares), rows).where("missing <> 0 OR extra <> 0")
+    if not wrong.isEmpty():
+        raise ValueError(f"incomplete outputs: {wrong.collect()}")  # a row for each blend
+    return Q(written.groupBy((F.col("blend").cast("int") / 100.0).alias("share")).agg(F.round(F.avg("rating"), 4).alias("mean"), F.count(F.lit(1)).alias("n")))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from starling.functions import scalar as fn
-from starling.operators import joins, stats
+from starling.operators import joins, sketches, stats
 from starling.plans.registry import query
 from starling.sources import io
 from starling.sources.quoted_csv import read_quoted_csv
@@ -106,6 +106,16 @@ def metrics_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return io.latest_metrics(spark, path)
 
 
+@query("""SELECT name, value FROM (SELECT 'load.rows' AS name, CAST(count(*) AS DOUBLE) AS value FROM events UNION ALL SELECT 'load.rejected', sum(CASE WHEN value BETWEEN 1 AND 50 THEN 0 ELSE 1 END) FROM events
+  UNION ALL SELECT 'load.nulls.k', count(*) - count(TRY_CAST(json_extract_string(props, '$.k') AS DOUBLE)) FROM events UNION ALL SELECT 'load.nulls.value', count(*) - count(value) FROM events UNION ALL SELECT 'run.step', 2)""")
+def observed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a load, taken while it writes, merged into the metrics of an earlier run."""
+    rows = table(spark, sf_dir, "events").select("event_id", "value", F.get_json_object("props", "$.k").alias("k"))
+    found = io.write_observed(io.cast_columns(rows, {"k": "double"}), io.scratch(spark, "observed"), valid=F.col("value").between(1, 50), nulls=["k", "value"])
+    merged = io.merge_metrics({"run": {"step": 1}, "load": {"rows": -1}}, {"load": found, "run": {"step": 2}})
+    return spark.createDataFrame(sorted((name, float(v)) for name, v in io.flat_metrics(merged).items()), "name string, value double")
+
+
 @query("SELECT user_id, CAST(count(*) AS BIGINT) AS n FROM order_reviews GROUP BY user_id")
 def reuse_artifact(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = io.scratch(spark, "artifact")
@@ -217,7 +227,7 @@ def two_hop_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def composite_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = reviews(spark, sf_dir)
     pairs = rows.groupBy("user_id", "main_category").agg(F.avg("rating").alias("pair_mean"), F.count(F.lit(1)).alias("pair_n"))
-    return Q(rows.select("id", "prod_id", "user_id", "main_category").join(pairs, ["user_id", "main_category"], "left"))
+    return Q(rows.select("id", "prod_id", "user_id", "main_category").transform(lambda r: joins.split_join(r, pairs, ["user_id", "main_category"])))
 
 
 @query("""WITH a AS (SELECT prod_id, avg(rating) AS m FROM reviews GROUP BY 1), b AS (SELECT prod_id, sum(votes) AS v FROM reviews GROUP BY 1)
@@ -330,6 +340,22 @@ def numeric_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(stats.numeric_summary(table(spark, sf_dir, "events"), "value"))
 
 
+_EXACT = "SELECT event_type AS part, value AS v, user_id FROM events UNION ALL SELECT 'all', value, user_id FROM events"
+
+
+@query(f"""WITH x AS ({_EXACT}) SELECT part, CAST(count(*) AS BIGINT) AS n, true AS median_close, true AS p99_close, true AS distinct_close FROM x GROUP BY part""")
+def sketched_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Medians, 99 % quantiles and distinct users of each type of event and, merged from these sketches, of all events; each is held against the exact ranks and counts."""
+    events = table(spark, sf_dir, "events").select(F.col("event_type").alias("part"), "value", "user_id")
+    kept = io.materialize(sketches.sketch_groups(events, ["part"], "value", "user_id"), io.scratch(spark, "sketches"))
+    whole = sketches.merged(kept).withColumn("part", F.lit("all"))
+    told = sketches.asked(kept.unionByName(whole), {"median": 0.5, "p99": 0.99})
+    both = events.unionByName(events.withColumn("part", F.lit("all"))).join(F.broadcast(told), "part")  # a row for each type
+    share = lambda q: F.abs(F.avg((F.col("value") <= F.col(q)).cast("double")) - {"median": 0.5, "p99": 0.99}[q]) < 0.02
+    out = both.groupBy("part").agg(F.count(F.lit(1)).alias("n"), share("median").alias("median_close"), share("p99").alias("p99_close"), F.countDistinct("user_id").alias("exact"), F.first("n_distinct").alias("told"))
+    return out.select("part", "n", "median_close", "p99_close", (F.abs(F.col("told") / F.col("exact") - 1) < 0.06).alias("distinct_close"))
+
+
 @query("""SELECT epoch_us(min(ts)) // 1000 AS first_ms, epoch_us(max(ts)) // 1000 AS last_ms, strftime(min(ts), '%Y-%m-%dT%H:%M:%S') AS first_iso, strftime(max(ts), '%Y-%m-%dT%H:%M:%S') AS last_iso FROM events""")
 def time_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.time_range(table(spark, sf_dir, "events"), "ts")

@@ -13,12 +13,6 @@ from starling.sources.views import order_reviews, reviews, table
 
 _WS = r"regexp_replace({0}, '[\t\n\v\f\r ]+', ' ', 'g')"
 _TOK = "string_split(lower(trim(" + _WS + ", ' ')), ' ')"
-_POS, _NEG = sorted(w for w, v in lx.WORDS.items() if v[0] > 0), sorted(w for w, v in lx.WORDS.items() if v[0] < 0)
-
-
-@query(f"""SELECT doc_id, CAST(len(list_intersect(list_distinct({_TOK.format('text')}), {_POS})) AS INT) AS pos_hits, CAST(len(list_intersect(list_distinct({_TOK.format('text')}), {_NEG})) AS INT) AS neg_hits FROM documents""")
-def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", lx.hits(F.col("text"), _POS).alias("pos_hits"), lx.hits(F.col("text"), _NEG).alias("neg_hits"))
 
 
 _LEARNED = f"""marked AS (SELECT doc_id, max(quality) AS y FROM labels GROUP BY doc_id), seen AS (SELECT y, unnest(list_distinct({_TOK.format('text')})) AS word FROM documents JOIN marked USING (doc_id)),
@@ -36,13 +30,22 @@ def learned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q(_learned(spark, sf_dir).drop("polarity"))
 
 
+@query("WITH " + _LEARNED + f""", pos AS (SELECT list(word) AS ws FROM (SELECT word FROM lexicon WHERE valence > 0 ORDER BY valence DESC, word LIMIT 100)), neg AS (SELECT list(word) AS ws FROM (SELECT word FROM lexicon WHERE valence < 0 ORDER BY valence, word LIMIT 100))
+  SELECT doc_id, CAST(len(list_intersect(list_distinct({_TOK.format('text')}), pos.ws)) AS INT) AS pos_hits, CAST(len(list_intersect(list_distinct({_TOK.format('text')}), neg.ws)) AS INT) AS neg_hits FROM documents, pos, neg""")
+def lexicon_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the 100 most positive and the 100 most negative words of the learned lexicon."""
+    lexicon = io.materialize(_learned(spark, sf_dir), io.scratch(spark, "lexicon"))
+    pos, neg = ([r["word"] for r in lexicon.where(where).orderBy(*order, "word").limit(100).collect()] for where, order in (("valence > 0", [F.desc("valence")]), ("valence < 0", [F.asc("valence")])))  # bounded lists
+    return table(spark, sf_dir, "documents").select("doc_id", lx.hits(F.col("text"), pos).alias("pos_hits"), lx.hits(F.col("text"), neg).alias("neg_hits"))
+
+
 @query("WITH " + _LEARNED + f""", tok AS (SELECT DISTINCT doc_id, unnest({_TOK.format('text')}) AS word FROM documents), h AS (SELECT doc_id, sum(CASE WHEN valence > 0 THEN 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN 1 ELSE 0 END) AS n FROM tok JOIN lexicon USING (word) GROUP BY 1)
   SELECT doc_id, CAST(coalesce(p, 0) AS BIGINT) AS pos_hits, CAST(coalesce(n, 0) AS BIGINT) AS neg_hits FROM documents LEFT JOIN h USING (doc_id)""")
 def table_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lx.table_hits(table(spark, sf_dir, "documents"), "doc_id", "text", io.materialize(_learned(spark, sf_dir), io.scratch(spark, "lexicon")))
 
 
-def _valence_sql(source: str, key: str, lexicon: str = lx.sql_lexicon()) -> str:
+def _valence_sql(source: str, key: str, lexicon: str = _LEARNED) -> str:
     return f"""{lexicon}, tok AS (SELECT {key}, unnest({_TOK.format('text')}) AS word FROM {source}), size AS (SELECT {key}, len({_TOK.format('text')}) AS size FROM {source}),
   h AS (SELECT {key}, sum(valence) AS s, sum(CASE WHEN valence > 0 THEN valence + 1 ELSE 0 END) AS p, sum(CASE WHEN valence < 0 THEN valence - 1 ELSE 0 END) AS n, count(*) AS c FROM tok JOIN lexicon USING (word) GROUP BY {key}),
   v AS (SELECT {key}, coalesce(s, 0) AS s, coalesce(p, 0) AS p, coalesce(n, 0) AS n, size - coalesce(c, 0) AS neutral FROM size LEFT JOIN h USING ({key})),
@@ -64,7 +67,7 @@ def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.conv_id, a.turn, round(abs(x.compound - y.compound), 6) AS disagreement FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' JOIN val x ON x.k = a.k JOIN val y ON y.k = b.k WHERE a.role = 'user'""")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws("/", "conv_id", "turn"))
-    val = lx.valence(turns, "k", "text", lx.lexicon(spark)).select("k", "compound")
+    val = lx.valence(turns, "k", "text", io.materialize(_learned(spark, sf_dir), io.scratch(spark, "lexicon"))).select("k", "compound")
     both = turns.join(val, "k").select("conv_id", "turn", "role", "compound")
     reply = both.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("compound").alias("other"))
     return Q(both.where("role = 'user'").join(reply, ["conv_id", "turn"]).select("conv_id", "turn", F.abs(F.col("compound") - F.col("other")).alias("disagreement")))

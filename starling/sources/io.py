@@ -5,9 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 
 
 _OWN_FOLDER: dict[str, str] = {}
@@ -109,6 +110,32 @@ def latest_metrics(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path).groupBy("name").agg(F.max_by("value", "run").alias("value"))
 
 
+def write_observed(df: DataFrame, path: str, valid=None, nulls: Sequence[str] = ()) -> dict:
+    """Writes the rows for which ``valid`` holds and returns what the write saw: rows, rejected, and nulls of columns. No second pass counts anything."""
+    ok = F.lit(True) if valid is None else F.coalesce(valid, F.lit(False))
+    seen = Observation()
+    counts = [F.count(F.lit(1)).alias("rows"), F.count_if(~F.col("__ok")).alias("rejected"), *[F.count_if(F.col(c).isNull()).alias(f"nulls.{c}") for c in nulls]]
+    df.withColumn("__ok", ok).observe(seen, *counts).where("__ok").drop("__ok").write.mode("overwrite").parquet(path)
+    got = seen.get
+    return {"rows": got["rows"], "rejected": got["rejected"], "nulls": {c: got[f"nulls.{c}"] for c in nulls}}
+
+
+def merge_metrics(old: dict, new: dict) -> dict:
+    """Nested metrics: what only one side has stays, dictionaries are merged, of two other values the new one stays."""
+    out = dict(old)
+    for name, value in new.items():
+        out[name] = merge_metrics(out[name], value) if isinstance(value, dict) and isinstance(out.get(name), dict) else value
+    return out
+
+
+def flat_metrics(nested: dict, prefix: str = "") -> dict:
+    """Numbers under dotted names."""
+    out: dict = {}
+    for name, value in nested.items():
+        out |= flat_metrics(value, f"{prefix}{name}.") if isinstance(value, dict) else {f"{prefix}{name}": value}
+    return out
+
+
 def materialize(df: DataFrame, path: str, reuse: bool = True) -> DataFrame:
     """Writes ``df`` to ``path`` unless a finished table is there already (and ``reuse``), and reads it."""
     spark = df.sparkSession
