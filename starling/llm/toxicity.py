@@ -110,6 +110,23 @@ def values(words: list[str], bucket: np.ndarray) -> np.ndarray:
     return out
 
 
+def gradients(emb: np.ndarray, soft: np.ndarray, bias: np.ndarray, bucket: np.ndarray, share: np.ndarray, owner: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of the mean cross-entropy of some documents: the buckets that they touch, the gradients of these buckets' embeddings, of the softmax and of its bias; and the probabilities.
+
+    A document's vector is the sum of its buckets' embeddings (``owner`` tells whose each is) times their shares.
+    """
+    n, dims = len(target), range(emb.shape[1])
+    docs = np.stack([np.bincount(owner, emb[bucket, k] * share, n) for k in dims], axis=1).astype(emb.dtype)
+    z = docs @ soft + bias
+    p = np.exp(z - z.max(axis=1, keepdims=True))
+    p /= p.sum(axis=1, keepdims=True)
+    dz = (p - target) / n
+    touched = np.flatnonzero(np.bincount(bucket, minlength=len(emb)))
+    ddoc = dz @ soft.T
+    demb = np.stack([np.bincount(bucket, ddoc[owner, k] * share, len(emb))[touched] for k in dims], axis=1).astype(emb.dtype)
+    return touched, demb, docs.T @ dz, dz.sum(axis=0), p
+
+
 def fit(texts: list[str], labels: list[int]) -> bytes:
     """The model: a number per bucket (its embedding along the softmax's direction) and the bias, as .npz bytes."""
     out = io.BytesIO()
@@ -144,17 +161,10 @@ def fit(texts: list[str], labels: list[int]) -> bytes:
             each = size[own]
             b, w = bucket[ragged(first[own], each)], np.repeat(share / each, each).astype(np.float32)
             owner = np.repeat(np.repeat(np.arange(len(batch)), [len(rows[i][0]) for i in batch]), each)
-            docs = np.stack([np.bincount(owner, emb[b, k] * w, len(batch)) for k in range(DIM)], axis=1).astype(np.float32)
-            z = docs @ soft + bias
-            p = np.exp(z - z.max(axis=1, keepdims=True))
-            p /= p.sum(axis=1, keepdims=True)
-            dz = (p - target[batch]) / len(batch)
-            touched = np.flatnonzero(np.bincount(b, minlength=BUCKETS))
-            ddoc = dz @ soft.T
-            demb = np.stack([np.bincount(b, ddoc[owner, k] * w, BUCKETS)[touched] for k in range(DIM)], axis=1).astype(np.float32)
+            touched, demb, dsoft, dbias, _ = gradients(emb, soft, bias, b, w, owner, target[batch])
             step += 1
             rate = RATE * (1 - epoch / epochs) * np.sqrt(1 - 0.999**step) / (1 - 0.9**step)
-            for x, g, (m, v), at in ((emb, demb, moments[0], touched), (soft, docs.T @ dz, moments[1], slice(None)), (bias, dz.sum(axis=0), moments[2], slice(None))):
+            for x, g, (m, v), at in ((emb, demb, moments[0], touched), (soft, dsoft, moments[1], slice(None)), (bias, dbias, moments[2], slice(None))):
                 m[at] = 0.9 * m[at] + 0.1 * g
                 v[at] = 0.999 * v[at] + 0.001 * g * g
                 x[at] -= rate * m[at] / (np.sqrt(v[at]) + DAMPING)

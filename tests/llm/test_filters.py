@@ -346,3 +346,26 @@ def test_long_spaced_texts_of_every_script_are_cut(alphabet):
     whole = pa.array([text])
     assert np.concatenate([ranks.encode(p)[0] for p in parts]).tolist() == ranks.encode(whole)[0].tolist()
     assert np.concatenate([encoder.encode(p)[0] for p in parts]).tolist() == encoder.encode(whole)[0].tolist()
+
+
+def test_joint_training_follows_the_gradient():
+    rng = np.random.default_rng(3)
+    parts = {"emb": rng.normal(size=(11, 4)), "soft": rng.normal(size=(4, 2)), "bias": rng.normal(size=2)}
+    bucket, owner = rng.integers(0, 9, 40), np.sort(rng.integers(0, 6, 40))
+    share, target = rng.random(40), np.eye(2)[rng.integers(0, 2, 6)]
+
+    def loss(**p):
+        docs = np.zeros((6, 4))
+        np.add.at(docs, owner, p["emb"][bucket] * share[:, None])
+        z = docs @ p["soft"] + p["bias"]
+        return -(target * (z - np.log(np.exp(z).sum(axis=1, keepdims=True)))).sum() / 6
+
+    touched, demb, dsoft, dbias, _ = toxicity.gradients(parts["emb"], parts["soft"], parts["bias"], bucket, share, owner, target)
+    assert touched.tolist() == sorted(set(bucket.tolist()))
+    whole = np.zeros((11, 4))
+    whole[touched] = demb
+    for name, want in (("emb", whole), ("soft", dsoft), ("bias", dbias)):
+        for at in np.ndindex(parts[name].shape):
+            moved = {k: v.copy() for k, v in parts.items()}
+            moved[name][at] += 1e-6
+            assert abs((loss(**moved) - loss(**parts)) / 1e-6 - want[at]) < 1e-5
