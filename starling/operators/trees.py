@@ -86,6 +86,18 @@ def weighted_text(vector: str, label: str, penalty: float, rounds: int, least_do
     return learn
 
 
+def boosted_text(vector: str, label: str, rounds: int, depth: int, least_docs: int = 2, seed: int = 42) -> Learner:
+    """The same by boosted trees; the report has the number of trees."""
+
+    def learn(rows: DataFrame) -> Fitted:
+        idf = IDF(minDocFreq=least_docs, inputCol=vector, outputCol="__x").fit(rows)
+        model = GBTClassifier(featuresCol="__x", labelCol="__y", maxIter=rounds, maxDepth=depth, seed=seed).fit(idf.transform(rows).withColumn("__y", F.col(label).cast("double")))
+        model = model.setProbabilityCol("__p").setRawPredictionCol("__r").setPredictionCol("__q")
+        return Fitted(lambda df, name: model.transform(idf.transform(df)).withColumn(name, vector_to_array("__p")[1]).drop("__x", "__p", "__r", "__q"), model.getNumTrees)
+
+    return learn
+
+
 def text_oof(rows: DataFrame, vector: str, label: str, k: int = 5, penalty: float = 0.01, rounds: int = 20) -> DataFrame:
     """rows with score = the probability of class 1 from sparse term counts; weights and models never see the predicted fold."""
     return out_of_fold(rows, weighted_text(vector, label, penalty, rounds), k, name="score").rows
