@@ -42,7 +42,7 @@ def summed(blocks: DataFrame, parts: int, height: int, width: int) -> np.ndarray
             yield _row(*now, total)
 
     out = np.zeros((parts, height, width))
-    for r in blocks.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(added, KINDS).toLocalIterator():
+    for r in blocks.repartition("part", "block").sortWithinPartitions("part", "block").mapInArrow(added, KINDS).collect():  # parts * height * width numbers at most
         own = np.frombuffer(r["sums"]).reshape(-1, width)
         out[r["part"], r["block"] * ROWS : r["block"] * ROWS + len(own)] = own
     return out
