@@ -220,7 +220,7 @@ def svd_embed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def svd_512(spark: SparkSession, sf_dir: str) -> DataFrame:
     """512 components of up to 50,000 terms: each one's singular value and the share explained up to it."""
     vocab, rows = _sparse(spark, table(spark, sf_dir, "documents"), "doc_id", "text", 50_000)
-    _, values = tfidf.truncated_svd(rows, max(vocab.count(), 1), 512)
+    _, values = tfidf.truncated_svd(rows, max(vocab.count(), 1), 512, passes=1)
     total = tfidf.explained_share(rows, values)
     upto = (values**2).cumsum() / max((values**2).sum(), 1e-300) * total
     return Q(spark.createDataFrame([(i, float(s), float(x)) for i, (s, x) in enumerate(zip(values, upto, strict=True))], "component int, singular double, explained double"), 4)
