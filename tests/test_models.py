@@ -223,3 +223,37 @@ def test_metrics(spark, tmp_path):
     assert found == {"rows": 30, "rejected": 17, "nulls": {"x": 10, "id": 0}} and spark.read.parquet(f"file://{tmp_path}/m").count() == 13
     assert io.merge_metrics({"a": {"b": 1, "c": {"d": 2}}, "x": 1}, {"a": {"c": {"e": 3}, "b": 4}, "y": {"z": 0}}) == {"a": {"b": 4, "c": {"d": 2, "e": 3}}, "x": 1, "y": {"z": 0}}
     assert io.merge_metrics({"a": 1}, {"a": {"b": 2}}) == {"a": {"b": 2}} and io.flat_metrics({"a": {"b": 2}, "c": 1}) == {"a.b": 2, "c": 1}
+
+
+def test_steps_over_cells(spark, monkeypatch):
+    """Several cells and packs a cell: one sum a node leaves a cell, degrees count ends without a name, SVD has no limit of items."""
+    monkeypatch.setattr(graph, "CELL", 12)
+    monkeypatch.setattr(graph, "PACK", 5)
+    monkeypatch.setattr(graph, "HELD", 4)
+    rng = random.Random(5)
+    pairs = [(0, i) for i in range(30)] + [(rng.randrange(12), rng.randrange(30)) for _ in range(90)]
+    rows = spark.createDataFrame([*pairs, (None, 3)], "user_id long, prod_id long")
+    cells = graph.pair_cells(rows, 3)
+    assert cells.side >= 3 and cells.packs.count() > cells.side**2 // 2
+    counts = np.zeros((12, 30))
+    for u, i in pairs:
+        counts[u, i] += 1
+    names = [f"u{u}" for u in range(12)] + [f"i{i}" for i in range(30)]
+    a = np.block([[np.zeros((12, 12)), counts], [counts.T, np.zeros((30, 30))]])
+    d = a.sum(axis=1)
+    d[names.index("i3")] += 1
+    assert {r.node: r.d for r in cells.degrees.collect()} == {n: x for n, x in zip(names, d, strict=True) if x}
+    e, start = node_vectors(spark, names[1:], 3)  # u0 has no vector
+    x = np.stack([np.zeros(3)] + [e[n] for n in names[1:]])
+    a = a / np.sqrt(np.maximum(np.outer(d, d), 1))
+    want = dict(zip(names, (x + a @ x + a @ a @ x) / 3, strict=True))
+    got = {r.node: r.e for r in graph.propagate(None, start, 3, layers=2, adjacent=cells).collect()}
+    assert got.keys() == {n for n, y in zip(names, d, strict=True) if y or n in e} and all(np.allclose(got[n], want[n]) for n in got)
+    rows = rows.where("user_id IS NOT NULL")
+    vectors, share = graph.svd_start(rows, dims=4, passes=8)
+    _, s, vt = np.linalg.svd(counts)
+    assert abs(share - (s[:4] ** 2).sum() / (counts**2).sum()) < 1e-9
+    got = {r.node: np.array(r.e) for r in vectors.collect()}
+    for n in range(4):
+        column = np.array([got.get(f"i{i}", np.zeros(4))[n] for i in range(30)])
+        assert np.allclose(np.abs(column), np.abs(vt[n]) * s[n] ** 0.5, atol=1e-6) and column[np.abs(column).argmax()] > 0
