@@ -265,3 +265,22 @@ def test_empty_tables(spark):
     assert stats.user_stats(empty).count() == 0
     assert stats.missing_rates(empty, ["price"]).first().missing_pct is None
     assert en.auc(spark.createDataFrame([], "s double, l int"), "s", "l").first().auc is None
+
+
+def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
+    """Counts and lengths by document need no shuffle but that of the texts; grams of a document none; repeated and null keys make one document."""
+    docs = spark.createDataFrame([(1, "red red green"), (1, "redder"), (2, "green tea"), (None, "tea"), (None, "red"), (3, None), (4, "a")], "d long, t string")
+    counts = tfidf.term_counts(docs, "d", "t")
+    vocab = tfidf.vocabulary(counts, "d", 10)
+    spark.createDataFrame([("red", 1.5)], "term string, idf double").write.parquet(f"file://{tmp_path}/v")
+    fixed = spark.read.parquet(f"file://{tmp_path}/v")
+    for df in (tfidf.weigh(counts, fixed, "d"), tfidf.hashed_counts(docs, "d", "t")):
+        assert df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    assert vocab.count() == 4
+    monkeypatch.setattr(tfidf, "WORDS", 2)
+    grams = tfidf.char_counts(docs, "d", "t")
+    want = {(r.d, r.term): r.weight for r in tfidf.weigh(grams, tfidf.vocabulary(grams, "d", 12), "d").collect()}
+    got = {(r.d, r.term): r.weight for r in tfidf.char_weights(docs, "d", "t", 12).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert "Exchange hashpartitioning(term" not in tfidf.char_weights(docs, "d", "t", 12)._jdf.queryExecution().executedPlan().toString()
+    assert tfidf.char_weights(docs.limit(0), "d", "t", 12).count() == 0
