@@ -27,8 +27,8 @@ from starling.llm.common import batch_of, binaries, long_parts, ragged, raw, ste
 
 #: Slices that a worker remembers; a full cache is emptied.
 CACHE_SLICES = 500_000
-#: Texts of about so many bytes are handled in one numpy step.
-STEP = 4 << 20
+#: Texts of about so many bytes are handled in one numpy step, which takes about thirty times as much.
+STEP = 1 << 20
 #: Slices of more bytes are merged with a heap, one by one.
 LONG = 32
 NONE = 1 << 60

@@ -170,3 +170,23 @@ def test_cut_points_depend_on_content():
     cut = np.split(ids, np.cumsum(sizes)[:-1])
     digests = [hashlib.sha256(c.tobytes()).digest() for c in cut]
     assert len(set(digests[: counts[0]]) & set(digests[counts[0] :])) > 20
+
+
+def test_bpe_step_is_bounded():
+    """Peak of the arrays of one step over 6 MB of texts; executors hold one a core."""
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from starling.llm import bpe, common
+
+    vocabulary = bpe.Ranks.of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    batch = pa.record_batch([pa.array(["plain words, and 12 more of them; " * 60] * 3000)], names=["text"])
+    vocabulary.encode(batch.column("text").slice(0, 1))
+    tracemalloc.start()
+    n = sum(len(vocabulary.encode(texts)[0]) for part in common.steps([batch], bpe.STEP) for texts in common.long_parts(part))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    print("peak MB", peak >> 20)
+    assert n > 1_000_000 and peak < 100 << 20
