@@ -7,9 +7,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
 
-from starling.operators import assemble, blocks, ensemble as en, folds, graph, linear, sketches, tfidf
+from starling.operators import assemble, blocks, ensemble as en, folds, graph, linear, sketches, tfidf, trees
 from starling.sources import io
 from starling.sources.store import FeatureStore
 
@@ -257,3 +259,26 @@ def test_steps_over_cells(spark, monkeypatch):
     for n in range(4):
         column = np.array([got.get(f"i{i}", np.zeros(4))[n] for i in range(30)])
         assert np.allclose(np.abs(column), np.abs(vt[n]) * s[n] ** 0.5, atol=1e-6) and column[np.abs(column).argmax()] > 0
+
+
+def test_trees_on_cells_are_those_on_rows(spark):
+    """Boosted trees on weighted cells of bins predict what Spark ML's trees on all binned rows predict, early stopping included; repeated rows add none."""
+    rng = np.random.default_rng(5)
+    a, b = rng.integers(0, 9, 3000), rng.normal(size=3000).round(1)
+    y = np.clip(np.round(3 + 0.4 * (a - 4) * (b > 0) + rng.normal(size=3000) * 0.5), 1, 5)
+    rows = spark.createDataFrame([(i, float(p), float(q), float(r)) for i, (p, q, r) in enumerate(zip(a, b, y, strict=True))], "id long, a double, b double, y double").repartition(3)
+    got = trees.boosted(["a", "b"], "y", 12, 3)(rows)
+    edges = trees.bin_edges(rows, ["a", "b"])
+    assert edges[0] == [i + 0.5 for i in range(8)] and len(edges[1]) <= trees.BINS - 1
+    x = [(int(i), float(np.searchsorted(edges[0], p)), float(np.searchsorted(edges[1], q)), float(r)) for i, (p, q, r) in enumerate(zip(a, b, y, strict=True))]
+    binned = spark.createDataFrame(x, "id long, a double, b double, y double").withColumn("v", F.pmod(F.xxhash64("id", F.lit(42)), F.lit(10)) == 0)
+    put = VectorAssembler(inputCols=["a", "b"], outputCol="x")
+    model = GBTRegressor(featuresCol="x", labelCol="y", maxIter=12, maxDepth=3, stepSize=0.1, validationIndicatorCol="v", seed=42).fit(put.transform(binned))
+    want = {r.id: r.prediction for r in model.transform(put.transform(binned)).collect()}
+    assert got.report["trees"] == model.getNumTrees
+    assert all(r.p == pytest.approx(want[r.id], abs=1e-6) for r in got.predict(rows, "p").collect())
+    flagged = binned.select("a", "b", "v", "y")
+    once, often = (trees.bin_cells(df, ["a", "b"], "y", "v").orderBy("a", "b", "v", "y").collect() for df in (flagged, flagged.unionByName(flagged).unionByName(flagged)))
+    assert len(once) == len(often) <= 2 * 2 * 9 * trees.BINS
+    assert sum(r["__w"] for r in once) == 3000 and sum(r["__w"] for r in often) == 9000
+    assert sum(r["__w"] * r.y**2 for r in often) == pytest.approx(3 * float((y**2).sum()))
