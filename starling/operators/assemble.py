@@ -48,11 +48,14 @@ def assemble_blocks(train: DataFrame, test: DataFrame, numeric: Sequence[str], b
 
     Both splits and all blocks are written in buckets of the key and lined up without a shuffle. A
     key that a block lacks has zeros there; one that it has twice, or a vector of another width, fails.
+    The splits' numbers are written once before statistics and scaling read them, and the split is
+    a column of the result's files, not a folder: folders would sort the whole vectors once more.
     """
     spark = train.sparkSession
     store = FeatureStore(spark, key, buckets)
-    scaler = materialize(fit_scaler(require(train, numeric), numeric), scratch(spark, "scaler"))
-    sides = [apply_scaler(side.select(key, *numeric), scaler, numeric).withColumn("split", F.lit(name)) for name, side in (("train", train), ("test", require(test, numeric)))]
+    train, test = (materialize(require(side, numeric).select(key, *numeric), scratch(spark, "numeric")) for side in (train, test))
+    scaler = materialize(fit_scaler(train, numeric), scratch(spark, "scaler"))
+    sides = [apply_scaler(side, scaler, numeric).withColumn("split", F.lit(name)) for name, side in (("train", train), ("test", test))]
     store.put("numeric", sides[0].unionByName(sides[1]))
     for name, (df, column, _) in blocks.items():
         store.put(name, df.select(key, F.col(column).cast("array<double>").alias(name)))
@@ -64,7 +67,7 @@ def assemble_blocks(train: DataFrame, test: DataFrame, numeric: Sequence[str], b
         whole = F.transform(name, lambda x: F.when(x.isNull() | F.isnan(x), 0.0).otherwise(x))
         parts.append(F.when(F.col(name).isNull(), F.array_repeat(F.lit(0.0), width)).when(right.isNull(), whole))
     rows = store.aligned("numeric", list(blocks)).select(key, "split", F.concat(*parts).alias("features"))
-    write_parquet(rows, path, partition_by=["split"], rows_per_file=rows_per_file)
+    write_parquet(rows, path, rows_per_file=rows_per_file)
     store.drop()
     return spark.read.parquet(path).select(key, "split", "features")
 

@@ -282,3 +282,21 @@ def test_trees_on_cells_are_those_on_rows(spark):
     assert len(once) == len(often) <= 2 * 2 * 9 * trees.BINS
     assert sum(r["__w"] for r in once) == 3000 and sum(r["__w"] for r in often) == 9000
     assert sum(r["__w"] * r.y**2 for r in often) == pytest.approx(3 * float((y**2).sum()))
+
+
+def test_blocks_compute_the_numbers_once(spark, tmp_path):
+    """Scaling, statistics and the written blocks read one written copy of the splits' numbers; whole vectors are not sorted into folders."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("double")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    train = spark.createDataFrame([(i, float(i)) for i in range(7)], "id long, x double").withColumn("x", counted.asNondeterministic()("x"))
+    test = spark.createDataFrame([(9, 5.0)], "id long, x double")
+    vec = spark.createDataFrame([(1, [1.0, 2.0])], "id long, v array<double>")
+    got = assemble.assemble_blocks(train, test, ["x"], {"v": (vec, "v", 2)}, f"file://{tmp_path}/a")
+    assert got.groupBy("split").count().orderBy("split").collect() == [("test", 1), ("train", 7)]
+    assert seen.value == 7
+    assert not list((tmp_path / "a").glob("split=*"))
