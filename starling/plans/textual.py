@@ -27,7 +27,7 @@ def _learned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH " + _LEARNED + " SELECT word, round(valence, 6) + 0.0 AS valence, round(subjectivity, 6) AS subjectivity FROM lexicon")
 def learned_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return Q(_learned(spark, sf_dir).drop("polarity"))
+    return Q(_learned(spark, sf_dir).drop("polarity", "n_docs"))
 
 
 @query("WITH " + _LEARNED + f""", pos AS (SELECT list(word) AS ws FROM (SELECT word FROM lexicon WHERE valence > 0 ORDER BY valence DESC, word LIMIT 100)), neg AS (SELECT list(word) AS ws FROM (SELECT word FROM lexicon WHERE valence < 0 ORDER BY valence, word LIMIT 100))
@@ -67,7 +67,7 @@ def polarity(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT a.conv_id, a.turn, round(abs(x.compound - y.compound), 6) AS disagreement FROM turns a JOIN turns b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 AND b.role = 'assistant' JOIN val x ON x.k = a.k JOIN val y ON y.k = b.k WHERE a.role = 'user'""")
 def agreement(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").withColumn("k", F.concat_ws("/", "conv_id", "turn"))
-    val = lx.valence(turns, "k", "text", io.materialize(_learned(spark, sf_dir), io.scratch(spark, "lexicon"))).select("k", "compound")
+    val = lx.valence(turns, "k", "text", _learned(spark, sf_dir)).select("k", "compound")
     both = turns.join(val, "k").select("conv_id", "turn", "role", "compound")
     reply = both.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("compound").alias("other"))
     return Q(both.where("role = 'user'").join(reply, ["conv_id", "turn"]).select("conv_id", "turn", F.abs(F.col("compound") - F.col("other")).alias("disagreement")))

@@ -164,6 +164,15 @@ def test_scoring_sides_and_submission(spark, tmp_path):
         stacking.submission(result, test.union(test.limit(1).withColumn("id", F.lit(7).cast("long"))), f"file://{tmp_path}/more")
 
 
+def test_common_words_of_a_lexicon_are_not_shuffled(spark):
+    words = spark.createDataFrame([("the", 1.0, 9), ("a", -1.0, 8), ("rare", 2.0, 3), ("odd", -2.0, 3)], "word string, valence double, n_docs long")
+    docs = spark.createDataFrame([(1, "The\u000bthe  a\tRARE none"), (2, " the ODD odd "), (3, None)], "d long, t string")
+    whole, parted = (lx.scored_tokens(docs, "d", "t", words, most=most) for most in (4, 2))
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parted.collect())) == [(1, "a", -1.0), (1, "rare", 2.0), (1, "the", 1.0), (1, "the", 1.0), (2, "odd", -2.0), (2, "odd", -2.0), (2, "the", 1.0)]
+    plan = lx.valence(docs, "d", "t", words)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(word" not in plan and "BroadcastHashJoin [word" in plan
+
+
 def test_lexicons_of_thousands_of_words(spark, tmp_path):
     words = [(f"w{i}", (i % 9) - 4.0, ((i % 9) - 4) / 4, 0.5) for i in range(5000)]
     spark.createDataFrame(words, "word string, valence double, polarity double, subjectivity double").write.parquet(f"file://{tmp_path}/lexicon")
