@@ -25,6 +25,12 @@ def test_text_stats_of_empty_and_marks(spark):
     assert got[2].punct_ratio == 1.0 and got[3].upper_ratio == 0.25 and got[3].digit_ratio == 0.25
 
 
+def test_text_stats_replace_only_what_they_count(spark):
+    rows = spark.createDataFrame([("\t\u00c4B-\U0001f600[~]\u000b9 9\n",)], "t string").select(*[x.alias(c) for c, x in scalar.text_stats(F.col("t")).items()])
+    assert tuple(one(rows)) == (13, 3, 4 / 13, 1 / 13, 2 / 13)
+    assert "[^" not in rows._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_flags_numbers_lists(spark):
     rows = spark.createDataFrame([("True", "1.5", "['a', 'bcd']"), ("4", "abc", "not a list"), (None, None, None), ("yes", "", "[]"), ("1", "1", """["it's", 'a "b"', 'c\\'d', ]"""), ("1", "1", "['open"), ("1", "1", '["a", null]')], "f string, n string, l string")
     got = rows.select(scalar.flag(F.col("f")).alias("f"), scalar.number(F.col("n")).alias("n"), *[x.alias(c) for c, x in scalar.list_features(F.col("l")).items()]).collect()
