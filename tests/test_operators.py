@@ -170,6 +170,18 @@ def test_scoring_sides_and_submission(spark, tmp_path):
         stacking.submission(result, test.union(test.limit(1).withColumn("id", F.lit(7).cast("long"))), f"file://{tmp_path}/more")
 
 
+def test_pair_statistics_read_the_rows_once(spark, tmp_path):
+    rows = [("u", "i", "c", 5), ("u", "i", "c", 3), ("u", "j", None, None), ("v", "i", "c", 1), (None, "j", "d", 2), ("w", None, "c", 4)]
+    path = f"file://{tmp_path}/rows"
+    spark.createDataFrame(rows, "user_id string, prod_id string, main_category string, rating int").write.parquet(path)
+    out = graph.stat_features(spark.read.parquet(path))
+    got = {(r.user_id, r.prod_id): r for r in out.collect()}
+    assert len(got) == 5 and str(tmp_path) not in " ".join(out.inputFiles())
+    r = got["u", "i"]
+    assert (r.user_mean, r.user_count, r.user_deviation, r.item_mean, r.item_count, r.item_std, r.category_mean, r.category_count) == (4.0, 3, 1.0, 3.0, 3, 2.0, 3.25, 4)
+    assert got["u", "j"].item_mean == 2.0 and got["u", "j"].category_mean is None and got["w", None].user_deviation is None and got[None, "j"].user_mean is None
+
+
 def test_common_words_of_a_lexicon_are_not_shuffled(spark):
     words = spark.createDataFrame([("the", 1.0, 9), ("a", -1.0, 8), ("rare", 2.0, 3), ("odd", -2.0, 3)], "word string, valence double, n_docs long")
     docs = spark.createDataFrame([(1, "The\u000bthe  a\tRARE none"), (2, " the ODD odd "), (3, None)], "d long, t string")
