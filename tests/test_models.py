@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import functions as F
@@ -300,3 +301,29 @@ def test_blocks_compute_the_numbers_once(spark, tmp_path):
     assert got.groupBy("split").count().orderBy("split").collect() == [("test", 1), ("train", 7)]
     assert seen.value == 7
     assert not list((tmp_path / "a").glob("split=*"))
+
+
+def test_ordinal_models_share_their_passes(spark):
+    """All folds' and cuts' models are those of Spark ML, one at a time; a pass serves all of them. Rows of other folds are learned from, rows without one are left out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 2)) * [1.0, 5e4] + [0.0, 2e5]
+    y = np.clip(np.round(3 + x[:, 0] + rng.normal(size=400)), 1, 4)
+    folds_of = [None if i % 40 == 7 else 9 if i % 40 == 8 else i % 3 for i in range(400)]
+    rows = spark.createDataFrame([(i, f, float(r), None if i % 50 == 4 else float(a), float(b), 2.5) for i, (f, r, (a, b)) in enumerate(zip(folds_of, y, x, strict=True))], "id long, fold int, rating double, a double, b double, flat double").repartition(3)
+    context, names = spark.sparkContext, ["a", "b", "flat"]
+    context.setJobGroup("ordinal", "")
+    got = {r.id: r.pred for r in linear.ordinal_oof(rows, names, k=3).collect()}
+    context.setJobGroup("other", "")
+    assert len(context.statusTracker().getJobIdsForGroup("ordinal")) < 30
+    filled = VectorAssembler(inputCols=names, outputCol="x").transform(rows.fillna(0.0, names))
+    assert got.keys() == {i for i, f in enumerate(folds_of) if f in (0, 1, 2)}
+    for f in range(3):
+        fit, own = filled.where(F.col("fold") != f), filled.where(F.col("fold") == f)
+        want = dict.fromkeys([r.id for r in own.collect()], 1.0)
+        for t in range(4):  # nothing exceeds 4: the last model is constant
+            model = LogisticRegression(featuresCol="x", labelCol="t", maxIter=200, regParam=0.01, tol=1e-12).fit(fit.withColumn("t", (F.col("rating") - 1 > t).cast("double")))
+            for r in model.transform(own).collect():
+                want[r.id] += r.probability[1]
+        assert all(got[i] == pytest.approx(p, abs=1e-6) for i, p in want.items())
+    with pytest.raises(ValueError, match="nulls"):
+        linear.ordinal_oof(rows.withColumn("rating", F.when(F.col("id") > 0, F.col("rating"))), names, k=3)

@@ -80,6 +80,18 @@ def test_both_join_sides_are_shuffled(spark, rows):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+def test_encodings_do_not_repeat_each_others_joins(spark, rows):
+    """Three keys, three joins: the sums of each come from the rows themselves."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = oof.safe_target_encode(rows, {"a": "user_id", "b": ["user_id", "fold"], "c": "fold"}, k=3)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("SortMergeJoin") == 3
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.enabled")
+
+
 def test_hot_and_null_keys(spark):
     """Nine tenths of the rows on one key, and rows without a key."""
     key = F.when(F.col("id") % 20 == 0, None).when(F.col("id") % 10 > 0, 7).otherwise(F.col("id"))
