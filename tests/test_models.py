@@ -163,6 +163,23 @@ def test_pool_of_models(spark):
         en.pool(long, want, least=4)
 
 
+def test_a_pool_shuffles_rows_of_ids(spark, tmp_path, monkeypatch):
+    """The predictions of an id are one row before any shuffle; ids that are null have none, and neither has a model without a name."""
+    rows = spark.range(3000).select("id", F.inline(F.array(*[F.struct(F.lit(m).alias("model"), F.rand(1).alias("pred")) for m in "abcd"])))
+    rows.withColumn("split", F.lit("train")).write.parquet(f"file://{tmp_path}/long")
+    long, seen, plain = spark.read.parquet(f"file://{tmp_path}/long"), [], en.materialize
+    monkeypatch.setattr(en, "materialize", lambda df, path: seen.append(df) or plain(df, path))
+    want = spark.range(3000).select("id", F.lit("train").alias("split"))
+    wide, names, _ = en.pool(long, want)
+    assert names == list("abcd") and wide.count() == 3000
+    assert not any("Join" in df._jdf.queryExecution().optimizedPlan().toString() for df in seen[:1])
+    exchanges = [line for df in seen for line in df._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning" in line]
+    assert not any("model" in line and "id#" in line for line in exchanges)
+    odd = long.unionByName(spark.createDataFrame([("train", None, "a", 1.0), ("train", 5, None, 1.0)], "split string, id long, model string, pred double"))
+    report = en.pool(odd, want.unionByName(spark.createDataFrame([(None, "train")], "id long, split string")), least=0)[2]
+    assert sorted((r.model, r.n, r.expected, r.enters) for r in report.collect()) == [(m, 3000, 3001, False) for m in "abcd"]
+
+
 def test_outputs_of_one_job(spark, tmp_path):
     rows = spark.range(0, 50, 1, 3).select("id", (F.col("id") / 7).alias("a"), F.lit(1.0).alias("b"))
     jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup(None))

@@ -86,7 +86,7 @@ def test_encodings_do_not_repeat_each_others_joins(spark, rows):
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
         plan = oof.safe_target_encode(rows, {"a": "user_id", "b": ["user_id", "fold"], "c": "fold"}, k=3)._jdf.queryExecution().executedPlan().toString()
-        assert plan.count("SortMergeJoin") == 3
+        assert plan.count("SortMergeJoin") == 3 and plan.count("BroadcastHashJoin") == 3 and plan.count("Scan ExistingRDD") <= 6
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.unset("spark.sql.adaptive.enabled")
