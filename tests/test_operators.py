@@ -311,3 +311,20 @@ def test_texts_are_shuffled_once(spark, tmp_path, monkeypatch):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
     assert "Exchange hashpartitioning(term" not in tfidf.char_weights(docs, "d", "t", 12)._jdf.queryExecution().executedPlan().toString()
     assert tfidf.char_weights(docs.limit(0), "d", "t", 12).count() == 0
+
+
+def test_sparse_rows_count_only_the_vocabulary(spark, monkeypatch):
+    """The same vocabulary and weights as by counts of all terms; what is written has no other term; repeated and null keys make one document."""
+    docs = spark.createDataFrame([(1, "Red red green"), (1, "redder green"), (2, "green tea tea"), (None, "tea"), (None, "red"), (3, None), (4, "a"), (5, "rare"), (6, "")], "d long, t string")
+    seen, plain = [], tfidf.materialize
+    monkeypatch.setattr(tfidf, "materialize", lambda df, path: seen.append(plain(df, path)) or seen[-1])
+    vocab, rows = tfidf.sparse_rows(docs, "d", "t", 3)
+    counts = tfidf.term_counts(docs, "d", "t")
+    want = tfidf.vocabulary(counts, "d", 3)
+    assert {r.term: (r.cf, r.df, round(r.idf, 12)) for r in vocab.collect()} == {r.term: (r.cf, r.df, round(r.idf, 12)) for r in want.collect()}
+    expected = {r.d: (r.idx, r.val) for r in tfidf.indexed(tfidf.weigh(counts, want, "d"), want, "d").collect()}
+    got = {r.d: (r.idx, r.val) for r in rows.collect()}
+    assert got.keys() == expected.keys() == {1, 2, None}
+    assert all(got[d][0] == idx and np.allclose(got[d][1], val) for d, (idx, val) in expected.items())
+    assert all(df.count() <= 4 for df in seen)
+    assert tfidf.sparse_rows(docs.limit(0), "d", "t", 3)[1].count() == 0
