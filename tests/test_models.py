@@ -344,3 +344,26 @@ def test_ordinal_models_share_their_passes(spark):
         assert all(got[i] == pytest.approx(p, abs=1e-6) for i, p in want.items())
     with pytest.raises(ValueError, match="nulls"):
         linear.ordinal_oof(rows.withColumn("rating", F.when(F.col("id") > 0, F.col("rating"))), names, k=3)
+
+
+def test_wide_vectors_come_in_chunks(spark, monkeypatch):
+    """Wide vectors reach a cell some dimensions at a time; they neither make more cells nor larger tasks, and several pieces a block add up."""
+    monkeypatch.setattr(graph, "SIDE", 90)
+    monkeypatch.setattr(graph, "HELD", 4)
+    rng = random.Random(7)
+    pairs = [(rng.randrange(12), rng.randrange(30)) for _ in range(150)]
+    cells = graph.pair_cells(spark.createDataFrame(pairs, "user_id long, prod_id long"), 24)
+    assert cells.side == 1
+    counts = np.zeros((12, 30))
+    for u, i in pairs:
+        counts[u, i] += 1
+    names = [f"u{u}" for u in range(12)] + [f"i{i}" for i in range(30)]
+    a = np.block([[np.zeros((12, 12)), counts], [counts.T, np.zeros((30, 30))]])
+    d = a.sum(axis=1)
+    a = a / np.sqrt(np.maximum(np.outer(d, d), 1))
+    e, start = node_vectors(spark, [*names, "u99"], 24)  # u99 has no edge
+    x = np.stack([e[n] for n in names])
+    got = {r.node: r.e for r in graph.propagate(None, start.repartition(3), 24, layers=2, adjacent=cells).collect()}
+    want = dict(zip(names, (x + a @ x + a @ a @ x) / 3, strict=True))
+    assert got.keys() == {n for n, y in zip(names, d, strict=True) if y} | set(names) | {"u99"}
+    assert all(np.allclose(got[n], want[n]) for n in names) and np.allclose(got["u99"], e["u99"] / 3)
