@@ -367,3 +367,33 @@ def test_wide_vectors_come_in_chunks(spark, monkeypatch):
     want = dict(zip(names, (x + a @ x + a @ a @ x) / 3, strict=True))
     assert got.keys() == {n for n, y in zip(names, d, strict=True) if y} | set(names) | {"u99"}
     assert all(np.allclose(got[n], want[n]) for n in names) and np.allclose(got["u99"], e["u99"] / 3)
+
+
+def test_draws_read_the_pairs_a_fixed_number_of_times(spark):
+    """However often negatives are drawn again, all pairs are read thrice; draws after the first read what its users have."""
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def counted(x):
+        seen.add(1)
+        return x
+
+    pairs = [(1, i) for i in range(15)] + [(2 + i % 3, i) for i in range(16)]  # user 1 has 15 of 16 items
+    rows = spark.createDataFrame(pairs, "user_id long, prod_id long")
+    lazily = rows.withColumn("prod_id", counted.asNondeterministic()("prod_id"))
+    got = graph.with_negatives(lazily, rows, "user_id", "prod_id").collect()
+    assert seen.value <= 3 * len(pairs) and not [r for r in got if (r.user_id, r.neg) in pairs]
+    assert len({(r.user_id, r.prod_id) for r in got}) == len(got) > 16 and all(r.neg == 15 for r in got if r.user_id == 1)
+
+
+def test_products_of_dealt_rows_and_of_cells(spark, monkeypatch):
+    """The ranking loss's products are the same whether tasks get all vectors or cells of them; nodes without a name or vector are left out."""
+    e, vectors = node_vectors(spark, ["u1", "u2", "u3", "i1", "i2", "i3"], 4)
+    triples = [("u1", "i1", "i2"), ("u2", "i3", "i1"), ("u3", "i2", "i3"), ("u9", "i1", "i2"), ("u1", None, "i2"), ("u1", "i1", "i9")]
+    df = spark.createDataFrame(triples, "user string, pos string, neg string")
+    want = {(u, i, j): e[u] @ e[i] - e[u] @ e[j] for u, i, j in triples[:3]}
+    monkeypatch.setattr(graph, "CELL", 2)
+    for whole in (1 << 24, 0):
+        monkeypatch.setattr(graph, "WHOLE", whole)
+        got = {(r.user, r.pos, r.neg): r.gap for r in graph.gaps(df, vectors).collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
