@@ -397,3 +397,14 @@ def test_products_of_dealt_rows_and_of_cells(spark, monkeypatch):
         monkeypatch.setattr(graph, "WHOLE", whole)
         got = {(r.user, r.pos, r.neg): r.gap for r in graph.gaps(df, vectors).collect()}
         assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want)
+
+
+def test_pairs_of_words_come_from_one_search(spark):
+    """A text is searched for words once; weights from the vocabulary's terms alone are those of weigh()."""
+    docs = spark.createDataFrame([(1, "the red fox saw the red hen"), (2, "the red hen"), (3, ""), (4, None), (5, "x y")], "doc_id long, text string")
+    plan = docs.select(tfidf.words_and_pairs(F.col("text")).alias("t"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1
+    counts = tfidf.term_counts(docs, "doc_id", "text", tfidf.words_and_pairs)
+    want = {(r.doc_id, r.term): r.weight for r in tfidf.weigh(counts, tfidf.vocabulary(counts, "doc_id", 6), "doc_id").collect()}
+    got = {(r.doc_id, r.term): r.weight for r in tfidf.term_weights(docs, "doc_id", "text", 6, tfidf.words_and_pairs).collect()}
+    assert got.keys() == want.keys() and len({t for _, t in got}) == 6 and all(got[k] == pytest.approx(want[k]) for k in want)
